@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumiray import constants as K
 from lumiray.functions import angles
 from lumiray.functions.numeric import uniform_bin
-from lumiray.functions.stencil import cleaner
+from lumiray.functions.stencil import cleaner, densify
 from lumiray.session import broadcast_if_small
 
 
@@ -61,14 +61,9 @@ def images_from_pixels(pixels: DataFrame, keys=("event", "telescope"), side: int
 
     A group holds at most side*side cells, which bounds the collected list.
     """
-    cells = pixels.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct((F.col("px") * side + F.col("py")).cast("int"), F.col("adu").cast("int")))
-        ).alias("cells")
-    )
-    grid = F.sequence(F.lit(0), F.lit(side * side - 1))
-    image = F.transform(grid, lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0)))
-    return cells.select(*keys, image.alias("image"))
+    number = (F.col("px") * side + F.col("py")).cast("int")
+    cells = pixels.groupBy(*keys).agg(F.collect_list(F.struct(number.alias("c"), F.col("adu").cast("int").alias("v"))).alias("cells"))
+    return cells.select(*keys, densify(side)(F.col("cells.c"), F.col("cells.v")).alias("image"))
 
 
 def pixels_from_images(df: DataFrame, keys=("event", "telescope"), column: str = "image", side: int = K.CAMERA_SIDE):

@@ -18,6 +18,7 @@ from lumiray.functions import angles
 from lumiray.functions.numeric import hypot
 from lumiray.operators.derive import derive_once
 
+PARALLEL = 1e-12
 IMAGE_COLUMNS = ("Size", "MeanX", "MeanY", "Phi", "Length", "Width")
 
 
@@ -170,7 +171,9 @@ def core_fit(df: DataFrame, telescopes=K.TELESCOPES) -> DataFrame:
         }
     )
     a1, b1, b2, c1, c2 = (F.col(c) for c in ("a1", "b1", "b2", "c1", "c2"))
-    det = F.when(F.col("n_lines") >= 2, a1 * b2 - b1 * b1)
+    # the mean squared sine of the crossing angles; below the bound rounding decides
+    spread = a1 * b2 - b1 * b1
+    det = F.when((F.col("n_lines") >= 2) & (spread > PARALLEL), spread)
     fitted = sums.withColumn("det", det).withColumns(
         {
             "xfit": F.try_divide(b1 * c2 - c1 * b2, F.col("det")),

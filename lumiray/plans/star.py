@@ -113,6 +113,10 @@ class Star:
             (F.col("value") * 10 + 1).alias("Size"),
         )
 
+    @staticmethod
+    def series_time():
+        return wall_clock_seconds(F.col("ts"))
+
     def patches(self) -> DataFrame:
         """Embeddings as 8x8 images: vec_id, label, pix in thousandths."""
         return self.table("embeddings").select(
