@@ -21,12 +21,12 @@ def tidy(c: Column, digits: int = 6) -> Column:
     """Round half up to the precision of the parameter files.
 
     Positions on the pixel lattice often end exactly halfway between two roundings, where
-    the last bit of a sum would decide. A value within a millionth of the last digit
-    below the half therefore counts as half, which makes the result independent of the
+    the last bit of a sum would decide. A value within a ten-thousandth of the last
+    digit below the half therefore counts as half, which makes the result independent of the
     order of summation.
     """
     scale = float(10**digits)
-    return F.floor(missing(c) * scale + 0.500001) / F.lit(scale)
+    return F.floor(missing(c) * scale + 0.5001) / F.lit(scale)
 
 
 def safe_sqrt(c: Column) -> Column:
@@ -67,11 +67,12 @@ def first_step_above(x: Column, step: float, power: int = 1) -> Column:
         edge = i * F.lit(step)
         return edge if power == 1 else edge * edge
 
-    return (
+    moved = (
         F.when(level(guess) <= x, guess + 1)
         .when((guess >= 1) & (level(guess - 1) > x), guess - 1)
         .otherwise(guess)
     )
+    return F.when(x.isNotNull(), moved)
 
 
 def wall_clock_seconds(ts: Column) -> Column:

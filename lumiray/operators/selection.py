@@ -10,7 +10,7 @@ from lumiray.functions.angles import separation
 from lumiray.functions.numeric import first_step_above
 from lumiray.functions.statistics import quality_factor
 from lumiray.operators.quality import on_cut
-from lumiray.operators.stats import event_maximum, histogram
+from lumiray.operators.stats import histogram
 
 GAMMA, PROTON = "gamma", "proton"
 
@@ -59,14 +59,17 @@ def theta_scan(df: DataFrame, upper: float = K.THETA_SCAN_DEG, steps: int = K.SC
 
 def cut_comparison(df: DataFrame) -> DataFrame:
     """Events and quality factor without cuts, with either cut and with both."""
-    marked = event_maximum(df, key="Event") if "MaxDistance" not in df.columns else df
-    near = F.col("MaxDistance") < K.MAX_DISTANCE_CUT_DEG
-    pointed = F.col("ThetaSquare") < K.THETA_CUT_DEG**2
-    cuts = {"none": F.lit(True), "max_distance": near, "theta_square": pointed,
-            "both": on_cut(F.col("MaxDistance"), F.col("ThetaSquare"))}
-    flags = marked.groupBy("class", "Event").agg(
-        *[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in cuts.items()]
-    )
+    # the distance cut holds on the row with the event's largest distance; of tied rows
+    # the one nearest in direction decides about both cuts together
+    lead = F.max(F.struct(F.col("Distance").alias("d"), (-F.col("ThetaSquare")).alias("t")))
+    events = df.groupBy("class", "Event").agg(lead.alias("far"), F.min("ThetaSquare").alias("theta"))
+    cuts = {
+        "none": F.lit(True),
+        "max_distance": F.col("far.d") < K.MAX_DISTANCE_CUT_DEG,
+        "theta_square": F.col("theta") < K.THETA_CUT_DEG**2,
+        "both": on_cut(F.col("far.d"), -F.col("far.t")),
+    }
+    flags = events.select("class", *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in cuts.items()])
     totals = flags.groupBy().agg(
         *[
             F.sum(F.when(F.col("class") == c, F.col(k)).otherwise(0)).alias(f"{k}_{c}")

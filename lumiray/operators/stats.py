@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumiray import constants as K
 from lumiray.functions.numeric import uniform_bin
+from lumiray.session import cut_lineage
 
 
 def _by(keys) -> list[str]:
@@ -40,7 +41,8 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 65536)
     keys = by or ["g_"]
     source = df if by else df.select("*", one)
     present = source.select(*keys, F.col(value).cast("double").alias("v")).dropna(subset=["v"])
-    weights = present.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    # read four times below, hence written once
+    weights = cut_lineage(present.groupBy(*keys, "v").agg(F.count("*").alias("c")))
     span = weights.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     celled = weights.join(span, keys).select(
         *keys, "v", "c", F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0)).alias("cell")
@@ -191,11 +193,11 @@ def histogram_2d(
     w = F.lit(1) if weight is None else weight
     cells = df.select(
         *by,
-        uniform_bin(F.col(x), *x_range, bins).alias("bx"),
-        uniform_bin(F.col(y), *y_range, bins).alias("by"),
+        uniform_bin(F.col(x), *x_range, bins).alias("ix"),
+        uniform_bin(F.col(y), *y_range, bins).alias("iy"),
         w.alias("w"),
-    ).filter("bx IS NOT NULL AND `by` IS NOT NULL")
-    return cells.groupBy(*by, "bx", "by").agg(F.sum("w").alias("n"))
+    ).filter("ix IS NOT NULL AND iy IS NOT NULL")
+    return cells.groupBy(*by, "ix", "iy").agg(F.sum("w").alias("n"))
 
 
 def shared_maximum(cells: DataFrame, column: str = "n") -> DataFrame:

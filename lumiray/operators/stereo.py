@@ -18,7 +18,9 @@ from lumiray.functions import angles
 from lumiray.functions.numeric import hypot
 from lumiray.operators.derive import derive_once
 
-PARALLEL = 1e-12
+# weighted mean square sine of the crossing angles below which lines count as parallel:
+# the crossing would be given by rounding alone in single precision
+PARALLEL = 1e-8
 IMAGE_COLUMNS = ("Size", "MeanX", "MeanY", "Phi", "Length", "Width")
 
 
@@ -51,8 +53,9 @@ def has_image(t: int) -> Column:
     return F.col(f"Size_{t}").isNotNull()
 
 
-def axis_intersection(wide: DataFrame, telescopes=K.TELESCOPES) -> DataFrame:
-    """Adds `Xoffset`, `Yoffset` and `MeanAngle`; events without weight drop out.
+def axis_intersection(wide: DataFrame, telescopes=K.TELESCOPES, keep_all: bool = False) -> DataFrame:
+    """Adds `Xoffset`, `Yoffset` and `MeanAngle`; events without weight drop out, or keep
+    NULL for all three with `keep_all`.
 
     The direction is the mean of the pairwise intersections of image axes, weighted by
     the square of reduced size, elongation and sine of the crossing angle. Weighting by
@@ -96,17 +99,17 @@ def axis_intersection(wide: DataFrame, telescopes=K.TELESCOPES) -> DataFrame:
     )
     plain = F.coalesce(*[F.col(f"g{n}") for n in names])
     n_known = _add([has_image(t).cast("int") for t in telescopes])
+    total = _add([F.col(f"w{n}") for n in names])
     found = derive_once(
         pairs,
         {
-            "w_": _add([F.col(f"w{n}") for n in names]),
-            "Xoffset": F.try_divide(_add([F.col(f"x{n}") for n in names]), _add([F.col(f"w{n}") for n in names])),
-            "Yoffset": F.try_divide(_add([F.col(f"y{n}") for n in names]), _add([F.col(f"w{n}") for n in names])),
-            "MeanAngle": F.when(n_known == 2, -plain).otherwise(mean_fold),
+            "Xoffset": F.when(total > 0, F.try_divide(_add([F.col(f"x{n}") for n in names]), total)),
+            "Yoffset": F.when(total > 0, F.try_divide(_add([F.col(f"y{n}") for n in names]), total)),
+            "MeanAngle": F.when(total > 0, F.when(n_known == 2, -plain).otherwise(mean_fold)),
         },
         keep=wide.columns,
     )
-    return found.filter(F.col("w_") > 0).drop("w_")
+    return found if keep_all else found.filter(F.col("Xoffset").isNotNull())
 
 
 def reconstructible(images: DataFrame) -> DataFrame:

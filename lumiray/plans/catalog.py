@@ -22,7 +22,7 @@ from lumiray.plans.oracle import (
 )
 from lumiray.plans.star import POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
-from lumiray.session import ship_package, shared_folder
+from lumiray.session import cut_lineage, ship_package, shared_folder
 from lumiray.sources import capture, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -776,23 +776,23 @@ def _(s: Star):
     return rounded(stats.histogram_own_range(s.series(), "Timestamp", bins, "Telescope"), 4)
 
 
-_2D = f"""SELECT "Telescope", {fixed_bin('"MeanX"', -4.96, 4.96, 32)} AS bx, {fixed_bin('"MeanY"', -4.96, 4.96, 32)} AS by FROM usable"""
+_2D = f"""SELECT "Telescope", {fixed_bin('"MeanX"', -4.96, 4.96, 32)} AS ix, {fixed_bin('"MeanY"', -4.96, 4.96, 32)} AS iy FROM usable"""
 
 
 @query("his4_centroid_map", sql("""
-SELECT *, max(n) OVER () AS vmax FROM (SELECT "Telescope", bx, by, count(*) AS n FROM binned WHERE bx IS NOT NULL AND by IS NOT NULL
-GROUP BY "Telescope", bx, by)""", "usable", binned=_2D))
+SELECT *, max(n) OVER () AS vmax FROM (SELECT "Telescope", ix, iy, count(*) AS n FROM binned WHERE ix IS NOT NULL AND iy IS NOT NULL
+GROUP BY "Telescope", ix, iy)""", "usable", binned=_2D))
 def _(s: Star):
     h = K.CENTROID_HALF_RANGE_DEG
     return stats.shared_maximum(stats.histogram_2d(s.usable(), "MeanX", "MeanY", (-h, h), (-h, h), 32, "Telescope"))
 
 
 _RA_LO, _DEC_LO = K.POINTING_RA_DEG - 5, K.POINTING_DEC_DEG - 5
-_SKY2D = f"""SELECT {fixed_bin('"RA"', _RA_LO, _RA_LO + 9.8, 49)} AS bx, {fixed_bin('"DEC"', _DEC_LO, _DEC_LO + 9.8, 49)} AS by FROM skydirs"""
+_SKY2D = f"""SELECT {fixed_bin('"RA"', _RA_LO, _RA_LO + 9.8, 49)} AS ix, {fixed_bin('"DEC"', _DEC_LO, _DEC_LO + 9.8, 49)} AS iy FROM skydirs"""
 
 
 @query("his4_sky_histogram", sql("""
-SELECT bx, by, count(*) AS n FROM binned WHERE bx IS NOT NULL AND by IS NOT NULL GROUP BY bx, by""", "skydirs", binned=_SKY2D))
+SELECT ix, iy, count(*) AS n FROM binned WHERE ix IS NOT NULL AND iy IS NOT NULL GROUP BY ix, iy""", "skydirs", binned=_SKY2D))
 def _(s: Star):
     d = stereo.with_radec(stereo.directions(s.usable()))
     return stats.histogram_2d(d, "RA", "DEC", (_RA_LO, _RA_LO + 9.8), (_DEC_LO, _DEC_LO + 9.8), 49)
@@ -993,7 +993,7 @@ def _(s: Star):
 @query("sky12_map_distribution", sql(f'SELECT bin, {r(chr(34) + "left" + chr(34), 5)} AS "left", {r(chr(34) + "right" + chr(34), 5)} AS "right", n FROM h',
                                      "sigmap", rounded_map=f"SELECT {r('s17')} AS v FROM sigmap", h=_own_range("rounded_map", "v", "50")))
 def _(s: Star):
-    m = sky.significance_map(_events(s), SKY).select(tidy(F.col("significance")).alias("v"))
+    m = cut_lineage(sky.significance_map(_events(s), SKY).select(tidy(F.col("significance")).alias("v")))
     return rounded(sky.map_distribution(m, "v"), 5)
 
 
@@ -1045,9 +1045,15 @@ def _(s: Star):
     return rounded(selection.max_distance_scan(s.labelled(2)), cut=7)
 
 
+def _sim_table(s: Star) -> DataFrame:
+    """The simulation parameters handed over as a written table, as between the programs
+    of the analysis; the steps that follow read it several times."""
+    return cut_lineage(s.sim())
+
+
 def _simsel(s: Star) -> DataFrame:
     """Usable images with reconstructed direction and class; ThetaSquare at file precision."""
-    rows = quality.usable_images(s.sim(), 2).join(s.classes(), "Event")
+    rows = quality.usable_images(_sim_table(s), 2).join(s.classes(), "Event")
     marked = selection.zenith_theta_square(rows)
     return marked.withColumn("ThetaSquare", tidy(F.col("ThetaSquare"), 5))
 
@@ -1116,8 +1122,6 @@ def _(s: Star):
 
 
 def _boosted(s: Star, rounds: int = 5, depth: int = 6):
-    from lumiray.session import cut_lineage
-
     table = cut_lineage(classify.assemble(classify.feature_table(s.labelled())))
     train, test = classify.train_test_split(table)
     model = classify.fit_boosted_trees(train, rounds, depth)
@@ -1165,10 +1169,9 @@ _PERF = {
     "chosen": """SELECT *, 'two_plus' AS selection FROM (SELECT *, row_number() OVER (PARTITION BY "Event" ORDER BY "Telescope") AS k FROM recon) WHERE k = 1
       UNION ALL SELECT *, 'three' FROM (SELECT *, row_number() OVER (PARTITION BY "Event" ORDER BY "Telescope") AS k FROM recon WHERE "Alpha" IS NOT NULL
         AND "Event" IN (SELECT "Event" FROM recon WHERE "Alpha" IS NOT NULL GROUP BY "Event" HAVING count(*) > 2)) WHERE k = 1""",
-    "errors": f"""SELECT selection, "Event", "TrueEnergy", {r(separation('"Az"', '(90e0 - "Ze")', '"TrueAz"', '(90e0 - "TrueZe")'), 5)} AS angle_error,
-      {r('abs(sqrt("Xcore" ** 2 + "Ycore" ** 2) - sqrt("TrueXcore" ** 2 + "TrueYcore" ** 2))', 2)} AS core_error FROM chosen""",
+    "errors": f"""SELECT selection, "Event", "TrueEnergy", {separation('"Az"', '(90e0 - "Ze")', '"TrueAz"', '(90e0 - "TrueZe")')} AS angle_error,
+      abs(sqrt("Xcore" ** 2 + "Ycore" ** 2) - sqrt("TrueXcore" ** 2 + "TrueYcore" ** 2)) AS core_error FROM chosen""",
 }
-_perf = lambda s: (performance.reconstruction_errors(performance.resolution_events(s.sim(), None)))
 
 
 @query("res1_resolution", sql(f"""
@@ -1186,7 +1189,7 @@ LEFT JOIN binned b ON b.selection = g.selection AND b.error = g.error AND b.bin
 binned=f"""SELECT selection, 'angle_square' AS error, {fixed_bin('angle_error * angle_error', 0, 45, 40)} AS bin FROM errors WHERE "TrueEnergy" > 10000
   UNION ALL SELECT selection, 'core', {fixed_bin('core_error', 0, 200, 40)} FROM errors WHERE "TrueEnergy" > 10000"""))
 def _(s: Star):
-    return performance.error_histograms(s.sim(), (0.0, 45.0), (0.0, 200.0))
+    return performance.error_histograms(_sim_table(s), (0.0, 45.0), (0.0, 200.0))
 
 
 @query("res2_resolution_by_threshold", sql(f"""
@@ -1214,4 +1217,4 @@ SELECT a.bin, {r('a."left"', 4)} AS "left", {r('a."right"', 4)} AS "right", a.n
   {r(div(f'a.n * {lit(K.THROW_AREA_KM2)}', 'b.n'))} AS area, {r(div(f'sqrt(a.n) * {lit(K.THROW_AREA_KM2)}', 'b.n'))} AS area_error
 FROM seen a JOIN sent b ON a.bin = b.bin""", "sim", **_TRIG, seen=_own_range("trig", "tev", "10"), sent=_own_range("thrown", "tev", "10")))
 def _(s: Star):
-    return rounded(performance.effective_area(s.sim()), left=4, right=4)
+    return rounded(performance.effective_area(_sim_table(s)), left=4, right=4)

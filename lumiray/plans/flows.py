@@ -9,7 +9,7 @@ from lumiray import constants as K
 from lumiray.operators import images as I
 from lumiray.operators import parameters as P
 from lumiray.operators import pointing, quality, sky, stereo
-from lumiray.schemas import SHAPE_COLUMNS
+from lumiray.schemas import RECO_COLUMNS, SHAPE_COLUMNS, SIM_RECO_COLUMNS, TRUTH_COLUMNS
 
 
 def data_parameters(events: DataFrame, pedestals: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
@@ -44,15 +44,35 @@ def reconstruct(params: DataFrame, truth: DataFrame, positions=None, telescopes=
     return stereo.core_reconstruction(aimed, positions, telescopes)
 
 
-def sim_parameters(params: DataFrame, truth: DataFrame, positions=None, reconstruct_events: bool = True) -> DataFrame:
+def sim_parameters(
+    params: DataFrame, truth: DataFrame, positions=None, reconstruct_events: bool = True, telescopes=K.TELESCOPES
+) -> DataFrame:
     """The simulation parameter table: every image with its event's truth and, where
-    it could be reconstructed, direction and core."""
-    truth_cols = ["Event", "TrueAz", "TrueZe", "TrueXcore", "TrueYcore", "TrueEnergy"]
-    table = params
-    if reconstruct_events:
-        reco = reconstruct(params, truth.select("Event", "TrueAz", "TrueZe"), positions)
-        table = table.join(reco.select("Event", "Az", "Ze", "Xcore", "Ycore", "stdP"), "Event", "left")
-    return table.join(truth.select(*truth_cols), "Event")
+    it could be reconstructed, direction and core.
+
+    The images of an event are laid side by side once, reconstructed there, and laid
+    out as rows again, so that the parameter table is read and shuffled a single time.
+    """
+    truth = truth.select("Event", *TRUTH_COLUMNS)
+    if not reconstruct_events:
+        return params.select("Event", "Telescope", *SHAPE_COLUMNS).join(truth, "Event")
+    wide = stereo.side_by_side(params, SHAPE_COLUMNS, telescopes)
+    admitted = {}
+    for t in telescopes:
+        ok = (F.col(f"Size_{t}") > 0) & F.col(f"Length_{t}").isNotNull() & F.col(f"Width_{t}").isNotNull()
+        admitted[f"AnySize_{t}"] = F.col(f"Size_{t}")
+        admitted[f"Size_{t}"] = F.when(ok, F.col(f"Size_{t}"))
+    masked = wide.withColumns(admitted)
+    directed = stereo.axis_intersection(masked, telescopes, keep_all=True)
+    aimed = stereo.with_azze(directed.join(truth, "Event"))
+    done = stereo.core_reconstruction(aimed, positions, telescopes)
+
+    def image(t: int):
+        shapes = [F.col(f"AnySize_{t}" if c == "Size" else f"{c}_{t}").alias(c) for c in SHAPE_COLUMNS]
+        return F.struct(F.lit(t).alias("Telescope"), *shapes)
+
+    rows = done.select("Event", *RECO_COLUMNS, *TRUTH_COLUMNS, F.inline(F.array(*[image(t) for t in telescopes])))
+    return rows.filter(F.col("Size").isNotNull()).select(*SIM_RECO_COLUMNS)
 
 
 def sky_events(params: DataFrame, sky_map: sky.SkyMap = sky.SkyMap(), least: int = 2, dedupe: bool = True) -> DataFrame:

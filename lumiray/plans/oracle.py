@@ -14,7 +14,7 @@ def lit(x: float) -> str:
 
 def r(e: str, digits: int = 6) -> str:
     """Round half up; just below the half counts as half, see `tidy`."""
-    return f"(floor(({e}) * 1e{digits} + 0.500001e0) / 1e{digits} + 0e0)"
+    return f"(floor(({e}) * 1e{digits} + 0.5001e0) / 1e{digits} + 0e0)"
 
 
 def snap(e: str) -> str:
@@ -84,7 +84,7 @@ def li_ma(on: str, off: str, alpha: str) -> dict[str, str]:
     both = f"(2 * ({lon} + {loff}))"
     size = (
         f"CASE WHEN {tot} = 0 THEN 0e0 WHEN {on} = 0 THEN {root(f'(2 * {loff})')} "
-        f"WHEN {off} = 0 THEN {root(f'(2 * {lon})')} WHEN abs({both}) < 1e-15 THEN 0e0 ELSE {root(both)} END"
+        f"WHEN {off} = 0 THEN {root(f'(2 * {lon})')} WHEN abs({both}) < 1e-12 THEN 0e0 ELSE {root(both)} END"
     )
     return {
         "eq5": f"CASE WHEN {on} + {alpha} * {alpha} * {off} > 0 THEN {sig} / sqrt({on} + {alpha} * {alpha} * {off}) ELSE 0e0 END",
@@ -238,8 +238,8 @@ _fit = """SELECT "Event", count(*) AS n_lines, sum(w * m * m / (1 + m * m)) / su
   sum(w / (1 + m * m)) / sum(w) AS b2, sum(w * (ly - m * lx) * m / (1 + m * m)) / sum(w) AS c1,
   sum(-w * (ly - m * lx) / (1 + m * m)) / sum(w) AS c2 FROM lines GROUP BY "Event" """
 cte("fits", ("lines",), f"""
-SELECT "Event", n_lines, CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-12 THEN (b1 * c2 - c1 * b2) / nullif(a1 * b2 - b1 * b1, 0) END AS xfit,
-  CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-12 THEN (b1 * c1 - a1 * c2) / nullif(a1 * b2 - b1 * b1, 0) END AS yfit FROM ({_fit})""")
+SELECT "Event", n_lines, CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-8 THEN (b1 * c2 - c1 * b2) / nullif(a1 * b2 - b1 * b1, 0) END AS xfit,
+  CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-8 THEN (b1 * c1 - a1 * c2) / nullif(a1 * b2 - b1 * b1, 0) END AS yfit FROM ({_fit})""")
 cte("cores", ("lines", "fits"), f"""
 SELECT "Event", any_value("Az") AS "Az", any_value("Ze") AS "Ze", any_value("TrueAz") AS "TrueAz", any_value("TrueZe") AS "TrueZe",
   any_value(n_lines) AS n_lines, any_value(xfit) AS xfit, any_value(yfit) AS yfit,
