@@ -13,6 +13,7 @@ from lumiray import constants as K
 from lumiray.functions import angles
 from lumiray.functions.numeric import uniform_bin
 from lumiray.functions.stencil import cleaner, densify
+from lumiray.operators.derive import derive_once
 from lumiray.session import broadcast_if_small
 
 
@@ -115,9 +116,9 @@ def project_photons(photons: DataFrame, truth: DataFrame) -> DataFrame:
     met = met.withColumns({f"g{a}": F.try_divide(f"u{a}", "dot") - F.col(f"t{a}") for a in "xyz"})
     across = F.col("gx") * F.col("ca") - F.col("gy") * F.col("sa")
     along = (F.col("gx") * F.col("sa") + F.col("gy") * F.col("ca")) * F.col("cz") - F.col("gz") * F.col("sz")
-    return met.withColumns(
-        {"x": -F.degrees(exact_zero(across)), "y": F.degrees(exact_zero(along))}
-    ).drop("sa", "ca", "sz", "cz", "tx", "ty", "tz", "ux", "uy", "uz", "dot", "gx", "gy", "gz")
+    return derive_once(
+        met, {"x": -F.degrees(exact_zero(across)), "y": F.degrees(exact_zero(along))}, keep=photons.columns
+    )
 
 
 def camera_cell(offset: Column) -> Column:
@@ -129,12 +130,14 @@ def camera_cell(offset: Column) -> Column:
 def bin_photons(projected: DataFrame, weight=None, keys=("event", "telescope")) -> DataFrame:
     """Weighted camera histogram of projected photons; photons off the camera drop out."""
     weight = F.lit(K.ADU_PER_PHOTON) if weight is None else weight
-    cells = projected.select(
+    lo, hi = K.CAMERA_MIN_DEG, K.CAMERA_MAX_DEG
+    seen = projected.filter((F.col("x") >= lo) & (F.col("x") < hi) & (F.col("y") >= lo) & (F.col("y") < hi))
+    cells = seen.select(
         *keys,
         camera_cell(F.col("x")).alias("px"),
         camera_cell(F.col("y")).alias("py"),
         weight.cast("bigint").alias("w"),
-    ).filter("px IS NOT NULL AND py IS NOT NULL")
+    )
     return sum_cells(cells, keys, "w")
 
 

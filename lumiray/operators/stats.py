@@ -29,20 +29,19 @@ def distinct_events(df: DataFrame, by=()) -> DataFrame:
     return df.groupBy(*_by(by)).agg(F.count_distinct("Event").alias("n_events"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 65536) -> DataFrame:
-    """Linearly interpolated quantiles and the count `n` of present values per group.
+def value_counts(df: DataFrame, value: str, keys) -> DataFrame:
+    """Distinct present values `v` with their number `c` per group, written once: the
+    rankings below read them several times."""
+    present = df.select(*keys, F.col(value).cast("double").alias("v")).dropna(subset=["v"])
+    return cut_lineage(present.groupBy(*keys, "v").agg(F.count("*").alias("c")))
 
-    Equal values are counted together first. A coarse histogram then tells which cell
-    holds each wanted rank, and only the values of those cells are ranked, so no task
-    sees a whole group.
+
+def quantiles_of_counts(weights: DataFrame, probs, keys, bins: int = 8192) -> DataFrame:
+    """Linearly interpolated quantiles of counted values.
+
+    A coarse histogram tells which cell holds each wanted rank, and only the values of
+    those cells are ranked, so no task sees a whole group.
     """
-    by = _by(by)
-    one = F.lit(1).alias("g_")
-    keys = by or ["g_"]
-    source = df if by else df.select("*", one)
-    present = source.select(*keys, F.col(value).cast("double").alias("v")).dropna(subset=["v"])
-    # read four times below, hence written once
-    weights = cut_lineage(present.groupBy(*keys, "v").agg(F.count("*").alias("c")))
     span = weights.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     celled = weights.join(span, keys).select(
         *keys, "v", "c", F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0)).alias("cell")
@@ -53,8 +52,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 65536)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     ranks = span.select(*keys, "n", wanted).withColumn("h", (F.col("n") - 1) * F.col("prob"))
     ranks = ranks.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    rank = F.least(F.floor("h") + F.col("side"), F.col("n") - 1)
-    ranks = ranks.withColumn("rank", rank)
+    ranks = ranks.withColumn("rank", F.least(F.floor("h") + F.col("side"), F.col("n") - 1))
     found = ranks.join(cells, keys).filter("rank >= start AND rank < stop")
     needed = found.select(*keys, "cell", "start").distinct()
     inner = Window.partitionBy(*keys, "cell").orderBy("v")
@@ -64,32 +62,38 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 65536)
     low = F.max(F.when(F.col("side") == 0, F.col("v")))
     high = F.max(F.when(F.col("side") == 1, F.col("v")))
     part = F.max(F.col("h") - F.floor("h"))
-    out = hit.groupBy(*keys, "prob", "n").agg((low + (high - low) * part).alias("quantile"))
-    return out.select(*by, "prob", "quantile", "n")
+    return hit.groupBy(*keys, "prob", "n").agg((low + (high - low) * part).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
+    """Exact interpolated quantiles and the count `n` of present values per group."""
+    by = _by(by)
+    keys = by or ["g_"]
+    source = df if by else df.withColumn("g_", F.lit(1))
+    return quantiles_of_counts(value_counts(source, value, keys), probs, keys).select(*by, "prob", "quantile", "n")
 
 
 def describe(df: DataFrame, columns, by=()) -> DataFrame:
     """count, mean, std, min, exact quartiles and max of several columns, one row each."""
     by = _by(by)
-    long = df.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("kv"),
-    ).select(*by, "kv.column", "kv.value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(*by, F.inline(pairs))
     keys = [*by, "column"]
-    plain = long.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, "value", (0.25, 0.5, 0.75), keys)
-    wide = quartiles.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    counts = value_counts(long, "value", keys)
+    plain = counts.groupBy(*keys).agg(
+        F.sum("c").alias("count"),
+        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
     )
-    return plain.join(wide, keys, "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    off = F.col("v") - F.col("mean")
+    squares = counts.join(plain, keys).groupBy(*keys).agg(F.sum(off * off * F.col("c")).alias("ss"))
+    quartiles = quantiles_of_counts(counts, (0.25, 0.5, 0.75), keys)
+    names = ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+    wide = quartiles.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in names])
+    met = plain.join(squares, keys).join(wide, keys)
+    std = F.sqrt(F.try_divide(F.col("ss"), F.col("count") - 1)).alias("std")
+    return met.select(*keys, "count", "mean", std, "min", "q25", "q50", "q75", "max")
 
 
 def group_means(df: DataFrame, columns=("MeanX", "MeanY"), by="Telescope") -> DataFrame:
@@ -122,8 +126,9 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, by=()
     """Counts per equal bin of [lo, hi] per group, zero bins included; `density`
     divides by the rows in range and the bin width."""
     by = _by(by)
-    binned = df.select(*by, uniform_bin(F.col(column).cast("double"), lo, hi, bins).alias("bin"))
-    counts = binned.filter("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    within = df.filter(F.col(column).between(lo, hi))
+    binned = within.select(*by, uniform_bin(F.col(column).cast("double"), lo, hi, bins).alias("bin"))
+    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     full = fill_bins(counts, bins, by)
     if not density:
         return full
@@ -140,7 +145,7 @@ def parameter_histograms(df: DataFrame, ranges=K.PARAMETER_RANGES, by=()) -> Dat
             for c, (lo, hi, n) in ranges.items()
         ]
     )
-    long = df.select(*by, F.explode(cells).alias("kv")).select(*by, "kv.parameter", "kv.bin")
+    long = df.select(*by, F.inline(cells))
     counts = long.filter("bin IS NOT NULL").groupBy(*by, "parameter", "bin").agg(F.count("*").alias("n"))
     bins = {n for _, _, n in ranges.values()}
     if len(bins) != 1:
@@ -191,18 +196,20 @@ def histogram_2d(
     """Counts (or summed weights) of the filled cells, with the largest cell of all groups."""
     by = _by(by)
     w = F.lit(1) if weight is None else weight
-    cells = df.select(
+    within = df.filter(F.col(x).between(*x_range) & F.col(y).between(*y_range))
+    cells = within.select(
         *by,
         uniform_bin(F.col(x), *x_range, bins).alias("ix"),
         uniform_bin(F.col(y), *y_range, bins).alias("iy"),
         w.alias("w"),
-    ).filter("ix IS NOT NULL AND iy IS NOT NULL")
+    )
     return cells.groupBy(*by, "ix", "iy").agg(F.sum("w").alias("n"))
 
 
 def shared_maximum(cells: DataFrame, column: str = "n") -> DataFrame:
-    """Adds `vmax`, the largest cell over all groups."""
-    return cells.withColumn("vmax", cells.agg(F.max(column)).scalar())
+    """Adds `vmax`, the largest cell over all groups. A map has a fixed number of cells,
+    so the window over all of them is small."""
+    return cells.withColumn("vmax", F.max(column).over(Window.partitionBy(F.lit(0))))
 
 
 def time_bucket(seconds: Column, width: int = 100) -> Column:

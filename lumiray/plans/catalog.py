@@ -68,7 +68,7 @@ SELECT file, CAST(seq % 1000 AS BIGINT) AS seq, CAST(floor(t) AS BIGINT) AS ts_s
   CAST(round((t - floor(t)) * 1e6) AS INTEGER) AS ts_usec, CAST(CASE WHEN short THEN 60 ELSE 570 END AS INTEGER) AS caplen
 FROM frames""", frames=FRAMES))
 def _(s: Star):
-    return capture.frame_contents(s.captures()).drop("data")
+    return capture.frame_contents(s.captures()).drop("data", "start_time")
 
 
 @query("src2_src6_packet_counts", sql("""

@@ -1,6 +1,6 @@
 """Row types of the tables that flow between the jobs."""
 
-RAW_PACKET_DDL = "file string, seq bigint, ts_sec bigint, ts_usec int, caplen int, data binary"
+RAW_PACKET_DDL = "file string, seq bigint, ts_sec bigint, ts_usec int, caplen int, data binary, start_time double"
 
 ARRAY_EVENT_DDL = (
     "file string, event bigint, telescope int, tel_event int, scope_id int, "
