@@ -34,6 +34,9 @@ def build_session(app: str = "lumiray", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
+_local_folders: dict = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one the cluster names in `spark.checkpoint.dir`.
 
@@ -43,8 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="lumiray-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local_folders.setdefault(app, None) or tempfile.mkdtemp(prefix="lumiray-")
+        _local_folders[app] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -17,9 +17,9 @@ def spark(tmp_path_factory):
         spark__driver__memory="6g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     ship_package(session)
     yield session
     session.stop()
