@@ -172,9 +172,12 @@ def histogram_own_range(df: DataFrame, column: str, bins, by=()) -> DataFrame:
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         "bins",
     )
-    binned = source.join(span, keys).select(
-        *keys, uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")
-    )
+    if by:
+        placed, lo, hi, n = source.join(span, keys), F.col("lo"), F.col("hi"), F.col("bins")
+    else:  # one range for all rows: a scalar, not a join
+        whole = span.select(F.struct("lo", "hi", "bins").alias("s")).scalar()
+        placed, lo, hi, n = source.withColumn("s", whole), F.col("s.lo"), F.col("s.hi"), F.col("s.bins")
+    binned = placed.select(*keys, uniform_bin(F.col("v"), lo, hi, n).alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     spine = span.filter("bins > 0").select(
         *keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
