@@ -251,11 +251,34 @@ def bucket_means(df: DataFrame, columns=("Width", "Size"), time: str = "Timestam
 
 
 def sliding_means(
-    df: DataFrame, columns=("MeanX", "MeanY"), by=("File", "Telescope"), order=("Timestamp",), before=60, after=59
+    df: DataFrame, columns=("MeanX", "MeanY"), by=("File", "Telescope"), time: str = "Timestamp", then=("Event",),
+    before: int = 60, after: int = 59, hours: float = 1.0, block: int = 100_000,
 ) -> DataFrame:
-    """Mean over a frame of neighbouring rows of the same file and telescope."""
-    frame = Window.partitionBy(*_by(by)).orderBy(*order).rowsBetween(-before, after)
-    return df.withColumns({f"sliding_{c}": F.avg(c).over(frame) for c in columns})
+    """Adds the mean over a frame of neighbouring rows of the same file and telescope, in
+    the order of `time` and `then`.
+
+    A file may hold any share of the rows, so it is never sorted as a whole: rows are
+    ranked within time slices whose starts come from running sums of slice counts, then
+    cut into blocks of `block` ranks that borrow the neighbours their frames reach into.
+    """
+    by = _by(by)
+    if block < max(before, after):
+        raise ValueError("a block must be at least as long as the frame reaches")
+    sliced = df.withColumn("slice_", F.floor(F.col(time) / (hours * 3600)))
+    sizes = sliced.groupBy(*by, "slice_").agg(F.count("*").alias("rows_"))
+    past = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "slice_", F.coalesce(F.sum("rows_").over(past), F.lit(0)).alias("start_"))
+    place = Window.partitionBy(*by, "slice_").orderBy(time, *then)
+    ranked = sliced.withColumn("place_", F.row_number().over(place)).join(starts, [*by, "slice_"])
+    ranked = ranked.withColumn("rank_", F.col("start_") + F.col("place_") - 1)
+    home, at = F.floor(F.col("rank_") / block), F.col("rank_") % block
+    blocks = F.array(home, F.when(at >= block - before, home + 1), F.when(at < after, home - 1))
+    lent = ranked.withColumn("block_", F.explode(F.filter(blocks, lambda k: k.isNotNull())))
+    frame = Window.partitionBy(*by, "block_").orderBy("rank_").rowsBetween(-before, after)
+    meaned = lent.withColumns({f"sliding_{c}": F.avg(c).over(frame) for c in columns})
+    return meaned.filter(F.floor(F.col("rank_") / block) == F.col("block_")).select(
+        *df.columns, *[f"sliding_{c}" for c in columns]
+    )
 
 
 def mean_scaled(df: DataFrame, by: str = "class", least: int = 2, key: str = "Event") -> DataFrame:

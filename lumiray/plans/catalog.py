@@ -823,7 +823,7 @@ def _(s: Star):
 SELECT "Event", "Telescope", {r('avg("MeanX") OVER w')} AS "sliding_MeanX", {r('avg("MeanY") OVER w')} AS "sliding_MeanY" FROM usable
 WINDOW w AS (PARTITION BY "File", "Telescope" ORDER BY "Timestamp", "Event" ROWS BETWEEN 60 PRECEDING AND 59 FOLLOWING)""", "usable"))
 def _(s: Star):
-    d = stats.sliding_means(s.usable(), order=("Timestamp", "Event"))
+    d = stats.sliding_means(s.usable(), hours=24 * 90.0, block=200)
     return rounded(d.select("Event", "Telescope", "sliding_MeanX", "sliding_MeanY"))
 
 

@@ -124,3 +124,24 @@ def test_resolution_and_area(spark, rows):
     seen = [5.0 * e for e in range(1, 41) if e % 5]
     assert [a["triggered"] for a in area] == np.histogram(seen, 10)[0].tolist()
     assert [a["simulated"] for a in area] == np.histogram([5.0 * e for e in range(1, 41)], 10)[0].tolist()
+
+
+def test_sliding_means_over_block_edges(spark):
+    rng = np.random.default_rng(9)
+    n = 500
+    t = np.sort(rng.uniform(0, 40000, n))
+    x = rng.normal(0, 1, n)
+    df = spark.createDataFrame([("f", 1, int(k), float(a), float(b)) for k, (a, b) in enumerate(zip(t, x))], "File string, Telescope int, Event bigint, Timestamp double, MeanX double")
+    want = [x[max(0, k - 6) : k + 6].mean() for k in range(n)]
+    for block in (6, 37, 10_000):
+        out = stats.sliding_means(df, ["MeanX"], before=6, after=5, block=block).orderBy("Event").collect()
+        assert [r.sliding_MeanX for r in out] == pytest.approx(want)
+
+
+def test_crowded_event_stays_exact(spark):
+    """One event holds a third of all rows."""
+    data = [(1 if k % 3 == 0 else k, k, float(k % 101)) for k in range(3000)]
+    df = spark.createDataFrame(data, "Event bigint, Telescope int, Distance double")
+    out = stats.event_maximum(df).collect()
+    assert len(out) == 3000
+    assert {r.MaxDistance for r in out if r.Event == 1} == {None, 100.0}
