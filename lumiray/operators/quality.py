@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumiray import constants as K
 from lumiray.functions.numeric import uniform_bin
 from lumiray.schemas import REQUIRED_COLUMNS
+from lumiray.session import small_table
 
 
 def drop_missing(df: DataFrame, columns=tuple(REQUIRED_COLUMNS)) -> DataFrame:
@@ -122,7 +123,7 @@ def global_event_ids(df: DataFrame, path: str = "path", name: Column | None = No
     rows in all files before it. Only per-file counts meet in the running sum."""
     sizes = df.groupBy(path).agg(F.count("*").alias("rows_"))
     before = Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(path, F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("buffer_"))
+    offsets = small_table(sizes.select(path, F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("buffer_")))
     tagged = df.join(offsets, path)
     base = name if name is not None else provenance(F.col(path))
     rest = [c for c in df.columns if c not in (path, "Event")]
@@ -156,6 +157,7 @@ def renumber(df: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     chunks = chunks.select(
         "File", "chunk_", F.coalesce(F.sum("rows_").over(in_file), F.lit(0)).alias("start_")
     ).join(files, "File")
+    chunks = small_table(chunks)
     place = Window.partitionBy("File", "chunk_").orderBy("In_file_Index", "Telescope", "Event")
     numbered = cut.withColumn("place_", F.row_number().over(place)).join(chunks, ["File", "chunk_"])
     event = (F.col("file_start_") + F.col("start_") + F.col("place_")).cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumiray import constants as K
 from lumiray.functions.numeric import uniform_bin
-from lumiray.session import cut_lineage
+from lumiray.session import small_table
 
 
 def _by(keys) -> list[str]:
@@ -29,48 +29,43 @@ def distinct_events(df: DataFrame, by=()) -> DataFrame:
     return df.groupBy(*_by(by)).agg(F.count_distinct("Event").alias("n_events"))
 
 
-def value_counts(df: DataFrame, value: str, keys) -> DataFrame:
-    """Distinct present values `v` with their number `c` per group, written once: the
-    rankings below read them several times."""
-    present = df.select(*keys, F.col(value).cast("double").alias("v")).dropna(subset=["v"])
-    return cut_lineage(present.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 8192) -> DataFrame:
+    """Linearly interpolated exact quantiles and the count `n` of present values per group.
 
-
-def quantiles_of_counts(weights: DataFrame, probs, keys, bins: int = 8192) -> DataFrame:
-    """Linearly interpolated quantiles of counted values.
-
-    A coarse histogram tells which cell holds each wanted rank, and only the values of
-    those cells are ranked, so no task sees a whole group.
+    Three passes over two columns: the range of each group, a histogram that tells which
+    cell holds each wanted rank, and the values of those cells alone, which are counted
+    and ranked. Only histograms and a few cells are shuffled, and no task sees a group.
     """
-    span = weights.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    celled = weights.join(span, keys).select(
-        *keys, "v", "c", F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0)).alias("cell")
+    by = _by(by)
+    keys = by or ["g_"]
+    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, F.col(value).cast("double").alias("v"))
+    source = source.dropna(subset=["v"])
+    span = small_table(
+        source.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    )
+    celled = source.join(span, keys).select(
+        *keys, "v", F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0)).alias("cell")
     )
-    cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("m"))
+    cells = celled.groupBy(*keys, "cell").agg(F.count("*").alias("m"))
     running = Window.partitionBy(*keys).orderBy("cell")
     cells = cells.withColumn("stop", F.sum("m").over(running)).withColumn("start", F.col("stop") - F.col("m"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     ranks = span.select(*keys, "n", wanted).withColumn("h", (F.col("n") - 1) * F.col("prob"))
     ranks = ranks.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     ranks = ranks.withColumn("rank", F.least(F.floor("h") + F.col("side"), F.col("n") - 1))
-    found = ranks.join(cells, keys).filter("rank >= start AND rank < stop")
+    found = small_table(ranks.join(cells, keys).filter("rank >= start AND rank < stop").drop("stop", "m"))
     needed = found.select(*keys, "cell", "start").distinct()
+    counted = celled.join(needed, [*keys, "cell"])
+    counted = counted.groupBy(*keys, "cell", "start", "v").agg(F.count("*").alias("c"))
     inner = Window.partitionBy(*keys, "cell").orderBy("v")
-    ranked = celled.join(needed, [*keys, "cell"]).withColumn("to", F.sum("c").over(inner) + F.col("start"))
+    ranked = counted.withColumn("to", F.sum("c").over(inner) + F.col("start"))
     ranked = ranked.withColumn("from", F.col("to") - F.col("c")).drop("start", "c")
-    hit = found.drop("start", "stop", "m").join(ranked, [*keys, "cell"]).filter("rank >= `from` AND rank < `to`")
+    hit = found.drop("start").join(ranked, [*keys, "cell"]).filter("rank >= `from` AND rank < `to`")
     low = F.max(F.when(F.col("side") == 0, F.col("v")))
     high = F.max(F.when(F.col("side") == 1, F.col("v")))
     part = F.max(F.col("h") - F.floor("h"))
-    return hit.groupBy(*keys, "prob", "n").agg((low + (high - low) * part).alias("quantile"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
-    """Exact interpolated quantiles and the count `n` of present values per group."""
-    by = _by(by)
-    keys = by or ["g_"]
-    source = df if by else df.withColumn("g_", F.lit(1))
-    return quantiles_of_counts(value_counts(source, value, keys), probs, keys).select(*by, "prob", "quantile", "n")
+    out = hit.groupBy(*keys, "prob", "n").agg((low + (high - low) * part).alias("quantile"))
+    return out.select(*by, "prob", "quantile", "n")
 
 
 def describe(df: DataFrame, columns, by=()) -> DataFrame:
@@ -79,21 +74,17 @@ def describe(df: DataFrame, columns, by=()) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*by, F.inline(pairs))
     keys = [*by, "column"]
-    counts = value_counts(long, "value", keys)
-    plain = counts.groupBy(*keys).agg(
-        F.sum("c").alias("count"),
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+    plain = long.groupBy(*keys).agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    off = F.col("v") - F.col("mean")
-    squares = counts.join(plain, keys).groupBy(*keys).agg(F.sum(off * off * F.col("c")).alias("ss"))
-    quartiles = quantiles_of_counts(counts, (0.25, 0.5, 0.75), keys)
+    quartiles = exact_quantiles(long, "value", (0.25, 0.5, 0.75), keys)
     names = ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
     wide = quartiles.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in names])
-    met = plain.join(squares, keys).join(wide, keys)
-    std = F.sqrt(F.try_divide(F.col("ss"), F.col("count") - 1)).alias("std")
-    return met.select(*keys, "count", "mean", std, "min", "q25", "q50", "q75", "max")
+    return plain.join(wide, keys, "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def group_means(df: DataFrame, columns=("MeanX", "MeanY"), by="Telescope") -> DataFrame:
@@ -173,6 +164,7 @@ def histogram_own_range(df: DataFrame, column: str, bins, by=()) -> DataFrame:
         "bins",
     )
     if by:
+        span = small_table(span)
         placed, lo, hi, n = source.join(span, keys), F.col("lo"), F.col("hi"), F.col("bins")
     else:  # one range for all rows: a scalar, not a join
         whole = span.select(F.struct("lo", "hi", "bins").alias("s")).scalar()
@@ -267,7 +259,7 @@ def sliding_means(
     sliced = df.withColumn("slice_", F.floor(F.col(time) / (hours * 3600)))
     sizes = sliced.groupBy(*by, "slice_").agg(F.count("*").alias("rows_"))
     past = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "slice_", F.coalesce(F.sum("rows_").over(past), F.lit(0)).alias("start_"))
+    starts = small_table(sizes.select(*by, "slice_", F.coalesce(F.sum("rows_").over(past), F.lit(0)).alias("start_")))
     place = Window.partitionBy(*by, "slice_").orderBy(time, *then)
     ranked = sliced.withColumn("place_", F.row_number().over(place)).join(starts, [*by, "slice_"])
     ranked = ranked.withColumn("rank_", F.col("start_") + F.col("place_") - 1)
@@ -287,7 +279,7 @@ def mean_scaled(df: DataFrame, by: str = "class", least: int = 2, key: str = "Ev
     Mean and population spread are those of all rows of the class, while only events
     with at least `least` rows are kept. The event's mean is that of its raw values,
     shifted and scaled, so the class statistics meet one row per event."""
-    spread = population_spread(df, ("Width", "Length"), by)
+    spread = small_table(population_spread(df, ("Width", "Length"), by))
     events = df.groupBy(by, key).agg(
         F.avg("Width").alias("w"), F.avg("Length").alias("l"), F.count("*").alias("n_images")
     )

@@ -699,7 +699,7 @@ _DESC = " UNION ALL ".join(
 
 @query("agg4_describe", sql(_DESC, "hub"))
 def _(s: Star):
-    out = stats.describe(s.hub(), SHAPE_COLUMNS)
+    out = stats.describe(cut_lineage(s.hub()), SHAPE_COLUMNS)
     return out.select("column", "count", "min", "max", *[tidy(F.col(c)).alias(c) for c in ("mean", "std", "q25", "q50", "q75")])
 
 
@@ -712,7 +712,7 @@ def _(s: Star):
 @query("agg6_quantile", sql(f"""
 SELECT "Telescope", 0.68e0 AS prob, {r('quantile_cont("Distance", 0.68)')} AS quantile, count("Distance") AS n FROM hub GROUP BY "Telescope" """, "hub"))
 def _(s: Star):
-    return rounded(stats.exact_quantiles(s.hub(), "Distance", (0.68,), "Telescope"))
+    return rounded(stats.exact_quantiles(cut_lineage(s.hub()), "Distance", (0.68,), "Telescope"))
 
 
 @query("agg7_population_spread", sql(f"""
@@ -1189,7 +1189,7 @@ LEFT JOIN binned b ON b.selection = g.selection AND b.error = g.error AND b.bin
 binned=f"""SELECT selection, 'angle_square' AS error, {fixed_bin('angle_error * angle_error', 0, 45, 40)} AS bin FROM errors WHERE "TrueEnergy" > 10000
   UNION ALL SELECT selection, 'core', {fixed_bin('core_error', 0, 200, 40)} FROM errors WHERE "TrueEnergy" > 10000"""))
 def _(s: Star):
-    return performance.error_histograms(_sim_table(s), (0.0, 45.0), (0.0, 200.0))
+    return performance.error_histograms(s.sim(), (0.0, 45.0), (0.0, 200.0))
 
 
 @query("res2_resolution_by_threshold", sql(f"""

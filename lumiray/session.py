@@ -60,6 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(df: DataFrame) -> DataFrame:
+    """Per-group statistics on their way back to the rows, as a written table.
+
+    The planner then knows their true size: it broadcasts them below
+    `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it. From an unwritten
+    aggregate it would expect the size of its input, and shuffle all rows by keys
+    of which there may be very few."""
+    return cut_lineage(df)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most `max_rows`
     rows; a larger side is left to a shuffled join, which AQE splits on skew."""
