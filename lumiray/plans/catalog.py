@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from lumiray import constants as K
 from lumiray.functions import angles
 from lumiray.functions import statistics as st
-from lumiray.functions.numeric import tidy, uniform_bin
+from lumiray.functions.numeric import tidy
 from lumiray.operators import classify, performance, pointing, psf, quality, selection, sky, stats, stereo
 from lumiray.operators import images as I
 from lumiray.operators import parameters as P
 from lumiray.plans import flows
 from lumiray.plans.oracle import (
-    SHAPES, TWO_PI, axis_bin, div, fixed_bin, lit, moments, parameters, pmod, r, radec, separation, snap, sql,
+    SHAPES, TWO_PI, axis_bin, div, fixed_bin, lit, moments, parameters, pmod, r, separation, sql,
 )
 from lumiray.plans.star import POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
