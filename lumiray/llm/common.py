@@ -29,19 +29,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_blocks(texts, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts as UTF-8 in runs of about `limit` bytes, each with the place of its first;
-    a longer text is a run of its own. Null counts as empty. Keeps numpy's working memory bounded."""
-    start, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        b = b"" if t is None else t.encode("utf-8", "surrogatepass")
+def byte_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of about `limit` bytes; a longer text is a run of its own. Keeps numpy's working memory bounded."""
+    held, size = [], 0
+    for b in texts:
         if held and size + len(b) > limit:
-            yield start, held
-            start, held, size = k, [], 0
+            yield held
+            held, size = [], 0
         held.append(b)
         size += len(b)
     if held:
-        yield start, held
+        yield held
+
+
+def text_blocks(texts, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts as UTF-8, in such runs, each with the place of its first. Null counts as empty."""
+    at = 0
+    for block in byte_blocks([b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts], limit):
+        yield at, block
+        at += len(block)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiray.llm import chat, mixing, packing, sharding
+from lumiray.llm import chat, fingerprints, mixing, neighbours, packing, quality, sharding, toxicity
 from lumiray.llm.common import documents, table
 
 
@@ -22,6 +22,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -33,9 +37,22 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns, vocabulary()))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op4_pack, op5_chat, op9_shard)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op3_toxicity, op4_pack, op5_chat, op6_quality, op8_fingerprint, op9_shard, op10_neighbours)}
 ORACLES = {"op9_shard": sharding.oracle_sql()}
