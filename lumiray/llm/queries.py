@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiray.llm import chat, fingerprints, mixing, neighbours, packing, quality, sharding, toxicity
+from lumiray.llm import chat, fingerprints, mixing, near_duplicates, neighbours, packing, quality, sharding, toxicity
 from lumiray.llm.common import documents, table
 
 
@@ -41,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -54,5 +58,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_toxicity, op4_pack, op5_chat, op6_quality, op8_fingerprint, op9_shard, op10_neighbours)}
-ORACLES = {"op9_shard": sharding.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours)}
+ORACLES = {"op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql()}
