@@ -164,3 +164,26 @@ def mix(
 
     pieces = F.transform("_pieces", lambda p: F.struct(p["turn"].alias("pass"), p["words"].alias("words"), shard_of(p["block"]).alias("shard")))
     return lined.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", pieces.alias("pieces"), *keep)
+
+
+def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, with the columns of the input: one row for each piece, its text cut to the piece's words
+    (and n_chars to match, if there). Rows are dealt to the shards and shuffled inside each."""
+    names = docs.columns
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    pieces = mix(whole, keep=("_doc",), **settings).select("_doc", "size", F.explode("pieces").alias("_piece"))
+    words = F.regexp_extract_all(F.col("_doc.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    cut = F.col("_piece.words") < F.col("size")
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_piece.words").cast("int")), "")).otherwise(F.col("_doc.text"))
+    out = pieces.withColumn("_text", text).withColumn("_order", F.xxhash64(F.lit(settings.get("seed", 7)), "_doc.doc_id", "_piece.pass", "_text"))
+    out = out.repartition(F.col("_piece.shard")).sortWithinPartitions("_piece.shard", "_order")
+
+    def column(name: str) -> Column:
+        own = F.col(f"_doc.`{name}`")
+        if name == "text":
+            return F.col("_text").alias("text")
+        if name == "n_chars":
+            return F.when(cut, F.length("_text")).otherwise(own).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return out.select(*map(column, names))
