@@ -94,6 +94,8 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     size += len(texts[at])
                     at += 1
                 found = line_hashes(texts[start:at], least)
+                if not len(found["of"]):
+                    continue
                 keys = [k[:n] for k, n in zip(found["keys"], found["halves"].tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start + found["of"]].to_numpy(), "line": found["line"], "h": found["h"], "g": found["g"], "keys": keys}).astype({"doc_id": "Int64"})
 
