@@ -109,5 +109,6 @@ CLASSIFIER_DEPTH = 30  # deepest tree the Spark learner accepts
 TRAIN_PERCENT = 67
 EARTH_RADIUS_M = 6371000.0
 
-# sums of doubles closer to zero than this are rounding noise
-NOISE = 1e-11
+# sums of doubles closer to zero than this are rounding noise: a width from such a variance is written
+# as 0.000000 in parameter files in any case
+NOISE = 2e-13

@@ -134,14 +134,14 @@ def cleaner(
 
 
 def densify(side: int):
-    """Lists of cell numbers and of their contents to whole images."""
+    """Lists of cell numbers and of their contents to whole images; contents of a repeated cell add up."""
 
     @F.arrow_udf("array<int>")
     def dense(cells: pa.Array, values: pa.Array) -> pa.Array:
         rows = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         images = np.zeros((len(cells), side * side), dtype=np.int32)
         at = cells.flatten().to_numpy(zero_copy_only=False)
-        images[rows, at] = values.flatten().to_numpy(zero_copy_only=False)
+        np.add.at(images, (rows, at), values.flatten().to_numpy(zero_copy_only=False))
         offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * (side * side))
         return pa.ListArray.from_arrays(offsets, pa.array(images.reshape(-1)))
 

@@ -14,21 +14,21 @@ from lumiray.functions import angles
 from lumiray.functions.numeric import uniform_bin
 from lumiray.functions.stencil import cleaner, densify
 from lumiray.operators.derive import derive_once
-from lumiray.session import broadcast_if_small
+from lumiray.session import BROADCAST_MAX_BYTES, broadcast_if_small
 
 
 def subtract_pedestals(
-    events: DataFrame, pedestals: DataFrame, keys=("file", "scope_id"), max_rows: int = 20_000
+    events: DataFrame, pedestals: DataFrame, keys=("file", "scope_id"), max_bytes: int = BROADCAST_MAX_BYTES
 ) -> DataFrame:
     """Adds `image`: raw minus pedestal, cut toward zero to whole ADU; an image of
     zeros where the telescope did not take part (scope_id <= 0).
 
-    The pedestal side is broadcast only up to `max_rows` maps; beyond that the
+    The pedestal side is broadcast only up to `max_bytes`; beyond that the
     join is shuffled on the keys and AQE splits a file that holds too many rows.
     """
     keys = list(keys)
     maps = pedestals.select(*keys, "peds")
-    joined = events.join(broadcast_if_small(maps, max_rows), keys, "left")
+    joined = events.join(broadcast_if_small(maps, max_bytes), keys, "left")
     zeros = F.transform("pix", lambda _: F.lit(0))
     image = F.zip_with("pix", "peds", lambda p, q: (p - q).cast("int"))
     return joined.withColumn("image", F.when(F.col("scope_id") > 0, image).otherwise(zeros)).drop("peds")

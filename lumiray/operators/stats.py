@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiray import constants as K
-from lumiray.functions.numeric import uniform_bin
-from lumiray.session import small_table
+from lumiray.functions.numeric import missing, uniform_bin
+from lumiray.session import cut_lineage, small_table
 
 
 def _by(keys) -> list[str]:
@@ -29,42 +29,65 @@ def distinct_events(df: DataFrame, by=()) -> DataFrame:
     return df.groupBy(*_by(by)).agg(F.count_distinct("Event").alias("n_events"))
 
 
+def _cell_place(bins: int, depth: int) -> Column:
+    """The part of [lo, hi] that holds v, in order of v: equal parts, or equal ratios over many decades. A cell that
+    still holds zero inside after two passes is cut there."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    wide = 1e6
+    place = F.when((lo > 0) & (hi / wide > lo), uniform_bin(F.ln(v), F.ln(lo), F.ln(hi), bins))
+    place = place.when((hi < 0) & (lo / wide < hi), uniform_bin(-F.ln(-v), -F.ln(-lo), -F.ln(-hi), bins))
+    if depth >= 2:
+        place = place.when((lo < 0) & (hi > 0), F.signum(v).cast("int") + 1)
+    return place.otherwise(uniform_bin(v, lo, hi, bins))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 8192) -> DataFrame:
     """Linearly interpolated exact quantiles and the count `n` of present values per group.
 
-    Three passes over two columns: the range of each group, a histogram that tells which
-    cell holds each wanted rank, and the values of those cells alone, which are counted
-    and ranked. Only histograms and a few cells are shuffled, and no task sees a group.
-    """
+    The range of each group is cut into `bins` equal cells, whose counts, least and largest values tell
+    which cell holds each wanted rank. Cells that hold more than one value are cut again between these two,
+    reading the rows of those cells alone, until each holds one. So no task ever sorts or sees the values
+    of a group or cell, however they lie: a far outlier or a dominant value costs another pass over
+    fewer rows, and cells of many decades are cut by the logarithm. Infinite values are cells of their own at the ends. NULL and NaN are absent."""
     by = _by(by)
     keys = by or ["g_"]
-    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, F.col(value).cast("double").alias("v"))
+    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, missing(F.col(value).cast("double")).alias("v"))
     source = source.dropna(subset=["v"])
+    finite = F.when(F.abs(F.col("v")) < float("inf"), F.col("v"))
     span = small_table(
-        source.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    celled = source.join(span, keys).select(
-        *keys, "v", F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0)).alias("cell")
+        source.groupBy(*keys).agg(F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
     )
-    cells = celled.groupBy(*keys, "cell").agg(F.count("*").alias("m"))
-    running = Window.partitionBy(*keys).orderBy("cell")
-    cells = cells.withColumn("stop", F.sum("m").over(running)).withColumn("start", F.col("stop") - F.col("m"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     ranks = span.select(*keys, "n", wanted).withColumn("h", (F.col("n") - 1) * F.col("prob"))
     ranks = ranks.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    ranks = ranks.withColumn("rank", F.least(F.floor("h") + F.col("side"), F.col("n") - 1))
-    found = small_table(ranks.join(cells, keys).filter("rank >= start AND rank < stop").drop("stop", "m"))
-    needed = found.select(*keys, "cell", "start").distinct()
-    counted = celled.join(needed, [*keys, "cell"])
-    counted = counted.groupBy(*keys, "cell", "start", "v").agg(F.count("*").alias("c"))
-    inner = Window.partitionBy(*keys, "cell").orderBy("v")
-    ranked = counted.withColumn("to", F.sum("c").over(inner) + F.col("start"))
-    ranked = ranked.withColumn("from", F.col("to") - F.col("c")).drop("start", "c")
-    hit = found.drop("start").join(ranked, [*keys, "cell"]).filter("rank >= `from` AND rank < `to`")
+    ranks = small_table(ranks.withColumn("rank", F.least(F.floor("h") + F.col("side"), F.col("n") - 1)))
+    rows, cells = source.withColumn("cell", F.lit(0)), span.select(*keys, F.lit(0).alias("cell"), F.lit(0).alias("start"), "lo", "hi")
+    found, depth = None, 0
+    while True:
+        place, depth = F.coalesce(_cell_place(bins, depth), F.lit(0)), depth + 1
+        part = F.when(F.col("v") == float("-inf"), -1).when(F.col("v") == float("inf"), bins).otherwise(place)
+        parted = rows.join(cells, [*keys, "cell"]).select(*keys, "cell", "start", "v", part.cast("int").alias("part"))
+        counts = parted.groupBy(*keys, "cell", "start", "part").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        running = Window.partitionBy(*keys, "cell").orderBy("part")
+        counts = counts.withColumn("stop", F.sum("m").over(running) + F.col("start")).withColumn("start", F.col("stop") - F.col("m"))
+        hits = small_table(ranks.join(counts, keys).filter("rank >= start AND rank < stop"))
+        done = hits.filter("lo = hi").select(*keys, "prob", "side", "n", "h", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        open_cells = hits.filter("lo < hi").select(*keys, "cell", "part", "start", "lo", "hi").distinct()
+        # a handful of cells for each group
+        order = Window.partitionBy(*keys).orderBy("start")
+        open_cells = small_table(open_cells.withColumn("next_", F.row_number().over(order)))
+        if open_cells.isEmpty():
+            break
+        rows = cut_lineage(
+            parted.join(open_cells.select(*keys, "cell", "part", "next_"), [*keys, "cell", "part"]).select(*keys, "v", F.col("next_").alias("cell"))
+        )
+        cells = open_cells.select(*keys, F.col("next_").alias("cell"), "start", "lo", "hi")
+        ranks = ranks.join(hits.filter("lo < hi").select(*keys, "prob", "side"), [*keys, "prob", "side"])
     low = F.max(F.when(F.col("side") == 0, F.col("v")))
     high = F.max(F.when(F.col("side") == 1, F.col("v")))
     part = F.max(F.col("h") - F.floor("h"))
-    out = hit.groupBy(*keys, "prob", "n").agg((low + (high - low) * part).alias("quantile"))
+    out = found.groupBy(*keys, "prob", "n").agg(F.when(low == high, low).otherwise(low + (high - low) * part).alias("quantile"))
     return out.select(*by, "prob", "quantile", "n")
 
 

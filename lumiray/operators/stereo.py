@@ -1,8 +1,11 @@
 """Stereo reconstruction: shower direction and ground position from several telescopes.
 
-The images of an event are laid side by side in one row by a single grouped
-aggregate with fixed-width buffers, which combines before the shuffle. All pairs of
-telescopes are then column expressions of that row: no self-join, no lists.
+Two ways lead to the same results. The general one takes any number of images in an
+event, also several of one telescope: an event's images are joined with each other on the
+event, and sums by event give direction and position. Where every event is known to have at
+most one image of each telescope, its images are laid side by side in one row by a single
+grouped aggregate with fixed-width buffers, which combines before the shuffle; all pairs
+of telescopes are then column expressions of that row.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiray import constants as K
@@ -18,9 +21,6 @@ from lumiray.functions import angles
 from lumiray.functions.numeric import hypot
 from lumiray.operators.derive import derive_once
 
-# weighted mean square sine of the crossing angles below which lines count as parallel:
-# the crossing would be given by rounding alone in single precision
-PARALLEL = 1e-8
 IMAGE_COLUMNS = ("Size", "MeanX", "MeanY", "Phi", "Length", "Width")
 
 
@@ -32,7 +32,8 @@ def side_by_side(
     images: DataFrame, columns=IMAGE_COLUMNS, telescopes=K.TELESCOPES, key: str = "Event", extra=()
 ) -> DataFrame:
     """One row per event: `<column>_<telescope>` for each telescope, NULL where it has
-    no image, and `n_images`. Two images of one telescope in an event are an error."""
+    no image, and `n_images`. Only for images known to be unique by event and telescope:
+    two images of one telescope in an event, or another telescope, are an error."""
     aggs = []
     for t in telescopes:
         here = F.col("Telescope") == t
@@ -46,7 +47,8 @@ def side_by_side(
         .when(strange, F.raise_error(F.lit("an image has an unknown telescope number")).cast("bigint"))
         .otherwise(F.col("n_images"))
     )
-    return wide.withColumn("n_images", checked).drop(*[f"n_{t}" for t in telescopes])
+    # as a filter, so that the check stays where nobody reads the number
+    return wide.withColumn("n_images", checked).filter("n_images > 0").drop(*[f"n_{t}" for t in telescopes])
 
 
 def has_image(t: int) -> Column:
@@ -117,8 +119,56 @@ def reconstructible(images: DataFrame) -> DataFrame:
     return images.filter("Size > 0 AND Length IS NOT NULL AND Width IS NOT NULL")
 
 
-def directions(images: DataFrame, least: int = 2, telescopes=K.TELESCOPES, extra=()) -> DataFrame:
-    """Camera-plane direction per event with at least `least` images."""
+def images_in_order(images: DataFrame, columns=IMAGE_COLUMNS, key: str = "Event") -> DataFrame:
+    """Adds `slot`, the number of an image in its event from 1, by telescope and then by content,
+    and `n_images`, the event's number of images."""
+    event = Window.partitionBy(key)
+    return images.withColumns(
+        {"slot": F.row_number().over(event.orderBy("Telescope", *columns)), "n_images": F.count(F.lit(1)).over(event)}
+    )
+
+
+def directions_of_pairs(images: DataFrame, least: int = 2, key: str = "Event") -> DataFrame:
+    """Direction of each event with at least `least` images, however many and of whatever telescopes:
+    `Xoffset`, `Yoffset`, `MeanAngle`, `n_images`. The same sums as in `axis_intersection`, over the
+    pairs of a join on the event."""
+    ordered = images_in_order(images.select(key, "Telescope", *IMAGE_COLUMNS), key=key).filter(F.col("n_images") >= max(least, 2))
+    turned = ordered.withColumn("f", F.radians(angles.axis_angle(F.col("Phi")))).select(
+        key, "slot", "n_images", "Size", "MeanX", "MeanY", "f", F.cos("f").alias("c"), F.sin("f").alias("s"),
+        (1 - F.when(F.col("Length") > 0, F.try_divide("Width", "Length")).otherwise(1.0)).alias("e"),
+    )
+    a, b = turned.alias("a"), turned.alias("b")
+    g = lambda side, c: F.col(f"{side}.{c}")
+    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter("a.slot < b.slot")
+    turn = g("b", "f") - g("a", "f")
+    sine = F.sin(turn)
+    strength = F.try_divide(g("a", "Size") * g("b", "Size"), g("a", "Size") + g("b", "Size")) * g("a", "e") * g("b", "e")
+    reach = (g("b", "MeanX") - g("a", "MeanX")) * g("b", "s") - (g("b", "MeanY") - g("a", "MeanY")) * g("b", "c")
+    pull = strength * strength * sine
+    gap = F.degrees(F.abs(turn))
+    terms = pairs.select(
+        F.col(f"a.{key}").alias(key), g("a", "n_images").alias("n_images"), (pull * sine).alias("w"),
+        (pull * (g("a", "MeanX") * sine + reach * g("a", "c"))).alias("x"),
+        (pull * (g("a", "MeanY") * sine + reach * g("a", "s"))).alias("y"), gap.alias("gap"),
+    )
+    folded = F.when(F.col("gap") < 90, F.col("gap")).otherwise(180 - F.col("gap"))
+    sums = terms.groupBy(key).agg(
+        F.max("n_images").alias("n_images"), F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("y").alias("y"),
+        F.max("gap").alias("gap"), F.avg(folded).alias("fold"),
+    )
+    return sums.filter("w > 0").select(
+        key, "n_images", F.try_divide("x", "w").alias("Xoffset"), F.try_divide("y", "w").alias("Yoffset"),
+        F.when(F.col("n_images") == 2, -F.col("gap")).otherwise(F.col("fold")).alias("MeanAngle"),
+    )
+
+
+def directions(images: DataFrame, least: int = 2, telescopes=K.TELESCOPES, extra=(), unique: bool = False) -> DataFrame:
+    """Camera-plane direction per event with at least `least` images.
+
+    `unique` says that no event has two images of a telescope, nor one of others than `telescopes`; the result
+    then has the images side by side, and `extra` aggregates."""
+    if not unique:
+        return directions_of_pairs(images, least)
     wide = side_by_side(images, telescopes=telescopes, extra=extra)
     return axis_intersection(wide.filter(F.col("n_images") >= max(least, 2)), telescopes)
 
@@ -139,11 +189,12 @@ def perpendicular_distance(xs: Column, ys: Column, xp: Column, yp: Column, ux: C
     return F.abs(ux * (ys - yp) - uy * (xs - xp))
 
 
-def core_fit(df: DataFrame, telescopes=K.TELESCOPES) -> DataFrame:
+def core_fit(df: DataFrame, telescopes=K.TELESCOPES, parallel: float = 0.0) -> DataFrame:
     """Adds `xfit`, `yfit`, `stdP`, `n_lines` from the lines `lx_t, ly_t, ux_t, uy_t, lw_t`.
 
     The point minimises the weighted squared perpendicular distance; stdP is the weighted
-    mean square. NULL for fewer than two lines or parallel lines.
+    mean square. NULL for fewer than two lines, or where the mean squared sine of the crossing
+    angles, weighted, is not above `parallel`.
     """
 
     def total(term) -> Column:
@@ -174,9 +225,9 @@ def core_fit(df: DataFrame, telescopes=K.TELESCOPES) -> DataFrame:
         }
     )
     a1, b1, b2, c1, c2 = (F.col(c) for c in ("a1", "b1", "b2", "c1", "c2"))
-    # the mean squared sine of the crossing angles; below the bound rounding decides
+    # the mean squared sine of the crossing angles
     spread = a1 * b2 - b1 * b1
-    det = F.when((F.col("n_lines") >= 2) & (spread > PARALLEL), spread)
+    det = F.when((F.col("n_lines") >= 2) & (spread > parallel), spread)
     fitted = sums.withColumn("det", det).withColumns(
         {
             "xfit": F.try_divide(b1 * c2 - c1 * b2, F.col("det")),
@@ -226,6 +277,54 @@ def core_lines(df: DataFrame, positions=None, telescopes=K.TELESCOPES) -> DataFr
     return lined.withColumns(unit).drop(*[f"h{a}_{t}" for a in "xy" for t in telescopes])
 
 
+def core_of_images(images: DataFrame, directed: DataFrame, positions, parallel: float = 0.0, key: str = "Event") -> DataFrame:
+    """`xfit`, `yfit`, `stdP`, `n_lines` of each directed event (with TrueAz, TrueZe) from the lines of all its
+    images, however many: the fit of `core_fit`, with one sum by event for each term.
+
+    The mean square distance is the quadratic form of the same sums. `positions` {telescope: (x, y, z)};
+    images of other telescopes give no line."""
+    known = images.filter(F.col("Telescope").isin(*positions)).select(key, "Telescope", *IMAGE_COLUMNS)
+    rows = known.join(directed, key)
+    xcos, ycos = angles.direction_cosines(F.col("TrueAz"), F.col("TrueZe"))
+    rows = rows.withColumns({"xcos": xcos, "ycos": ycos})
+
+    def spot(axis: int) -> Column:
+        return F.coalesce(*[F.when(F.col("Telescope") == t, F.lit(float(p[axis]))) for t, p in positions.items()])
+
+    turned = angles.rotate(angles.shower_rotation(F.col("xcos"), F.col("ycos")), (spot(0), spot(1), spot(2)))
+    weight = F.col("Size") * (1 - F.try_divide("Width", "Length"))
+    rows = rows.filter("Size > 0 AND Length > 0").withColumns(
+        {
+            "lx": turned[0] - F.radians("Xoffset") * turned[2], "ly": turned[1] - F.radians("Yoffset") * turned[2],
+            "lw": weight * weight, "hx": F.col("MeanX") - F.col("Xoffset"), "hy": F.col("Yoffset") - F.col("MeanY"),
+        }
+    )
+    norm = hypot(F.col("hx"), F.col("hy"))
+    rows = rows.withColumns(
+        {
+            "ux": F.when(F.col("hx") != 0, F.try_divide("hx", norm)).otherwise(F.lit(0.0)),
+            "uy": F.when(F.col("hx") != 0, F.try_divide("hy", norm)).otherwise(F.lit(1.0)),
+        }
+    )
+    w, ux, uy = F.col("lw"), F.col("ux"), F.col("uy")
+    q = ux * F.col("ly") - uy * F.col("lx")
+    rest = [c for c in directed.columns if c != key]
+    sums = rows.groupBy(key).agg(
+        F.count("lw").alias("n_lines"), F.sum(w).alias("lw"), F.sum(w * uy * uy).alias("a1"), F.sum(-w * ux * uy).alias("b1"),
+        F.sum(w * ux * ux).alias("b2"), F.sum(w * uy * q).alias("c1"), F.sum(-w * ux * q).alias("c2"), F.sum(w * q * q).alias("d"),
+        *[F.any_value(c).alias(c) for c in (*rest, "xcos", "ycos")],
+    )
+    mean = {c: F.try_divide(c, "lw") for c in ("a1", "b1", "b2", "c1", "c2", "d")}
+    sums = sums.withColumns(mean)
+    a1, b1, b2, c1, c2 = (F.col(c) for c in ("a1", "b1", "b2", "c1", "c2"))
+    spread = a1 * b2 - b1 * b1
+    fitted = sums.withColumn("det", F.when((F.col("n_lines") >= 2) & (spread > parallel), spread))
+    fitted = fitted.withColumns({"xfit": F.try_divide(b1 * c2 - c1 * b2, F.col("det")), "yfit": F.try_divide(b1 * c1 - a1 * c2, F.col("det"))})
+    x, y = F.col("xfit"), F.col("yfit")
+    square = a1 * x * x + b2 * y * y + 2 * (b1 * x * y + c1 * x + c2 * y) + F.col("d")
+    return fitted.withColumn("stdP", F.when(x.isNotNull(), F.greatest(square, F.lit(0.0)))).drop("a1", "b1", "b2", "c1", "c2", "d", "det", "lw")
+
+
 def core_to_ground(df: DataFrame) -> DataFrame:
     """Adds `Xcore`, `Ycore` on the ground and `core_valid`; invalid cores are NULL."""
     x, y = F.col("xfit"), F.col("yfit")
@@ -258,10 +357,10 @@ def core_to_ground(df: DataFrame) -> DataFrame:
     )
 
 
-def core_reconstruction(directed: DataFrame, positions=None, telescopes=K.TELESCOPES) -> DataFrame:
-    """Ground position of each event that has a direction; needs TrueAz, TrueZe."""
+def core_reconstruction(directed: DataFrame, positions=None, telescopes=K.TELESCOPES, parallel: float = 0.0) -> DataFrame:
+    """Ground position of each event that has a direction; needs TrueAz, TrueZe. `parallel` as in `core_fit`."""
     lines = core_lines(directed, positions, telescopes)
-    done = core_to_ground(core_fit(lines, telescopes))
+    done = core_to_ground(core_fit(lines, telescopes, parallel))
     return done.drop("xcos", "ycos", *[f"{c}_{t}" for c in ("lx", "ly", "lw", "ux", "uy") for t in telescopes])
 
 

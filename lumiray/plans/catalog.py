@@ -20,7 +20,7 @@ from lumiray.plans import flows
 from lumiray.plans.oracle import (
     SHAPES, TWO_PI, axis_bin, div, fixed_bin, lit, moments, parameters, pmod, r, separation, sql,
 )
-from lumiray.plans.star import POSITIONS, Star
+from lumiray.plans.star import PARALLEL, POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
 from lumiray.session import cut_lineage, ship_package, shared_folder
 from lumiray.sources import capture, sinks, tables
@@ -183,20 +183,39 @@ def _(s: Star):
     return rounded(s.sim().select(*sinks.SIM_RECO_COLUMNS), Xcore=2, Ycore=2, stdP=2)
 
 
-@query("snk4_pixel_matrix", sql("""
-SELECT vec_id, CAST(max(CASE WHEN cell = 0 THEN v END) AS INTEGER) AS p0, CAST(max(CASE WHEN cell = 9 THEN v END) AS INTEGER) AS p9,
-  CAST(max(CASE WHEN cell = 63 THEN v END) AS INTEGER) AS p63 FROM (SELECT vec_id, cell, greatest(adu, 0) AS v FROM patches WHERE label = 2)
-GROUP BY vec_id HAVING sum(v) <> 0""", "patches"))
+@query("dir1_repeated_telescopes", sql(f"""
+SELECT "Event", {r('"Xoffset"', 4)} AS "Xoffset", {r('"Yoffset"', 4)} AS "Yoffset", {r('"MeanAngle"', 4)} AS "MeanAngle" FROM simdirs_many""", "simdirs_many"))
 def _(s: Star):
-    images = s.patches().select("vec_id", F.col("label").alias("telescope"), I.suppress_negative(F.col("pix")).alias("image"))
-    wide = images.filter((F.col("telescope") == 2) & I.is_lit(F.col("image")))
-    return wide.select("vec_id", *[F.col("image")[k].alias(f"p{k}") for k in (0, 9, 63)])
+    found = stereo.directions(stereo.reconstructible(s.many()))
+    return rounded(found.select("Event", "Xoffset", "Yoffset", "MeanAngle"), 4)
+
+
+@query("snk3_repeated_telescopes", sql(f"""
+SELECT "Event", "Telescope", {SHAPES}, {r('"Az"', 4)} AS "Az", {r('"Ze"', 4)} AS "Ze", {r('"Xcore"', 1)} AS "Xcore", {r('"Ycore"', 1)} AS "Ycore",
+  {r('"stdP"', 1)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
+  {r('"TrueYcore"')} AS "TrueYcore", {r('"TrueEnergy"')} AS "TrueEnergy" FROM sim_many""", "sim_many"))
+def _(s: Star):
+    table = flows.sim_parameters(s.many(), s.truth(), POSITIONS, parallel=PARALLEL)
+    return rounded(table, Az=4, Ze=4, Xcore=1, Ycore=1, stdP=1)
+
+
+@query("snk4_pixel_matrix", sql(f"""
+SELECT CAST(count(*) AS BIGINT) AS n, {', '.join(f'CAST(sum(p{k}) AS BIGINT) AS p{k}' for k in range(64))} FROM (
+  SELECT vec_id, {', '.join(f'max(CASE WHEN cell = {k} THEN v END) AS p{k}' for k in range(64))}
+  FROM (SELECT vec_id, cell, greatest(adu, 0) AS v FROM patches WHERE label = 2) GROUP BY vec_id HAVING sum(v) <> 0)""", "patches"))
+def _(s: Star):
+    images = s.patches().select(F.col("label").alias("telescope"), I.suppress_negative(F.col("pix")).alias("image"))
+    folder = shared_folder(s.spark)
+    sinks.write_pixel_matrix(images, folder, telescope=2, side=8)
+    names = [f"p{k}" for k in range(64)]
+    back = s.spark.read.schema(", ".join(f"{c} bigint" for c in names)).csv(folder)
+    return back.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
 
 
 @query("snk5_centroid_triples", sql(f"""
 SELECT "Event", CAST(-13 AS INTEGER) AS mark1, CAST(-18 AS INTEGER) AS mark2,
   {', '.join(f'max(CASE WHEN "Telescope" = {t} THEN {r(e)} END) AS {c}{t}' for t in (1, 2, 3) for c, e in (('mx', '"MeanX"'), ('my', '"MeanY"'), ('phi', 'radians("Phi")')))}
-FROM hub GROUP BY "Event" HAVING count(*) FILTER ("Size" >= 100) = 3""", "hub"))
+FROM hub GROUP BY "Event" HAVING count(DISTINCT CASE WHEN "Size" >= 100 THEN "Telescope" END) = 3""", "hub"))
 def _(s: Star):
     return rounded(sinks.centroid_triples(s.hub()))
 
@@ -452,34 +471,34 @@ def _(s: Star):
 @query("dir1_axis_intersection", sql(f"""
 SELECT "Event", {r('"Xoffset"', 5)} AS "Xoffset", {r('"Yoffset"', 5)} AS "Yoffset" FROM dirs""", "dirs"))
 def _(s: Star):
-    return rounded(stereo.directions(s.usable()).select("Event", "Xoffset", "Yoffset"), 5)
+    return rounded(stereo.directions(s.usable(), unique=True).select("Event", "Xoffset", "Yoffset"), 5)
 
 
 @query("dir2_sim_direction", sql(f"""
 SELECT "Event", {r('"Xoffset"', 5)} AS "Xoffset", {r('"Yoffset"', 5)} AS "Yoffset" FROM simdirs""", "simdirs"))
 def _(s: Star):
-    return rounded(stereo.directions(stereo.reconstructible(s.hub())).select("Event", "Xoffset", "Yoffset"), 5)
+    return rounded(stereo.directions(stereo.reconstructible(s.hub()), unique=True).select("Event", "Xoffset", "Yoffset"), 5)
 
 
 @query("dir3_mean_axis_angle", sql(f'SELECT "Event", {r(chr(34) + "MeanAngle" + chr(34))} AS "MeanAngle" FROM dirs', "dirs"))
 def _(s: Star):
-    return rounded(stereo.directions(s.usable()).select("Event", "MeanAngle"))
+    return rounded(stereo.directions(s.usable(), unique=True).select("Event", "MeanAngle"))
 
 
 @query("dir4_dir6_radec", sql(f"""
 SELECT "Event", {r('"RA"', 5)} AS "RA", {r('"DEC"', 5)} AS "DEC" FROM skydirs""", "skydirs"))
 def _(s: Star):
-    return rounded(stereo.with_radec(stereo.directions(s.usable())).select("Event", "RA", "DEC"), 5)
+    return rounded(stereo.with_radec(stereo.directions(s.usable(), unique=True)).select("Event", "RA", "DEC"), 5)
 
 
 @query("dir5_shower_azze", sql(f'SELECT "Event", {r(chr(34) + "Az" + chr(34), 5)} AS "Az", {r(chr(34) + "Ze" + chr(34), 5)} AS "Ze" FROM aimed', "aimed"))
 def _(s: Star):
-    d = stereo.directions(stereo.reconstructible(s.hub())).join(s.truth(), "Event")
+    d = stereo.directions(stereo.reconstructible(s.hub()), unique=True).join(s.truth(), "Event")
     return rounded(stereo.with_azze(d).select("Event", "Az", "Ze"), 5)
 
 
 def _reco(s: Star) -> DataFrame:
-    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS)
+    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS, unique_images=True, parallel=PARALLEL)
 
 
 @query("core1_core4_core_fit", sql(f"""
@@ -581,7 +600,7 @@ SELECT "Event", {r('"Xoffset"', 5)} AS "Xoffset", {r('"Yoffset"', 5)} AS "Yoffse
 WHERE far < 2 AND "Xoffset" ** 2 + "Yoffset" ** 2 < {_ON}""", "dirs", "usable"))
 def _(s: Star):
     far = F.max("Distance").alias("MaxDistance")
-    d = stereo.directions(s.usable(), extra=(far,))
+    d = stereo.directions(s.usable(), extra=(far,), unique=True)
     off = F.col("Xoffset") * F.col("Xoffset") + F.col("Yoffset") * F.col("Yoffset")
     return rounded(d.filter(quality.on_cut(F.col("MaxDistance"), off)).select("Event", "Xoffset", "Yoffset"), 5)
 
@@ -794,7 +813,7 @@ _SKY2D = f"""SELECT {fixed_bin('"RA"', _RA_LO, _RA_LO + 9.8, 49)} AS ix, {fixed_
 @query("his4_sky_histogram", sql("""
 SELECT ix, iy, count(*) AS n FROM binned WHERE ix IS NOT NULL AND iy IS NOT NULL GROUP BY ix, iy""", "skydirs", binned=_SKY2D))
 def _(s: Star):
-    d = stereo.with_radec(stereo.directions(s.usable()))
+    d = stereo.with_radec(stereo.directions(s.usable(), unique=True))
     return stats.histogram_2d(d, "RA", "DEC", (_RA_LO, _RA_LO + 9.8), (_DEC_LO, _DEC_LO + 9.8), 49)
 
 
@@ -910,7 +929,7 @@ SKY = sky.SkyMap()
 
 
 def _events(s: Star) -> DataFrame:
-    return flows.sky_events(s.hub(), SKY)
+    return flows.sky_events(s.hub(), SKY, unique_images=True)
 
 
 @query("sky1_sky2_sky3_sky4_counts_map", sql(f"""
@@ -1052,15 +1071,14 @@ def _sim_table(s: Star) -> DataFrame:
 
 
 def _simsel(s: Star) -> DataFrame:
-    """Usable images with reconstructed direction and class; ThetaSquare at file precision."""
+    """Usable images with reconstructed direction and class, and their ThetaSquare."""
     rows = quality.usable_images(_sim_table(s), 2).join(s.classes(), "Event")
-    marked = selection.zenith_theta_square(rows)
-    return marked.withColumn("ThetaSquare", tidy(F.col("ThetaSquare"), 5))
+    return selection.zenith_theta_square(rows)
 
 
 _t2 = separation('"Az"', '(90e0 - "Ze")', "0e0", "90e0")
 _SEL = {
-    "sel": f"""SELECT u.*, a."Az", a."Ze", {r(f'({_t2}) ** 2', 5)} AS t2 FROM labelled2 u LEFT JOIN aimed a USING ("Event")""",
+    "sel": f"""SELECT u.*, a."Az", a."Ze", ({_t2}) ** 2 AS t2 FROM labelled2 u LEFT JOIN aimed a USING ("Event")""",
     "marked": 'SELECT *, CASE WHEN "Distance" = max("Distance") OVER (PARTITION BY "Event") THEN "Distance" END AS md FROM sel',
 }
 _TSTEP = lit(1.0 / 10000)

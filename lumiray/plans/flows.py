@@ -33,55 +33,58 @@ def sim_images(photons: DataFrame, truth: DataFrame, weight=None) -> DataFrame:
     return I.clean_images(fired, K.NSB_SIM_ADU)
 
 
-def reconstruct(params: DataFrame, truth: DataFrame, positions=None, telescopes=K.TELESCOPES) -> DataFrame:
+def reconstruct(
+    params: DataFrame, truth: DataFrame, positions=None, telescopes=K.TELESCOPES, unique_images: bool = False,
+    parallel: float = 0.0,
+) -> DataFrame:
     """Per event direction (Az, Ze) and ground position, with the fit quality.
 
-    `truth` has Event, TrueAz, TrueZe; telescope positions as in `stereo.core_lines`.
+    `truth` has Event, TrueAz, TrueZe; telescope positions as in `stereo.core_lines`. An event may have any
+    number of images; `unique_images` says that it has at most one of each of `telescopes`.
+    `parallel`: weighted mean squared sine of the crossing angles up to which lines have no core; by
+    default only exactly parallel ones.
     """
-    wide = stereo.side_by_side(stereo.reconstructible(params), telescopes=telescopes)
-    directed = stereo.axis_intersection(wide.filter("n_images >= 2"), telescopes)
-    aimed = stereo.with_azze(directed.join(truth, "Event"))
-    return stereo.core_reconstruction(aimed, positions, telescopes)
+    images = stereo.reconstructible(params)
+    if unique_images:
+        wide = stereo.side_by_side(images, telescopes=telescopes)
+        directed = stereo.axis_intersection(wide.filter("n_images >= 2"), telescopes)
+        return stereo.core_reconstruction(stereo.with_azze(directed.join(truth, "Event")), positions, telescopes, parallel)
+    if positions is None:
+        raise ValueError("telescope positions are needed where telescopes may repeat")
+    aimed = stereo.with_azze(stereo.directions_of_pairs(images).join(truth, "Event"))
+    fitted = stereo.core_of_images(images, aimed, positions, parallel)
+    placed = stereo.core_to_ground(fitted).select("Event", "xfit", "yfit", "stdP", "n_lines", "core_valid", "Xcore", "Ycore")
+    # a direction stays where no image gives a line
+    return aimed.join(placed, "Event", "left")
 
 
 def sim_parameters(
-    params: DataFrame, truth: DataFrame, positions=None, reconstruct_events: bool = True, telescopes=K.TELESCOPES
+    params: DataFrame, truth: DataFrame, positions=None, reconstruct_events: bool = True, telescopes=K.TELESCOPES,
+    unique_images: bool = False, parallel: float = 0.0,
 ) -> DataFrame:
-    """The simulation parameter table: every image with its event's truth and, where
-    it could be reconstructed, direction and core.
-
-    The images of an event are laid side by side once, reconstructed there, and laid
-    out as rows again, so that the parameter table is read and shuffled a single time.
-    """
+    """The simulation parameter table: every image, once for each time it is there, with its event's
+    truth and, where it could be reconstructed, direction and core. Images without truth stay, with NULL."""
     truth = truth.select("Event", *TRUTH_COLUMNS)
+    rows = params.select("Event", "Telescope", *SHAPE_COLUMNS).join(truth, "Event", "left")
     if not reconstruct_events:
-        return params.select("Event", "Telescope", *SHAPE_COLUMNS).join(truth, "Event")
-    wide = stereo.side_by_side(params, SHAPE_COLUMNS, telescopes)
-    admitted = {}
-    for t in telescopes:
-        ok = (F.col(f"Size_{t}") > 0) & F.col(f"Length_{t}").isNotNull() & F.col(f"Width_{t}").isNotNull()
-        admitted[f"AnySize_{t}"] = F.col(f"Size_{t}")
-        admitted[f"Size_{t}"] = F.when(ok, F.col(f"Size_{t}"))
-    masked = wide.withColumns(admitted)
-    directed = stereo.axis_intersection(masked, telescopes, keep_all=True)
-    aimed = stereo.with_azze(directed.join(truth, "Event"))
-    done = stereo.core_reconstruction(aimed, positions, telescopes)
-
-    def image(t: int):
-        shapes = [F.col(f"AnySize_{t}" if c == "Size" else f"{c}_{t}").alias(c) for c in SHAPE_COLUMNS]
-        return F.struct(F.lit(t).alias("Telescope"), *shapes)
-
-    rows = done.select("Event", *RECO_COLUMNS, *TRUTH_COLUMNS, F.inline(F.array(*[image(t) for t in telescopes])))
-    return rows.filter(F.col("Size").isNotNull()).select(*SIM_RECO_COLUMNS)
-
-
-def sky_events(params: DataFrame, sky_map: sky.SkyMap = sky.SkyMap(), least: int = 2, dedupe: bool = True) -> DataFrame:
+        return rows
+    events = reconstruct(params, truth.select("Event", "TrueAz", "TrueZe"), positions, telescopes, unique_images, parallel)
+    return rows.join(events.select("Event", *RECO_COLUMNS), "Event", "left").select(*SIM_RECO_COLUMNS)
+
+
+def sky_events(
+    params: DataFrame, sky_map: sky.SkyMap = sky.SkyMap(), least: int = 2, dedupe: bool = True, unique_images: bool = False
+) -> DataFrame:
     """Parameter table to events on the sky: quality, copies, width, then directions.
 
-    Multiplicity needs no pass of its own: the side-by-side row counts its images."""
+    Multiplicity needs no pass of its own. `unique_images` says that no event has two images of a telescope."""
     rows = quality.drop_missing(params)
     if dedupe:
         rows = quality.dedupe_for_sky(rows)
     rows = quality.positive_width(rows)
-    directed = stereo.directions(rows, least, sky_map.telescopes)
+    directed = stereo.directions(rows, least, sky_map.telescopes, unique=unique_images)
+    if not unique_images:
+        # the list holds one event's images
+        spots = rows.groupBy("Event").agg(F.collect_list(F.struct("MeanX", "MeanY")).alias("images"))
+        directed = directed.join(spots, "Event")
     return sky.image_positions(directed, sky_map)

@@ -4,6 +4,8 @@ degrees, self-joins over image pairs, cross products of grid and events)."""
 
 from __future__ import annotations
 
+import re
+
 from lumiray import constants as K
 
 
@@ -18,7 +20,7 @@ def r(e: str, digits: int = 6) -> str:
 
 
 def snap(e: str) -> str:
-    return f"(CASE WHEN abs({e}) < 1e-11 THEN 0e0 ELSE {e} END)"
+    return f"(CASE WHEN abs({e}) < 2e-13 THEN 0e0 ELSE {e} END)"
 
 
 def div(a: str, b: str) -> str:
@@ -79,13 +81,10 @@ def fixed_bin(x: str, lo: float, hi: float, n: int) -> str:
 
 def li_ma(on: str, off: str, alpha: str) -> dict[str, str]:
     tot, sig = f"({on} + {off})", f"({on} - {alpha} * {off})"
-    lon = f"({on} * ln((1 + {alpha}) / {alpha} * ({on} / {tot})))"
-    loff = f"({off} * ln((1 + {alpha}) * ({off} / {tot})))"
+    lon = f"(CASE WHEN {on} > 0 THEN {on} * ln((1 + {alpha}) / {alpha} * ({on} / {tot})) ELSE 0e0 END)"
+    loff = f"(CASE WHEN {off} > 0 THEN {off} * ln((1 + {alpha}) * ({off} / {tot})) ELSE 0e0 END)"
     both = f"(2 * ({lon} + {loff}))"
-    size = (
-        f"CASE WHEN {tot} = 0 THEN 0e0 WHEN {on} = 0 THEN {root(f'(2 * {loff})')} "
-        f"WHEN {off} = 0 THEN {root(f'(2 * {lon})')} WHEN abs({both}) < 1e-12 THEN 0e0 ELSE {root(both)} END"
-    )
+    size = f"CASE WHEN {tot} = 0 OR abs({both}) < 1e-15 THEN 0e0 ELSE {root(both)} END"
     return {
         "eq5": f"CASE WHEN {on} + {alpha} * {alpha} * {off} > 0 THEN {sig} / sqrt({on} + {alpha} * {alpha} * {off}) ELSE 0e0 END",
         "eq9": f"CASE WHEN {alpha} * {tot} > 0 THEN {sig} / sqrt({alpha} * {tot}) ELSE 0e0 END",
@@ -257,6 +256,20 @@ cte("sim", ("hub", "truth", "ground", "aimed"), f"""
 SELECT h.*, a."Az", a."Ze", g."Xcore", g."Ycore", g."stdP", t."TrueAz", t."TrueZe", t."TrueXcore", t."TrueYcore", t."TrueEnergy"
 FROM hub h JOIN truth t USING ("Event") LEFT JOIN aimed a USING ("Event") LEFT JOIN ground g USING ("Event")""")
 
+# the same views where images of a telescope repeat and events may have no truth; k orders an event's images
+cte("many", (), parameters(moments("(SELECT l_orderkey AS event, CAST(l_orderkey % 4 + 1 AS INTEGER) AS telescope, CAST(l_partkey % 32 AS INTEGER) AS px, "
+    "CAST(l_suppkey % 32 AS INTEGER) AS py, CAST(sum(CAST(l_quantity * 10 AS BIGINT)) AS BIGINT) AS adu FROM lineitem GROUP BY ALL)")))
+CTES["many"] = ((), f'SELECT event // 4 AS "Event", event AS k, telescope AS "Telescope", {SHAPES} FROM ({CTES["many"][1]})')
+_CHAIN = {"hub": "many", "admitted": "admitted_many", "simdirs": "simdirs_many", "aimed": "aimed_many", "lines": "lines_many", "fits": "fits_many",
+          "cores": "cores_many", "ground": "ground_many", "sim": "sim_many"}
+for _old, _new in list(_CHAIN.items())[1:]:
+    _needs, _body = CTES[_old]
+    for _a, _b in _CHAIN.items():
+        _body = re.sub(rf"(FROM|JOIN) {_a}\b", rf"\1 {_b}", _body)
+    _body = _body.replace('a."Telescope" < b."Telescope"', "a.k < b.k").replace('WHERE "Length" > 0', 'WHERE "Length" > 0 AND "Telescope" <= 3')
+    _body = _body.replace('JOIN truth t USING', 'LEFT JOIN truth t USING').replace("SELECT h.*,", "SELECT h.* EXCLUDE (k),")
+    cte(_new, tuple(_CHAIN.get(n, n) for n in _needs), _body)
+
 _RA, _DEC = radec('"MeanX"', '"MeanY"')
 cte("skyimages", ("usable",), f'SELECT "Event", {_RA} AS mx, {_DEC} AS my FROM usable')
 _RA2, _DEC2 = radec('"Xoffset"', '"Yoffset"')

@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def build_session(app: str = "lumiray", master: str | None = None, **conf) -> SparkSession:
@@ -60,6 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Remove the files of a table that `cut_lineage` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_table(df: DataFrame) -> DataFrame:
     """Per-group statistics on their way back to the rows, as a written table.
 
@@ -70,12 +81,21 @@ def small_table(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most `max_rows`
-    rows; a larger side is left to a shuffled join, which AQE splits on skew."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Write the side, which is thereby worked out once, and hint a broadcast only if its rows take at most
+    `max_bytes`; a larger side is left to a shuffled join, which AQE splits on skew.
+
+    Numbers count 8 bytes, texts and lists what they hold."""
+
+    def size(name: str, kind) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16 if isinstance(kind, (StringType, BinaryType)) else F.lit(8)
+
+    side = cut_lineage(df)
+    total = side.agg(F.sum(reduce(lambda a, b: a + b, [size(f.name, f.dataType) for f in df.schema.fields])).alias("n")).first()["n"]
+    return F.broadcast(side) if (total or 0) <= max_bytes else side
 
 
 _shipped: set[str] = set()

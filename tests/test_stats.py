@@ -144,3 +144,48 @@ def test_crowded_event_stays_exact(spark):
     out = stats.event_maximum(df).collect()
     assert len(out) == 3000
     assert {r.MaxDistance for r in out if r.Event == 1} == {None, 100.0}
+
+
+@pytest.mark.parametrize("kind", ["outlier", "infinite", "dominant", "spread", "equal"])
+def test_quantiles_of_any_distribution(spark, kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = rng.normal(0, 1, 4000)
+    if kind == "outlier":
+        values[7] = 1e12
+    elif kind == "infinite":
+        values[:9], values[9:12] = np.inf, -np.inf
+    elif kind == "dominant":
+        values[:3000] = 0.25
+    elif kind == "spread":
+        values = 10.0 ** rng.uniform(-300, 300, 4000)
+    else:
+        values[:] = 3.0
+    probs = (0.0, 0.1, 0.5, 0.68, 1.0)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = {r.prob: (r.quantile, r.n) for r in stats.exact_quantiles(df, "v", probs, bins=16).collect()}
+    ordered = np.sort(values)
+    for p in probs:
+        h = (len(values) - 1) * p
+        low, high = ordered[int(h)], ordered[min(int(h) + 1, len(values) - 1)]
+        want = low if low == high else low + (high - low) * (h - int(h))
+        assert got[p][0] == pytest.approx(want, rel=1e-12) and got[p][1] == len(values)
+
+
+def test_no_window_sees_more_than_the_cells(spark):
+    """However the values lie, ranking windows hold counts of cells, never values."""
+    values = [(float(v),) for v in range(3000)] + [(1e12,)]
+    seen = []
+    plain = stats.small_table
+
+    def watched(df):
+        done = plain(df)
+        if "part" in done.columns:
+            seen.append(done.count())
+        return done
+
+    stats.small_table, before = watched, plain
+    try:
+        stats.exact_quantiles(spark.createDataFrame(values, "v double"), "v", (0.5,), bins=8).collect()
+    finally:
+        stats.small_table = before
+    assert len(seen) >= 2 and max(seen) <= 8

@@ -50,10 +50,35 @@ def test_parallel_axes_give_no_direction(spark):
     assert stereo.directions(df).count() == 0
 
 
-def test_repeated_telescope_is_refused(spark):
+def test_repeated_telescope_is_refused_side_by_side(spark):
     df = spark.createDataFrame([(1, 1, 100.0, 0.0, 0.0, 90.0, 0.4, 0.1)] * 2, DDL)
     with pytest.raises(PySparkException, match="two images of one telescope"):
-        stereo.directions(df).collect()
+        stereo.directions(df, unique=True).collect()
+
+
+def test_any_number_of_images(spark):
+    rng = np.random.default_rng(12)
+    events, want = [], {}
+    for e in range(60):
+        images = [(rng.uniform(50, 900), *rng.normal(0, 2, 2), rng.uniform(0, 360), 0.5, rng.uniform(0.05, 0.4)) for _ in range(rng.integers(1, 8))]
+        events += [(e, int(rng.integers(1, 6)), *map(float, im)) for im in images]
+        if len(images) > 1:
+            want[e] = by_slopes(images)
+    got = {r.Event: (r.Xoffset, r.Yoffset) for r in stereo.directions(spark.createDataFrame(events, DDL)).collect()}
+    assert got.keys() == want.keys()
+    for e in want:
+        assert got[e] == pytest.approx(want[e], rel=1e-7, abs=1e-7)
+
+
+def test_both_ways_agree(spark):
+    rng = np.random.default_rng(13)
+    rows = [(e, t, *map(float, (rng.uniform(50, 900), *rng.normal(0, 2, 2), rng.uniform(0, 360), 0.5, rng.uniform(0.05, 0.4)))) for e in range(80) for t in (1, 2, 3) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, DDL)
+    columns = ["Event", "n_images", "Xoffset", "Yoffset", "MeanAngle"]
+    a, b = ([tuple(r) for r in stereo.directions(df, unique=u).select(*columns).orderBy("Event").collect()] for u in (True, False))
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x == pytest.approx(y, rel=1e-9, abs=1e-9)
 
 
 def test_mean_angle(spark):
