@@ -22,8 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiray.llm.common import cut_lineage, mix64, powers, ship_package
+from lumiray.session import broadcast_if_small
 
 LEAST = 30
+#: lists of lines by document travel to the texts up to this size (as `broadcast_if_small` counts it); beyond it the
+#: texts are shuffled to them
+LISTS = 16 << 20
 _BASE, _OTHER = 0x100000001B3, 0xC2B2AE3D27D4EB4F
 _INVERSE, _OTHER_INVERSE = pow(_BASE, -1, 1 << 64), pow(_OTHER, -1, 1 << 64)
 #: places are doc_id * 10 ** 12 + line: a fixed-width number that a hash aggregate can take the least of
@@ -110,18 +114,31 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     at = near.withColumn("_id", F.floor(F.col("first") / _STEP).cast("decimal(20,0)")).withColumn("_line", (F.col("first") % _STEP).cast("int"))
     wanted = at.groupBy("_id").agg(F.collect_list(F.struct("_line", "h", "first")).alias("_wanted"))
     number = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    found = own.join(wanted, number == F.col("_id")).withColumn("_lines", F.split("text", "\n", -1)).select("_lines", F.explode("_wanted").alias("w"))
+    found = own.join(broadcast_if_small(wanted, LISTS), number == F.col("_id")).withColumn("_lines", F.split("text", "\n", -1)).select("_lines", F.explode("_wanted").alias("w"))
     texts = cut_lineage(found.select(F.col("w.h").alias("h"), F.col("w.first").alias("place"), F.col("_lines")[F.col("w._line")].alias("line")).filter(F.length("line") >= least))
 
     def variants(batches):
         for b in batches:
-            for h, place, line in zip(b["h"].tolist(), b["place"], b["line"], strict=True):
+            held, size = [], 0
+            for h, line in zip(b["h"].tolist(), b["line"], strict=True):
                 keys = neighbourhood(line)
-                yield pd.DataFrame({"v": keys, "at": np.arange(-1, len(keys) - 1), "h": h, "place": [place] * len(keys)})
+                held.append((h, keys))
+                size += len(keys)
+                if size > 1 << 18:
+                    yield emitted_rows(held)
+                    held, size = [], 0
+            if held:
+                yield emitted_rows(held)
+
+    def emitted_rows(held: list) -> pd.DataFrame:
+        lengths = [len(k) for _, k in held]
+        at = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in lengths])
+        return pd.DataFrame({"v": np.concatenate([k for _, k in held]), "at": at, "h": np.repeat(np.array([h for h, _ in held], dtype=np.int64), lengths)})
 
     group = Window.partitionBy("v")
-    emitted = texts.mapInPandas(variants, "v long, at int, h long, place decimal(38,0)")
-    joined = cut_lineage(emitted.withColumn("_a", F.min("h").over(group)).withColumn("_b", F.max("h").over(group)).filter("_a <> _b").select("v", "at", "h", "place"))
+    emitted = texts.select("h", "line").mapInPandas(variants, "v long, at int, h long")
+    met = emitted.withColumn("_a", F.min("h").over(group)).withColumn("_b", F.max("h").over(group)).filter("_a <> _b").select("v", "at", "h")
+    joined = cut_lineage(cut_lineage(met).join(texts.select("h", "place"), "h"))
     # the earliest line under each key: by place of the missing character, and the line that is whole
     by_place = joined.groupBy("v", "at").agg(F.min("place").alias("m"))
     whole = by_place.filter("at = -1").select("v", F.col("m").alias("other"))
@@ -142,7 +159,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
     known = cut_lineage(firsts.select("h", "g", "first").join(verified.withColumn("_near", F.lit(True)), "first", "left"))
     gone = lines.select("doc_id", "line", "h", "g", "place").join(known, ["h", "g"]).filter((F.col("place") != F.col("first")) | F.col("_near"))
-    return cut_lineage(gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")))
+    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -152,7 +169,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     last) are treated alike: their equal lines at equal places stay or go together. Columns named n_lines or
     n_dropped are replaced. An empty table gives an empty result."""
     gone = dropped_lines(docs, least).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(broadcast_if_small(gone, LISTS), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, k: (F.length(line) < least) | ~F.array_contains("_dropped", k))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

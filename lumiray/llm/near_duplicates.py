@@ -9,7 +9,7 @@ every pair that can link meets in the band of the smaller text.
 2. Pigeonhole join: in the band's wide sketch, a row of 64-bit words into which the shingles are XORed,
    no more words differ than shingles do. `shingles.part_keys` tells why it is enough to join on a
    bounded number of words of each text, the least common first, and nothing is lost.
-3. Pairs out of small groups of an equal word are kept if their sketches differ in few enough bits. Members
+3. Pairs out of groups of up to eight with an equal word are kept if their sketches differ in few enough bits. Members
    of large groups are held together by edges to one of them, not by pairs.
 4. Candidates fall into clusters. A cluster's texts meet in tiles of bounded size; inside a tile the
    sketches rule pairs out, the sets verify the rest exactly, and pairs already connected are
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lumiray.llm import shingles
 from lumiray.llm.common import cut_lineage, mix64, ship_package, text_blocks
 from lumiray.llm.components import connected_components
+from lumiray.session import broadcast_if_small
 
-SMALL = 32  # groups up to this size are taken apart into pairs
+SMALL = 8  # groups up to this size are taken apart into pairs
 TILE = 1024  # sets in a tile; two tiles meet in a task
 
 
@@ -44,7 +45,7 @@ def _set_hashes(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return total(mix64(values)).view(np.int64), total(mix64(values ^ np.uint64(0xA5A5A5A55A5A5A5A))).view(np.int64)
 
 
-PROFILE = "doc_id long, text_hash long, n long, c1 long, c2 long, own binary, low binary, shingle long, seen long"
+PROFILE = "doc_id long, text_hash long, n long, band int, c1 long, c2 long, own binary, low binary, shingle long, seen long"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -61,13 +62,13 @@ def profiles(docs: DataFrame) -> DataFrame:
                 own = shingles.parity_sketches(values, counts, band)
                 low = shingles.parity_sketches(values, counts, np.maximum(band - 1, 0))
                 rows = slice(at, at + len(block))
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[rows].to_numpy(), "text_hash": b["text_hash"].iloc[rows].to_numpy(), "n": counts, "c1": c1, "c2": c2, "own": own, "low": low, "shingle": None, "seen": None}).astype({"doc_id": "Int64", "text_hash": "Int64"})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[rows].to_numpy(), "text_hash": b["text_hash"].iloc[rows].to_numpy(), "n": counts, "band": band, "c1": c1, "c2": c2, "own": own, "low": low, "shingle": None, "seen": None}).astype({"doc_id": "Int64", "text_hash": "Int64"})
                 held.append(values)
                 texts += len(block)
                 if texts >= 2000 or at + len(block) == len(b):
                     found, seen = np.unique(np.concatenate(held), return_counts=True)
                     common = seen >= max(4, texts // 500)
-                    yield pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "c1": None, "c2": None, "own": None, "low": None, "shingle": found[common].view(np.int64), "seen": seen[common]})
+                    yield pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "band": None, "c1": None, "c2": None, "own": None, "low": None, "shingle": found[common].view(np.int64), "seen": seen[common]})
                     held, texts = [], 0
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(profile, PROFILE)
@@ -111,19 +112,10 @@ def join_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     return docs.select("text").mapInPandas(emit, "key long, c1 long")
 
 
-def _may_link(n_a: pd.Series, own_a: pd.Series, low_a: pd.Series, n_b: pd.Series, own_b: pd.Series, low_b: pd.Series) -> pd.Series:
-    """Whether sizes and sketches leave room for a link."""
-    a, b = n_a.to_numpy(), n_b.to_numpy()
-    small, large = np.minimum(a, b), np.maximum(a, b)
-    fits = (4 * small >= 3 * large) & (small > 0)
-    band = shingles.band_of(np.maximum(small, 1))
-    in_a, in_b = shingles.band_of(np.maximum(a, 1)) == band, shingles.band_of(np.maximum(b, 1)) == band
-    out = np.zeros(len(a), dtype=bool)
-    for k in np.flatnonzero(fits):
-        x = np.frombuffer(own_a.iloc[k] if in_a[k] else low_a.iloc[k], dtype=np.uint64)
-        y = np.frombuffer(own_b.iloc[k] if in_b[k] else low_b.iloc[k], dtype=np.uint64)
-        out[k] = 7 * int(np.bitwise_count(x ^ y).sum()) <= a[k] + b[k]
-    return pd.Series(out)
+def _sketches_near(n_a: pd.Series, sketch_a: pd.Series, n_b: pd.Series, sketch_b: pd.Series) -> pd.Series:
+    """Whether so few bits of two sketches differ that the sets may link."""
+    apart = [int(np.bitwise_count(np.frombuffer(x, dtype=np.uint64) ^ np.frombuffer(y, dtype=np.uint64)).sum()) for x, y in zip(sketch_a, sketch_b, strict=True)]
+    return pd.Series(7 * np.array(apart, dtype=np.int64) <= n_a.to_numpy() + n_b.to_numpy())
 
 
 def tile_links(names: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple]:
@@ -166,32 +158,38 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     texts = profile.filter("shingle is null")
     node = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))
     # one row of each class, of any of its texts: they have the same set
-    classes = cut_lineage(
-        texts.filter("n > 0").withColumn("node", node).groupBy("node").agg(F.any_value("c1").alias("c1"), F.any_value("n").alias("n"), F.any_value("own").alias("own"), F.any_value("low").alias("low"))
-    )
+    columns = ("c1", "n", "band", "own", "low")
+    classes = cut_lineage(texts.filter("n > 0").withColumn("node", node).groupBy("node").agg(*[F.any_value(c).alias(c) for c in columns]))
     keys = join_keys(docs, common_shingles(profile, texts.count()))
+    # one exchange by key: small groups become lists of their members, members of large ones stay rows beside
+    # the group's least. A copy that another task met counts once more, which only may call a group large
     group = Window.partitionBy("key")
-    shared = keys.withColumn("_least", F.min("c1").over(group)).withColumn("_most", F.max("c1").over(group)).filter("_least <> _most")
-    shared = cut_lineage(shared.select("key", "c1", F.col("_least").alias("hub")).distinct())
-    sizes = cut_lineage(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
-    small = sizes.filter(F.col("size") <= SMALL).select("key")
-    sets = shared.join(small, "key").groupBy("key").agg(F.sort_array(F.collect_list("c1")).alias("s")).select("s").distinct()
+    ruled = keys.withColumn("hub", F.min("c1").over(group)).withColumn("_most", F.max("c1").over(group)).withColumn("_rows", F.count(F.lit(1)).over(group))
+    shared = ruled.filter("hub <> _most").withColumn("_member", F.when(F.col("_rows") > SMALL, F.col("c1")))
+    met = cut_lineage(shared.groupBy("key", "_member", "hub").agg(F.sort_array(F.collect_set("c1")).alias("s")).select("_member", "hub", "s"))
+    sets = met.filter("_member is null").select("s").distinct()
     firsts = sets.select("s", F.posexplode("s").alias("at", "a"))
     pairs = firsts.select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b")).distinct()
-    of = lambda side: classes.select(F.col("c1").alias(side), F.col("node").alias(f"node_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "low")])
-    may_link = F.pandas_udf(_may_link, "boolean")
-    close = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_link("n_a", "own_a", "low_a", "n_b", "own_b", "low_b"))
+    # sizes first, which are short; then of each side the sketch of the band they meet in, the smaller one's
+    of = lambda side: classes.select(F.col("c1").alias(side), F.col("node").alias(f"node_{side}"), F.col("n").alias(f"n_{side}"), F.col("band").alias(f"band_{side}"))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(4 * small >= 3 * large).withColumn("level", F.least("band_a", "band_b"))
+    bands = F.array(F.struct(F.col("band").alias("level"), F.col("own").alias("sketch")), F.struct((F.col("band") - 1).alias("level"), F.col("low").alias("sketch")))
+    sketches = classes.select("node", F.inline(bands))
+    sketch_of = lambda side: sketches.select(F.col("node").alias(f"node_{side}"), "level", F.col("sketch").alias(f"sketch_{side}"))
+    near = F.pandas_udf(_sketches_near, "boolean")
+    close = sized.join(sketch_of("a"), ["node_a", "level"]).join(sketch_of("b"), ["node_b", "level"]).filter(near("n_a", "sketch_a", "n_b", "sketch_b"))
     # members of a large group hang together by its hub
-    large = shared.join(sizes.filter(F.col("size") > SMALL).select("key"), "key").select("c1", "hub").distinct()
+    tied = met.filter("_member is not null").select(F.col("_member").alias("c1"), "hub").distinct().filter("c1 <> hub")
     names = classes.select("c1", "node")
-    tied = large.join(names, "c1").join(names.select(F.col("c1").alias("hub"), F.col("node").alias("node_hub")), "hub")
+    tied = tied.join(names, "c1").join(names.select(F.col("c1").alias("hub"), F.col("node").alias("node_hub")), "hub")
     edges = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(tied.select(F.col("node").alias("a"), F.col("node_hub").alias("b")))
     clusters = connected_components(edges)
 
     # the sets of the clusters' classes, from one text of each
     chosen = texts.withColumn("node", node).join(clusters, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("root").alias("root"))
-    chosen = cut_lineage(chosen.select("node", "root", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash")))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    chosen = chosen.select("node", "root", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(broadcast_if_small(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
 
     def members(batches):
         for b in batches:
