@@ -154,9 +154,10 @@ def directions_of_pairs(images: DataFrame, least: int = 2, key: str = "Event") -
     folded = F.when(F.col("gap") < 90, F.col("gap")).otherwise(180 - F.col("gap"))
     sums = terms.groupBy(key).agg(
         F.max("n_images").alias("n_images"), F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("y").alias("y"),
-        F.max("gap").alias("gap"), F.avg(folded).alias("fold"),
+        F.max("gap").alias("gap"), F.avg(folded).alias("fold"), (F.count("w") == F.count(F.lit(1))).alias("whole"),
     )
-    return sums.filter("w > 0").select(
+    # an image without an axis leaves its event without a direction
+    return sums.filter("w > 0 AND whole").select(
         key, "n_images", F.try_divide("x", "w").alias("Xoffset"), F.try_divide("y", "w").alias("Yoffset"),
         F.when(F.col("n_images") == 2, -F.col("gap")).otherwise(F.col("fold")).alias("MeanAngle"),
     )
