@@ -63,6 +63,18 @@ FRAMES = """SELECT 'capture' || CAST(event_id // 1000 AS VARCHAR) AS file, event
   event_type = 'error' AS short, user_id, event_id FROM events"""
 
 
+@query("src1_capture_files", sql("""
+SELECT CAST(seq % 1000 AS BIGINT) AS number, CAST(floor(t) AS BIGINT) AS ts_sec, CAST(round((t - floor(t)) * 1e6) AS INTEGER) AS ts_usec,
+  CAST(CASE WHEN short THEN 60 ELSE 570 END AS INTEGER) AS caplen, file FROM frames""", frames=FRAMES))
+def _(s: Star):
+    folder = shared_folder(s.spark)
+    written = capture.write_files(s.captures(), folder, ".pcap")
+    # the list of files is short; reading starts when all are there
+    paths = [r["path"] for r in written.collect()]
+    name = F.regexp_extract("file", r"([^/]+)\.pcap$", 1)
+    return capture.read_captures(s.spark, paths).select(F.col("seq").alias("number"), "ts_sec", "ts_usec", "caplen", name.alias("file"))
+
+
 @query("src1_capture_scan", sql("""
 SELECT file, CAST(seq % 1000 AS BIGINT) AS seq, CAST(floor(t) AS BIGINT) AS ts_sec,
   CAST(round((t - floor(t)) * 1e6) AS INTEGER) AS ts_usec, CAST(CASE WHEN short THEN 60 ELSE 570 END AS INTEGER) AS caplen
@@ -271,6 +283,17 @@ def _(s: Star):
     return _cells(I.clean_images(I.images_from_pixels(s.pixels())), 32)
 
 
+@query("flow_data_parameters", sql(f'SELECT event AS "Event", telescope AS "Telescope", {SHAPES} FROM shaped', 
+    track="""SELECT event, telescope, px, py, adu - 1 AS adu FROM (
+      SELECT l_orderkey // 3 AS event, CAST(l_orderkey % 3 + 1 AS INTEGER) AS telescope, CAST((l_orderkey * 5 + l_linenumber) % 32 AS INTEGER) AS px,
+        CAST((l_orderkey * 3 + l_linenumber) % 32 AS INTEGER) AS py, CAST(sum(CAST(l_quantity * 10 AS BIGINT)) AS BIGINT) AS adu FROM lineitem GROUP BY ALL) WHERE adu > 1""",
+    **_aperture("track", K.NSB_DATA_ADU), paired=_diagonal("passed"), done=_enough("paired"), shaped=parameters(moments("done"))))
+def _(s: Star):
+    """The main job on real data: pedestals cut toward zero, cleaning, moments, on whole array images."""
+    params = flows.data_parameters(s.array_events(), s.pedestals())
+    return rounded(params.filter("Size > 0").select("Event", "Telescope", *SHAPE_COLUMNS))
+
+
 @query("img4_negative_suppression", sql("""
 SELECT vec_id, CAST(cell // 8 AS INTEGER) AS px, CAST(cell % 8 AS INTEGER) AS py, adu FROM patches WHERE adu > 0""", "patches"))
 def _(s: Star):

@@ -96,6 +96,27 @@ class Star:
         """Simulation parameter table with reconstructed columns."""
         return flows.sim_parameters(self.hub(), self.truth(), POSITIONS, unique_images=True, parallel=PARALLEL)
 
+    def array_events(self) -> DataFrame:
+        """Array events of all hits, laid along a track in each image, on a pedestal of ten counts."""
+        order, k = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
+        hits = self.table("lineitem").select(
+            F.expr("l_orderkey div 3").alias("event"), (order % 3 + 1).cast("int").alias("telescope"),
+            ((order * 5 + k) % 32).cast("int").alias("px"), ((order * 3 + k) % 32).cast("int").alias("py"),
+            (F.col("l_quantity") * 10).cast("bigint").alias("adu"),
+        )
+        images = I.images_from_pixels(I.sum_cells(hits))
+        return images.select(
+            F.concat(F.lit("run"), (F.col("event") % 5).cast("string")).alias("file"), F.col("event").alias("Event"),
+            F.col("telescope").alias("Telescope"), F.col("telescope").alias("scope_id"), (F.col("event") % 600).cast("double").alias("pcap_time"),
+            F.transform("image", lambda v: (v + 10).cast("smallint")).alias("pix"),
+        )
+
+    def pedestals(self) -> DataFrame:
+        """A map of 10.5 counts for each file and telescope of `array_events`."""
+        files = self.spark.range(5).select(F.concat(F.lit("run"), F.col("id").cast("string")).alias("file"))
+        scopes = self.spark.range(1, 4).select(F.col("id").cast("int").alias("scope_id"))
+        return files.join(scopes).withColumn("peds", F.array_repeat(F.lit(10.5), K.CAMERA_SIDE**2))
+
     def many(self) -> DataFrame:
         """Image parameters where an event has any number of images, several of a telescope, and of a fourth one."""
         keys = self.hits().withColumns({"event": F.col("order"), "telescope": (F.col("order") % 4 + 1).cast("int")})
