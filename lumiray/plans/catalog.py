@@ -1183,6 +1183,74 @@ def _(s: Star):
     return judged.agg(F.count("*").alias("n")).select(F.explode(rows).alias("r"), "n").select("r.feature", "r.importance", "n")
 
 
+# boosted stumps that SQL can repeat: features in whole steps, depth 1, a few rounds
+_STEPS = {"Size": 150.0, "Length": 0.4, "Width": 0.25, "Distance": 0.8, "LengthOverWidth": 2.0}
+_ROUNDS = 4
+
+
+def _stump_views() -> dict[str, str]:
+    """Per round: the split of the largest weighted Gini gain over all features and midpoints, its leaves' labels, its error,
+    strength and the rows' next weights."""
+    cut = ", ".join(f'CAST(least(floor("{c if c != "LengthOverWidth" else "ratio"}" / {lit(w)}), 7) AS DOUBLE) AS f{k}' for k, (c, w) in enumerate(_STEPS.items()))
+    views = {
+        "feat": _FEAT,
+        "cut": f"""SELECT "Event", "Telescope", {cut}, CAST("Classification" - 1 AS DOUBLE) AS label,
+          ('0x' || substr(md5("Event" || '-' || "Telescope"), 1, 4))::INTEGER % 100 < 67 AS is_train FROM feat""",
+        "w0": "SELECT *, 1e0 AS w FROM cut WHERE is_train",
+    }
+    gini = lambda one, every: f"(1 - ({one} / {every}) ** 2 - (({every} - {one}) / {every}) ** 2)"
+    for k in range(_ROUNDS):
+        long = " UNION ALL ".join(f"SELECT {f} AS f, f{f} AS x, label, w FROM w{k}" for f in range(len(_STEPS)))
+        views[f"c{k}"] = f"""SELECT f, (x + lead(x) OVER v) / 2 AS t, sum(s) OVER v AS l, sum(s1) OVER v AS l1, sum(s) OVER (PARTITION BY f) AS n, sum(s1) OVER (PARTITION BY f) AS n1
+          FROM (SELECT f, x, sum(w) AS s, sum(w * label) AS s1 FROM ({long}) GROUP BY f, x) WINDOW v AS (PARTITION BY f ORDER BY x)"""
+        views[f"b{k}"] = f"""SELECT f, t, CASE WHEN l1 > l - l1 THEN 1e0 ELSE 0e0 END AS below, CASE WHEN n1 - l1 > (n - l) - (n1 - l1) THEN 1e0 ELSE 0e0 END AS above
+          FROM c{k} WHERE t IS NOT NULL ORDER BY {gini('n1', 'n')} - l / n * {gini('l1', 'l')} - (n - l) / n * {gini('(n1 - l1)', '(n - l)')} DESC, f, t LIMIT 1"""
+        guess = "CASE WHEN (CASE b.f " + " ".join(f"WHEN {f} THEN r.f{f}" for f in range(len(_STEPS))) + " END) <= b.t THEN b.below ELSE b.above END"
+        views[f"e{k}"] = f"SELECT b.*, ln((1 - e) / e) AS strength FROM b{k} b, (SELECT sum(CASE WHEN {guess} <> r.label THEN r.w ELSE 0e0 END) / sum(r.w) AS e FROM w{k} r, b{k} b)"
+        views[f"w{k + 1}"] = f"SELECT r.* REPLACE (r.w * CASE WHEN {guess} <> r.label THEN exp(b.strength) ELSE 1e0 END AS w) FROM w{k} r, e{k} b"
+    trees = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(_ROUNDS))
+    views["trees"] = trees
+    views["scored"] = f"""SELECT r."Event", r."Telescope", r.label, CASE WHEN sum(b.strength * (2 * {guess} - 1)) > 0 THEN 1e0 ELSE 0e0 END AS prediction
+      FROM cut r, trees b WHERE NOT r.is_train GROUP BY ALL"""
+    return views
+
+
+def _stumps(s: Star):
+    table = cut_lineage(classify.assemble(classify.in_steps(classify.feature_table(s.labelled()), _STEPS)))
+    train, test = classify.train_test_split(table)
+    model = classify.fit_boosted_trees(train, _ROUNDS, 1)
+    return model, model.transform(test)
+
+
+@query("ml3_ml4_boosted_stumps", sql(f"""
+SELECT {r('avg(CASE WHEN label = prediction THEN 1e0 ELSE 0e0 END)')} AS accuracy, count(*) AS n FROM scored""", "labelled", **_stump_views()))
+def _(s: Star):
+    model, judged = _stumps(s)
+    return rounded(judged.agg(F.lit(classify.accuracy(judged)).alias("accuracy"), F.count("*").alias("n")))
+
+
+@query("ml5_stump_importance", sql(f"""
+SELECT feature, {r("coalesce(sum(CASE WHEN below <> above THEN strength ELSE 0e0 END) / any_value(total), 0e0)", 4)} AS importance
+FROM (SELECT unnest({list(_STEPS)!r}) AS feature, unnest(range({len(_STEPS)})) AS f) LEFT JOIN trees USING (f) CROSS JOIN (SELECT sum(strength) AS total FROM trees)
+GROUP BY feature""", "labelled", **_stump_views()))
+def _(s: Star):
+    model, judged = _stumps(s)
+    rows = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("importance")) for k, v in model.feature_importance()])
+    return rounded(judged.limit(1).select(F.inline(rows)), 4)
+
+
+@query("ml6_stump_confusion", sql(f"""
+SELECT label, prediction, count(*) AS n, {r('count(*) / CAST(sum(count(*)) OVER (PARTITION BY label) AS DOUBLE)')} AS share FROM scored GROUP BY label, prediction""",
+"labelled", **_stump_views()))
+def _(s: Star):
+    return rounded(classify.confusion_matrix(_stumps(s)[1]))
+
+
+@query("ml7_stump_mistakes", sql('SELECT "Event", "Telescope", label, prediction FROM scored WHERE label <> prediction', "labelled", **_stump_views()))
+def _(s: Star):
+    return classify.judged_rows(_stumps(s)[1])[1].select("Event", "Telescope", "label", "prediction")
+
+
 _RULE = """SELECT CAST("Classification" - 1 AS DOUBLE) AS label, CASE WHEN "Size" > 900 THEN 1e0 ELSE 0e0 END AS prediction, "Event", "Telescope" FROM feat"""
 
 
