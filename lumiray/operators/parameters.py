@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumiray import constants as K
+from lumiray.constants import NOISE
 from lumiray.functions.angles import full_circle
 from lumiray.functions.numeric import hypot, missing, safe_sqrt, snap, tidy
 from lumiray.functions.stencil import raw_moments_of_images
@@ -41,7 +42,7 @@ def raw_moments_from_images(df: DataFrame, column: str = "image") -> DataFrame:
     return df.withColumn("m", raw_moments_of_images()(F.col(column))).select("*", "m.*").drop("m", column)
 
 
-def weighted_means(df: DataFrame) -> DataFrame:
+def weighted_means(df: DataFrame, noise: float = NOISE) -> DataFrame:
     """Mean position and central second moments in degrees, after rotation by `rot`
     (radians) and shift by whole pixels `dx`, `dy` where these columns exist.
     All are zero for an image without positive content."""
@@ -86,18 +87,18 @@ def weighted_means(df: DataFrame) -> DataFrame:
     return derive_once(
         base,
         {
-            "xm": snap(F.when(lit, F.col("x_")).otherwise(F.lit(0.0))),
-            "ym": snap(F.when(lit, F.col("y_")).otherwise(F.lit(0.0))),
-            "vx": snap(F.col("vx_")),
-            "vy": snap(F.col("vy_")),
-            "vxy": snap(F.col("vxy_")),
+            "xm": snap(F.when(lit, F.col("x_")).otherwise(F.lit(0.0)), noise),
+            "ym": snap(F.when(lit, F.col("y_")).otherwise(F.lit(0.0)), noise),
+            "vx": snap(F.col("vx_"), noise),
+            "vy": snap(F.col("vy_"), noise),
+            "vxy": snap(F.col("vxy_"), noise),
             "Size": n,
         },
         keep=[c for c in base.columns if c not in internal],
     )
 
 
-def shape_parameters(df: DataFrame, digits: int | None = 6) -> DataFrame:
+def shape_parameters(df: DataFrame, digits: int | None = 6, noise: float = NOISE) -> DataFrame:
     """Image parameters from `weighted_means`; undefined ones are NULL.
 
     `digits` is the precision of the parameter files; None keeps full doubles.
@@ -113,8 +114,8 @@ def shape_parameters(df: DataFrame, digits: int | None = 6) -> DataFrame:
     # components of the centroid along the major axis, times that axis
     d = d.withColumns(
         {
-            "ac_": snap((dd + z) * ym + 2 * vxy * xm),
-            "bc_": snap(2 * vxy * ym - (dd - z) * xm),
+            "ac_": snap((dd + z) * ym + 2 * vxy * xm, noise),
+            "bc_": snap(2 * vxy * ym - (dd - z) * xm, noise),
         }
     ).withColumn("cc_", hypot(F.col("ac_"), F.col("bc_")))
     ac, bc, cc = F.col("ac_"), F.col("bc_"), F.col("cc_")
@@ -129,11 +130,11 @@ def shape_parameters(df: DataFrame, digits: int | None = 6) -> DataFrame:
         "Phi": F.degrees(full_circle(slope)),
         "Size": F.col("Size"),
         "Length": safe_sqrt((vx + vy + z) / 2),
-        "Width": safe_sqrt(snap((vx + vy - z) / 2)),
+        "Width": safe_sqrt(snap((vx + vy - z) / 2, noise)),
         "Miss": F.col("Miss"),
         "Distance": dist,
         "Azwidth": safe_sqrt(
-            snap(F.try_divide(xm * xm * vy - 2 * xm * ym * vxy + ym * ym * vx, dist * dist))
+            snap(F.try_divide(xm * xm * vy - 2 * xm * ym * vxy + ym * ym * vx, dist * dist), noise)
         ),
         "Alpha": F.degrees(F.asin(F.try_divide(F.col("Miss"), dist))),
     }
@@ -144,8 +145,9 @@ def shape_parameters(df: DataFrame, digits: int | None = 6) -> DataFrame:
     return derive_once(d, {c: out[c] for c in SHAPE_COLUMNS}, keep=rest)
 
 
-def image_parameters(moments: DataFrame, digits: int | None = 6) -> DataFrame:
-    """The image-parameter table from raw moment sums, keyed by Event and Telescope."""
-    named = shape_parameters(weighted_means(moments), digits)
+def image_parameters(moments: DataFrame, digits: int | None = 6, noise: float = NOISE) -> DataFrame:
+    """The image-parameter table from raw moment sums, keyed by Event and Telescope. Variances and products
+    nearer to zero than `noise` count as zero; images moved far off the camera need a larger bound."""
+    named = shape_parameters(weighted_means(moments, noise), digits, noise)
     renames = {"event": "Event", "telescope": "Telescope"}
     return named.withColumnsRenamed({k: v for k, v in renames.items() if k in named.columns})

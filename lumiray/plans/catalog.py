@@ -458,11 +458,12 @@ _TURNED = f"""SELECT event, telescope, adu, x * cos(rot) - y * sin(rot) - dx * {
 
 
 @query("cor4_corrected_parameters", sql(f'SELECT event AS "Event", telescope AS "Telescope", {SHAPES} FROM turned', "pixels", **_CORR,
-                                        turned=parameters(moments("pixels", pixel=_TURNED))))
+                                        turned=parameters(moments("pixels", pixel=_TURNED, noise=1e-11), noise=1e-11)))
 def _(s: Star):
     images = _timed(P.raw_moments(s.hits()))
     moved = pointing.with_offsets(pointing.attach_corrections(images, pointing.correction_table(s.spark)))
-    return P.image_parameters(moved).select("Event", "Telescope", *SHAPE_COLUMNS)
+    # drifts move these images far off the camera, where squares of degrees round at 1e-12
+    return P.image_parameters(moved, noise=1e-11).select("Event", "Telescope", *SHAPE_COLUMNS)
 
 
 # ------------------------------------------------------------------ moments

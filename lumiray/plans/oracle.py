@@ -19,8 +19,8 @@ def r(e: str, digits: int = 6) -> str:
     return f"(floor(({e}) * 1e{digits} + 0.5001e0) / 1e{digits} + 0e0)"
 
 
-def snap(e: str) -> str:
-    return f"(CASE WHEN abs({e}) < 2e-13 THEN 0e0 ELSE {e} END)"
+def snap(e: str, noise: float = 2e-13) -> str:
+    return f"(CASE WHEN abs({e}) < {noise} THEN 0e0 ELSE {e} END)"
 
 
 def div(a: str, b: str) -> str:
@@ -125,7 +125,7 @@ cte("pixels", ("hits",), """
 SELECT event, telescope, px, py, CAST(sum(adu) AS BIGINT) AS adu FROM hits GROUP BY event, telescope, px, py""")
 
 
-def moments(source: str, x: str = "xd", y: str = "yd", keys: str = "event, telescope", pixel: str | None = None) -> str:
+def moments(source: str, x: str = "xd", y: str = "yd", keys: str = "event, telescope", pixel: str | None = None, noise: float = 2e-13) -> str:
     """Weighted moments per image from pixel positions in degrees."""
     pixel = pixel or (
         f"SELECT *, -4.95e0 + (px + 0.5e0) * {lit(K.PIXEL_DEG)} AS xd, -4.95e0 + (py + 0.5e0) * {lit(K.PIXEL_DEG)} AS yd FROM {source}"
@@ -135,19 +135,19 @@ def moments(source: str, x: str = "xd", y: str = "yd", keys: str = "event, teles
         sum(adu * {x} * {x}) / sum(adu) AS x2, sum(adu * {y} * {y}) / sum(adu) AS y2,
         sum(adu * {x} * {y}) / sum(adu) AS xy FROM ({pixel}) GROUP BY {keys}"""
     return f"""
-      SELECT {keys}, s, {snap('xm')} AS xm, {snap('ym')} AS ym, {snap('(x2 - xm * xm)')} AS vx,
-        {snap('(y2 - ym * ym)')} AS vy, {snap('(xy - xm * ym)')} AS vxy FROM ({sums})"""
+      SELECT {keys}, s, {snap('xm', noise)} AS xm, {snap('ym', noise)} AS ym, {snap('(x2 - xm * xm)', noise)} AS vx,
+        {snap('(y2 - ym * ym)', noise)} AS vy, {snap('(xy - xm * ym)', noise)} AS vxy FROM ({sums})"""
 
 
-def parameters(source: str, keys: str = "event, telescope", digits: int = 6) -> str:
+def parameters(source: str, keys: str = "event, telescope", digits: int = 6, noise: float = 2e-13) -> str:
     """Image parameters from moments, by the closed formulas."""
     stage1 = f"SELECT *, vy - vx AS d, sqrt((vy - vx) * (vy - vx) + 4 * vxy * vxy) AS z, sqrt(xm * xm + ym * ym) AS dist FROM ({source})"
-    stage2 = f"""SELECT *, {snap('((d + z) * ym + 2 * vxy * xm)')} AS ac, {snap('(2 * vxy * ym - (d - z) * xm)')} AS bc FROM ({stage1})"""
+    stage2 = f"""SELECT *, {snap('((d + z) * ym + 2 * vxy * xm)', noise)} AS ac, {snap('(2 * vxy * ym - (d - z) * xm)', noise)} AS bc FROM ({stage1})"""
     stage3 = f"SELECT *, sqrt(ac * ac + bc * bc) AS cc FROM ({stage2})"
     stage4 = f"""SELECT *, CASE WHEN cc <> 0 THEN least(abs(-ac / cc * xm + bc / cc * ym), dist) END AS miss,
       CASE WHEN bc = 0 AND ac <> 0 THEN sign(ac) * pi() / 2 WHEN bc <> 0 THEN atan(ac / bc) END AS slope,
-      {snap('((vx + vy - z) / 2)')} AS w2,
-      CASE WHEN dist <> 0 THEN {snap('((xm * xm * (vy + ym * ym) - 2 * xm * ym * (vxy + xm * ym) + (vx + xm * xm) * ym * ym) / (dist * dist))')} END AS a2
+      {snap('((vx + vy - z) / 2)', noise)} AS w2,
+      CASE WHEN dist <> 0 THEN {snap('((xm * xm * (vy + ym * ym) - 2 * xm * ym * (vxy + xm * ym) + (vx + xm * xm) * ym * ym) / (dist * dist))', noise)} END AS a2
       FROM ({stage3})"""
     phi = pmod("slope", TWO_PI)
     return f"""
