@@ -170,24 +170,23 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     sets = met.filter("_member is null").select("s").distinct()
     firsts = sets.select("s", F.posexplode("s").alias("at", "a"))
     pairs = firsts.select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b")).distinct()
+    # candidates go by the first hash alone: should it coincide, clusters merge, which costs comparisons and no more.
     # sizes first, which are short; then of each side the sketch of the band they meet in, the smaller one's
-    of = lambda side: classes.select(F.col("c1").alias(side), F.col("node").alias(f"node_{side}"), F.col("n").alias(f"n_{side}"), F.col("band").alias(f"band_{side}"))
+    of = lambda side: classes.select(F.col("c1").alias(side), F.col("n").alias(f"n_{side}"), F.col("band").alias(f"band_{side}"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(4 * small >= 3 * large).withColumn("level", F.least("band_a", "band_b"))
     bands = F.array(F.struct(F.col("band").alias("level"), F.col("own").alias("sketch")), F.struct((F.col("band") - 1).alias("level"), F.col("low").alias("sketch")))
-    sketches = classes.select("node", F.inline(bands))
-    sketch_of = lambda side: sketches.select(F.col("node").alias(f"node_{side}"), "level", F.col("sketch").alias(f"sketch_{side}"))
+    sketches = classes.select("c1", F.inline(bands))
+    sketch_of = lambda side: sketches.select(F.col("c1").alias(side), "level", F.col("sketch").alias(f"sketch_{side}"))
     near = F.pandas_udf(_sketches_near, "boolean")
-    close = sized.join(sketch_of("a"), ["node_a", "level"]).join(sketch_of("b"), ["node_b", "level"]).filter(near("n_a", "sketch_a", "n_b", "sketch_b"))
+    close = sized.select("a", "b", "level", "n_a", "n_b").join(sketch_of("a"), ["a", "level"]).join(sketch_of("b"), ["b", "level"])
+    close = close.filter(near("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
     # members of a large group hang together by its hub
-    tied = met.filter("_member is not null").select(F.col("_member").alias("c1"), "hub").distinct().filter("c1 <> hub")
-    names = classes.select("c1", "node")
-    tied = tied.join(names, "c1").join(names.select(F.col("c1").alias("hub"), F.col("node").alias("node_hub")), "hub")
-    edges = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(tied.select(F.col("node").alias("a"), F.col("node_hub").alias("b")))
-    clusters = connected_components(edges)
+    tied = met.filter("_member is not null").select(F.col("_member").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = connected_components(close.unionByName(tied)).select(F.col("node").alias("c1"), "root")
 
     # the sets of the clusters' classes, from one text of each
-    chosen = texts.withColumn("node", node).join(clusters, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("root").alias("root"))
+    chosen = texts.withColumn("node", node).join(clusters, "c1").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("root").alias("root"))
     chosen = chosen.select("node", "root", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(broadcast_if_small(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
 
@@ -199,7 +198,7 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
                 data = [v.tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
                 yield pd.DataFrame({"node": b["node"].iloc[rows].to_numpy(), "root": b["root"].iloc[rows].to_numpy(), "members": data})
 
-    sets = cut_lineage(wanted.select("node", "root", "text").mapInPandas(members, "node string, root string, members binary").dropDuplicates(["node"]))
+    sets = cut_lineage(wanted.select("node", "root", "text").mapInPandas(members, "node string, root long, members binary").dropDuplicates(["node"]))
     tiles = sets.groupBy("root").agg((F.floor(F.count(F.lit(1)) / TILE) + 1).alias("_tiles"))
     placed = sets.join(tiles, "root").withColumn("_tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
     # a set meets every tile of its cluster; the task of two tiles is named by both
