@@ -125,6 +125,13 @@ def column_span(df: DataFrame, column: str = "Timestamp", by=()) -> DataFrame:
     return df.groupBy(*_by(by)).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
 
 
+def _spread(df: DataFrame, first: Column, last: Column, step: Column, name: str, chunk: int = 4096) -> DataFrame:
+    """A row for each of first, first + step, ... last. Starts of chunks are spread first, so that no row
+    holds the whole list."""
+    starts = df.withColumn("start_", F.explode(F.sequence(first, last, step * chunk)))
+    return starts.withColumn(name, F.explode(F.sequence("start_", F.least(F.col("start_") + step * (chunk - 1), last), step))).drop("start_")
+
+
 def fill_bins(counts: DataFrame, bins: int, by=(), value: str = "n", fill=0) -> DataFrame:
     """Every bin 0..bins-1 of every group, absent ones with `fill`."""
     by = _by(by)
@@ -171,11 +178,14 @@ def histogram_own_range(df: DataFrame, column: str, bins, by=()) -> DataFrame:
     """Histogram between the smallest and largest value of each group.
 
     `bins` is a number or a column of `lo` and `hi` (e.g. one bin per 100 s).
-    A group whose values are all equal is spread half a unit to both sides.
+    A group whose values are all equal is spread half a unit to both sides. An infinite value is an
+    error: there is no range to divide. NULL and NaN are absent.
     """
     by = _by(by)
     keys = by or ["g_"]
-    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, F.col(column).cast("double").alias("v"))
+    value = missing(F.col(column).cast("double"))
+    finite = F.when(F.abs(value) == float("inf"), F.raise_error(F.lit("a histogram over its own range met an infinite value")).cast("double"))
+    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, finite.otherwise(value).alias("v"))
     source = source.dropna(subset=["v"])
     span = column_span(source, "v", keys)
     bins = bins if isinstance(bins, Column) else F.lit(bins)
@@ -194,9 +204,7 @@ def histogram_own_range(df: DataFrame, column: str, bins, by=()) -> DataFrame:
         placed, lo, hi, n = source.withColumn("s", whole), F.col("s.lo"), F.col("s.hi"), F.col("s.bins")
     binned = placed.select(*keys, uniform_bin(F.col("v"), lo, hi, n).alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    spine = span.filter("bins > 0").select(
-        *keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
-    )
+    spine = _spread(span.filter("bins > 0").select(*keys, "lo", "hi", "bins"), F.lit(0), F.col("bins") - 1, F.lit(1), "bin")
     full = spine.join(counts, [*keys, "bin"], "left")
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     return full.select(
@@ -237,7 +245,7 @@ def time_bucket(seconds: Column, width: int = 100) -> Column:
 
 def _bucket_spine(buckets: DataFrame, by, width: int) -> DataFrame:
     span = buckets.groupBy(*by).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    return span.select(*by, F.explode(F.sequence("lo", "hi", F.lit(width).cast("bigint"))).alias("bucket"))
+    return _spread(span, F.col("lo"), F.col("hi"), F.lit(width).cast("bigint"), "bucket").select(*by, "bucket")
 
 
 def bucket_aggregates(df: DataFrame, aggs, time: str = "Timestamp", by=("Telescope",), width: int = 100) -> DataFrame:

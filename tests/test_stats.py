@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumiray.operators import performance, psf, stats
 
@@ -189,3 +190,18 @@ def test_no_window_sees_more_than_the_cells(spark):
     finally:
         stats.small_table = before
     assert len(seen) >= 2 and max(seen) <= 8
+
+
+def test_own_range_refuses_infinities(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),)], "v double")
+    with pytest.raises(PySparkException, match="infinite"):
+        stats.histogram_own_range(df, "v", 4).collect()
+    assert sum(r.n for r in stats.histogram_own_range(df.filter("v < 3"), "v", 4).collect()) == 2
+
+
+def test_spines_longer_than_a_chunk(spark):
+    df = spark.createDataFrame([(0, 10_000)], "a int, b int")
+    got = [r.k for r in stats._spread(df, F.col("a"), F.col("b"), F.lit(1), "k", chunk=64).collect()]
+    assert sorted(got) == list(range(10_001))
