@@ -91,7 +91,7 @@ def test_pedestals_cut_toward_zero(spark):
     peds = spark.createDataFrame([("a", 1, [9.5, 10.5, 5.9, 5.0], [0.0] * 4)], "file string, scope_id int, peds array<double>, pedvars array<double>")
     out = {r.scope_id: r.image for r in I.subtract_pedestals(events, peds).collect()}
     assert out[1] == [0, 0, -2, 0] and out[0] == [0, 0, 0, 0]
-    shuffled = I.subtract_pedestals(events, peds, max_rows=0)
+    shuffled = I.subtract_pedestals(events, peds, max_bytes=0)
     assert {r.scope_id: r.image for r in shuffled.collect()} == out
 
 
