@@ -9,7 +9,8 @@ every pair that can link meets in the band of the smaller text.
 2. Pigeonhole join: in the band's wide sketch, a row of 64-bit words into which the shingles are XORed,
    no more words differ than shingles do. `shingles.part_keys` tells why it is enough to join on a
    bounded number of words of each text, the least common first, and nothing is lost.
-3. Pairs out of groups of up to eight with an equal word are kept if their sketches differ in few enough bits. Members
+3. Pairs out of groups of up to eight with an equal word are kept if they share enough words and their sketches
+   differ in few enough bits. Members
    of large groups are held together by edges to one of them, not by pairs.
 4. Candidates fall into clusters. A cluster's texts meet in tiles of bounded size; inside a tile the
    sketches rule pairs out, the sets verify the rest exactly, and pairs already connected are
@@ -167,14 +168,18 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     ruled = keys.withColumn("hub", F.min("c1").over(group)).withColumn("_most", F.max("c1").over(group)).withColumn("_rows", F.count(F.lit(1)).over(group))
     shared = ruled.filter("hub <> _most").withColumn("_member", F.when(F.col("_rows") > SMALL, F.col("c1")))
     met = cut_lineage(shared.groupBy("key", "_member", "hub").agg(F.sort_array(F.collect_set("c1")).alias("s")).select("_member", "hub", "s"))
-    sets = met.filter("_member is null").select("s").distinct()
-    firsts = sets.select("s", F.posexplode("s").alias("at", "a"))
-    pairs = firsts.select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b")).distinct()
+    sets = met.filter("_member is null").groupBy("s").agg(F.count(F.lit(1)).alias("keys"))
+    firsts = sets.select("s", "keys", F.posexplode("s").alias("at", "a"))
+    pairs = firsts.select("a", "keys", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("keys").alias("keys"))
     # candidates go by the first hash alone: should it coincide, clusters merge, which costs comparisons and no more.
     # sizes first, which are short; then of each side the sketch of the band they meet in, the smaller one's
     of = lambda side: classes.select(F.col("c1").alias(side), F.col("n").alias(f"n_{side}"), F.col("band").alias(f"band_{side}"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(4 * small >= 3 * large).withColumn("level", F.least("band_a", "band_b"))
+    # a pair that shares a key in a large group is tied there; any other has all its keys here
+    enough = F.element_at(F.array(*[F.lit(int(n)) for n in shingles.least_shared(np.arange(len(shingles.BOUNDS) - 1))]), F.col("level") + 1)
+    sized = sized.filter(F.col("keys") >= enough)
     bands = F.array(F.struct(F.col("band").alias("level"), F.col("own").alias("sketch")), F.struct((F.col("band") - 1).alias("level"), F.col("low").alias("sketch")))
     sketches = classes.select("c1", F.inline(bands))
     sketch_of = lambda side: sketches.select(F.col("c1").alias(side), "level", F.col("sketch").alias(f"sketch_{side}"))

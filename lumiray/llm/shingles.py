@@ -67,6 +67,12 @@ def largest(band: np.ndarray) -> np.ndarray:
     return BOUNDS[band + 1] - 1
 
 
+def least_shared(band: np.ndarray) -> np.ndarray:
+    """How many keys two texts share at least if they may link in a band: one in 64 of its shingles, so that longer texts
+    do not meet by chance."""
+    return 1 + largest(band) // 64
+
+
 def sketch_bits(band: np.ndarray) -> np.ndarray:
     """Bits of a band's parity sketches, about one for a shingle."""
     return (largest(band) + 63) // 64 * 64
@@ -88,10 +94,10 @@ def part_keys(values: np.ndarray, counts: np.ndarray, band: np.ndarray, bound: n
 
     The band's sketch has as many words as its largest size has shingles; a shingle is XORed into one
     word. A shingle that only one of two texts has spoils one word at most, so that of `bound` such
-    shingles at least (words in use - bound) words stay equal. Of each text the bound + 1 words of the
-    least common order are keys: two texts within the bound share one. The order puts words first
-    whose rarest shingle is rare (`weight` of a shingle), then goes by hash. A text that uses no more words
-    than the bound gives its bound + 1 first shingles as well: one of two such texts' shingles is common."""
+    shingles at least (words in use - bound) words stay equal. Of each text the first bound + `least_shared`
+    words are keys, in an order that puts words first whose rarest shingle is rare (`weight` of a shingle), then
+    goes by hash: two texts within the bound share at least `least_shared` of them. A text that uses fewer words
+    than that gives as many first shingles as well, which two such texts share in the same way."""
     parts = np.maximum(largest(band), 64)
     of = np.repeat(np.arange(len(counts)), counts)
     part = (mix64(values * _PART) % np.repeat(parts, counts).astype(np.uint64)).astype(np.int64)
@@ -107,13 +113,14 @@ def part_keys(values: np.ndarray, counts: np.ndarray, band: np.ndarray, bound: n
     place = mix64((np.repeat(band, used).astype(np.uint64) << np.uint64(44)) ^ part_[new].astype(np.uint64))
     keys, key_of = [mix64(word ^ place)], [who]
     weights = [rare]
-    limit = np.minimum(bound + 1, used)
+    most = bound + least_shared(band)
+    limit = np.minimum(most, used)
     keys, key_of = _first(keys[0], weights[0], who, limit)
-    poor = used <= bound
+    poor = used < most
     if poor.any():
         own = poor[of]
         mark = np.repeat(band, counts)[own].astype(np.uint64) + np.uint64(1 << 20)
-        more, more_of = _first(mix64(values[own] ^ mix64(mark)), weight[own], of[own], bound + 1)
+        more, more_of = _first(mix64(values[own] ^ mix64(mark)), weight[own], of[own], most)
         keys, key_of = np.append(keys, more), np.append(key_of, more_of)
         order = np.argsort(key_of, kind="stable")
         keys, key_of = keys[order], key_of[order]
