@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,7 +29,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def byte_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+def byte_blocks(texts: Iterable[bytes], limit: int = 1 << 19) -> Iterator[list[bytes]]:
     """Runs of about `limit` bytes; a longer text is a run of its own. Keeps numpy's working memory bounded."""
     held, size = [], 0
     for b in texts:
@@ -42,10 +42,10 @@ def byte_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes
         yield held
 
 
-def text_blocks(texts, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def text_blocks(texts, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8, in such runs, each with the place of its first. Null counts as empty."""
     at = 0
-    for block in byte_blocks([b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts], limit):
+    for block in byte_blocks((b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts), limit):
         yield at, block
         at += len(block)
 
@@ -68,7 +68,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(2 * n, 1 << 21)
+        size = max(n + n // 4, 1 << 20)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(steps)

@@ -14,7 +14,7 @@ from lumiray.llm.common import hash_bytes
 LETTER, NUMBER, OTHER, BLANK, BORDER = range(5)
 #: fixed values: the contractions that byte-level BPE keeps as pieces of their own
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-_MOST_PIECES = 1_500_000
+_MOST_PIECES = 600_000
 #: byte-level files write each byte as a printable character: itself, or the next free one from 256
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
