@@ -192,23 +192,26 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
     # the sets of the clusters' classes, from one text of each
     chosen = texts.withColumn("node", node).join(clusters, "c1").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("root").alias("root"))
-    chosen = chosen.select("node", "root", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(broadcast_if_small(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    chosen = cut_lineage(chosen.select("node", "root", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash")))
+    tiles = chosen.groupBy("root").agg((F.floor(F.count(F.lit(1)) / TILE) + 1).alias("_tiles"))
+    placed = chosen.join(tiles, "root").withColumn("_tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(
+        broadcast_if_small(placed), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    )
 
     def members(batches):
         for b in batches:
             for at, block in text_blocks(b["text"]):
                 values, counts = shingles.shingle_sets(block)
-                rows = slice(at, at + len(block))
-                data = [v.tobytes() for v in np.split(values, np.cumsum(counts)[:-1])]
-                yield pd.DataFrame({"node": b["node"].iloc[rows].to_numpy(), "root": b["root"].iloc[rows].to_numpy(), "members": data})
+                rows = b.iloc[at : at + len(block)].drop(columns="text")
+                yield rows.assign(members=[v.tobytes() for v in np.split(values, np.cumsum(counts)[:-1])])
 
-    sets = cut_lineage(wanted.select("node", "root", "text").mapInPandas(members, "node string, root long, members binary").dropDuplicates(["node"]))
-    tiles = sets.groupBy("root").agg((F.floor(F.count(F.lit(1)) / TILE) + 1).alias("_tiles"))
-    placed = sets.join(tiles, "root").withColumn("_tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
+    # the sets are shuffled once, to their tasks; a repeated row comes twice, which links it with itself.
     # a set meets every tile of its cluster; the task of two tiles is named by both
+    fields = "node string, root long, _tile long, _tiles long, members binary"
+    sets = wanted.select("node", "root", "_tile", "_tiles", "text").mapInPandas(members, fields)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))
-    met = placed.withColumn("_other", other).select("node", "root", "members", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    met = sets.withColumn("_other", other).select("node", "root", "members", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
