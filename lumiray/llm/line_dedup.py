@@ -30,8 +30,6 @@ LEAST = 30
 LISTS = 16 << 20
 _BASE, _OTHER = 0x100000001B3, 0xC2B2AE3D27D4EB4F
 _INVERSE, _OTHER_INVERSE = pow(_BASE, -1, 1 << 64), pow(_OTHER, -1, 1 << 64)
-#: places are doc_id * 10 ** 12 + line: a fixed-width number that a hash aggregate can take the least of
-_STEP = 10**12
 
 
 def _sums(points: np.ndarray, base: int = _BASE) -> np.ndarray:
@@ -79,14 +77,18 @@ def neighbourhood(line: str) -> np.ndarray:
     return np.append(_sealed(s[n:], np.array([n])), _sealed(without, np.array([n - 1]))).view(np.int64)
 
 
-def _place(doc_id: Column, line: Column) -> Column:
-    """Null ids come last."""
-    number = F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    return (number * F.lit(_STEP).cast("decimal(14,0)") + line.cast("decimal(12,0)")).cast("decimal(38,0)")
+def _row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """_id and _row, by which rows of one id, or of none, are told apart if their texts differ. Null ids come last."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(doc_id, text).alias("_row")]
+
+
+def _place(line: str) -> Column:
+    """Orders lines by id, then by place in the text; what is equal in both, by row."""
+    return F.struct("_id", F.col(line).alias("line"), "_row")
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and the places (from 0) of the lines that go, for documents that lose some."""
+    """The key of the row and the places (from 0) of the lines that go, for rows that lose some."""
     ship_package(docs.sparkSession)
 
     def hashes(batches):
@@ -101,21 +103,20 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 if not len(found["of"]):
                     continue
                 keys = [k[:n] for k, n in zip(found["keys"], found["halves"].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start + found["of"]].to_numpy(), "line": found["line"], "h": found["h"], "g": found["g"], "keys": keys}).astype({"doc_id": "Int64"})
+                row = start + found["of"]
+                yield pd.DataFrame({"_id": b["_id"].to_numpy()[row], "_row": b["_row"].to_numpy()[row], "line": found["line"], "h": found["h"], "g": found["g"], "keys": keys})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = cut_lineage(own.mapInPandas(hashes, "doc_id long, line int, h long, g long, keys array<long>").withColumn("place", _place(F.col("doc_id"), F.col("line"))))
+    own = docs.select(*_row_key(), "text")
+    lines = cut_lineage(own.mapInPandas(hashes, "_id long, _row long, line int, h long, g long, keys array<long>").select(_place("line").alias("place"), "h", "g", "keys"))
     firsts = cut_lineage(lines.groupBy("h", "g").agg(F.min("place").alias("first"), F.any_value("keys").alias("keys")))
 
     halves = firsts.select("h", "g", "first", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a <> _b").select("key")
     near = cut_lineage(halves.join(shared, "key").select("h", "g", "first").distinct())
     # their texts, from the documents where they come first
-    at = near.withColumn("_id", F.floor(F.col("first") / _STEP).cast("decimal(20,0)")).withColumn("_line", (F.col("first") % _STEP).cast("int"))
-    wanted = at.groupBy("_id").agg(F.collect_list(F.struct("_line", "h", "first")).alias("_wanted"))
-    number = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    found = own.join(broadcast_if_small(wanted, LISTS), number == F.col("_id")).withColumn("_lines", F.split("text", "\n", -1)).select("_lines", F.explode("_wanted").alias("w"))
-    texts = cut_lineage(found.select(F.col("w.h").alias("h"), F.col("w.first").alias("place"), F.col("_lines")[F.col("w._line")].alias("line")).filter(F.length("line") >= least))
+    wanted = near.groupBy("first._id", "first._row").agg(F.collect_list(F.struct(F.col("first.line").alias("_line"), "h")).alias("_wanted"))
+    found = own.join(broadcast_if_small(wanted, LISTS), ["_id", "_row"]).withColumn("_lines", F.split("text", "\n", -1)).select("_id", "_row", "_lines", F.explode("_wanted").alias("w"))
+    texts = cut_lineage(found.select(F.col("w.h").alias("h"), _place("w._line").alias("place"), F.col("_lines")[F.col("w._line")].alias("line")))
 
     def variants(batches):
         for b in batches:
@@ -158,27 +159,29 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .distinct()
     )
     known = cut_lineage(firsts.select("h", "g", "first").join(verified.withColumn("_near", F.lit(True)), "first", "left"))
-    gone = lines.select("doc_id", "line", "h", "g", "place").join(known, ["h", "g"]).filter((F.col("place") != F.col("first")) | F.col("_near"))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+    gone = lines.select("h", "g", "place").join(known, ["h", "g"]).filter((F.col("place") != F.col("first")) | F.col("_near"))
+    return gone.groupBy("place._id", "place._row").agg(F.collect_set("place.line").alias("_dropped"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The input with a new `text`, and n_lines and n_dropped. All rows and columns stay.
 
-    A null or empty text has one empty line and stays as it is. Rows of the same doc_id (null counts as one, the
-    last) are treated alike: their equal lines at equal places stay or go together. Columns named n_lines or
-    n_dropped are replaced. An empty table gives an empty result."""
-    gone = dropped_lines(docs, least).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(broadcast_if_small(gone, LISTS), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    A null or empty text has one empty line and stays as it is. Rows without an id come last. Each row loses
+    its own lines; of lines at one place under one id, those of the least row hash count as the earliest. Rows equal in
+    doc_id and text are one document: their lines stay or go together. Columns named n_lines or n_dropped are replaced.
+    An empty table gives an empty result."""
+    gone = dropped_lines(docs, least).select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_dropped")
+    _id, _row = _row_key()
+    joined = docs.withColumns({"_own_id": _id, "_own_row": _row}).join(broadcast_if_small(gone, LISTS), (F.col("_own_id") == F.col("_gone_id")) & (F.col("_own_row") == F.col("_gone_row")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, k: (F.length(line) < least) | ~F.array_contains("_dropped", k))
+    kept = F.filter(lines, lambda line, k: ~F.array_contains("_dropped", k))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     after = F.when(F.col("_dropped").isNull(), F.size(lines)).otherwise(F.size(kept))
     return (
         joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(1)).cast("long"))
         .withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - after).cast("long"))
         .withColumn("text", text)
-        .drop("_id", "_dropped")
+        .drop("_own_id", "_own_row", "_gone_id", "_gone_row", "_dropped")
     )
 
 

@@ -53,3 +53,26 @@ def test_documents_left_without_words_go(table):
 def test_empty_table(table):
     assert line_dedup.dedup_lines(table([])).collect() == []
     assert line_dedup.without_repeated_lines(table([])).collect() == []
+
+
+def test_rows_of_one_id_lose_only_their_own_lines(table):
+    x, y = "a line that comes in two of the documents", "another one, which is nowhere else in the corpus"
+    rows = [(7, x, "s"), (None, x, "s"), (None, y, "s"), (8, x + "\n" + y[::-1], "s"), (8, y[::-1].upper() + "\n" + x.upper(), "s")]
+    df = table(rows)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(df).collect())
+    assert kept == sorted([(7, x), (0, ""), (0, y), (8, y[::-1]), (8, rows[4][1])])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.without_repeated_lines(df).collect()) == sorted([(7, x), (0, y), (8, y[::-1]), (8, rows[4][1])])
+
+
+def test_near_lines_of_rows_without_an_id(table):
+    a, b = "the first of two lines that are much alike", "a line that only the other document has at all"
+    rows = [(None, a + "\n" + b, "s"), (None, "nothing like the others, but long enough\n" + a + "x", "s")]
+    kept = sorted(r["text"] for r in line_dedup.dedup_lines(table(rows)).collect())
+    assert kept == sorted([rows[0][1], rows[1][1].split("\n")[0]])
+
+
+def test_negative_ids_with_several_lines(table):
+    lines = ["one line of some length, the first of all", "a second line that is not at all the same", "and the third, with words of its own again"]
+    rows = [(-7, "\n".join(lines), "s"), (-3, "\n".join(x + "!" for x in reversed(lines)), "s"), (2, lines[1] + "?\nthis one stays because nobody else has it", "s")]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(rows)).collect()}
+    assert kept == {-7: rows[0][1], -3: "", 2: "this one stays because nobody else has it"}
