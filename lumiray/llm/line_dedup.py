@@ -2,7 +2,8 @@
 
 Of lines within one insertion, deletion or replacement of a character, the earliest stays: a line goes if
 an equal line or one within that bound comes earlier in the corpus (by doc_id, then by place). This holds
-for lines of at least `least` characters; shorter ones are common phrases and always stay.
+for lines of at least `least` characters. Of equal shorter lines the earliest stays with `any_length`; blank ones,
+and without it all of them, always stay.
 
 1. Each line becomes hashes: of itself, and of its beginning and end halves. An edit of one character leaves
    one half as it is, so that only lines that share a half with a different line can have a neighbour.
@@ -44,16 +45,19 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def line_hashes(texts: list[str], least: int) -> dict[str, np.ndarray]:
-    """For the lines of at least that length: their text and place in it, two hashes of the line, and keys by
+def line_hashes(texts: list[str], least: int, any_length: bool = False) -> dict[str, np.ndarray]:
+    """For the lines of at least that length, and any other that is not blank with `any_length`: their text and place in it, two hashes of the line, and keys by
     halves. Lines within one edit share a key: of lengths m and n (m or m + 1), the half is m // 2 long; a
-    line of even length may be either, and has two keys more."""
+    line of even length may be either, and has two keys more. Shorter lines than `least` have none."""
     points = _points("".join(t + "\n" for t in texts))
     ends = np.flatnonzero(points == 10)
     starts = np.append(0, ends[:-1] + 1)
     count = np.array([t.count("\n") + 1 for t in texts])
     of, place = np.repeat(np.arange(len(texts)), count), np.arange(len(ends)) - np.repeat(np.cumsum(count) - count, count)
     use = ends - starts >= least
+    if any_length:
+        filled = np.append(0, np.cumsum((points != 32) & ((points < 9) | (points > 13))))
+        use |= filled[ends] > filled[starts]
     of, place, starts, ends = of[use], place[use], starts[use], ends[use]
     n = ends - starts
     sums, back = _sums(points), powers(len(points) + 1, _INVERSE)
@@ -66,7 +70,7 @@ def line_hashes(texts: list[str], least: int) -> dict[str, np.ndarray]:
         "of": of, "line": place,
         "h": _sealed((sums[ends] - sums[starts]) * back[starts], n).view(np.int64),
         "g": _sealed((other[ends] - other[starts]) * other_back[starts], n, 1 << 34).view(np.int64),
-        "keys": np.stack(keys, axis=1).view(np.int64), "halves": np.where(n % 2, 2, 4),
+        "keys": np.stack(keys, axis=1).view(np.int64), "halves": np.where(n < least, 0, np.where(n % 2, 2, 4)),
     }
 
 
@@ -87,7 +91,7 @@ def _place(line: str) -> Column:
     return F.struct("_id", F.col(line).alias("line"), "_row")
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = LEAST, any_length: bool = False) -> DataFrame:
     """The key of the row and the places (from 0) of the lines that go, for rows that lose some."""
     ship_package(docs.sparkSession)
 
@@ -99,7 +103,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 while at < len(texts) and (at == start or size + len(texts[at]) <= 1 << 19):
                     size += len(texts[at])
                     at += 1
-                found = line_hashes(texts[start:at], least)
+                found = line_hashes(texts[start:at], least, any_length)
                 if not len(found["of"]):
                     continue
                 keys = [k[:n] for k, n in zip(found["keys"], found["halves"].tolist(), strict=True)]
@@ -163,14 +167,14 @@ def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return gone.groupBy("place._id", "place._row").agg(F.collect_set("place.line").alias("_dropped"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, any_length: bool = False) -> DataFrame:
     """The input with a new `text`, and n_lines and n_dropped. All rows and columns stay.
 
     A null or empty text has one empty line and stays as it is. Rows without an id come last. Each row loses
     its own lines; of lines at one place under one id, those of the least row hash count as the earliest. Rows equal in
     doc_id and text are one document: their lines stay or go together. Columns named n_lines or n_dropped are replaced.
     An empty table gives an empty result."""
-    gone = dropped_lines(docs, least).select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_dropped")
+    gone = dropped_lines(docs, least, any_length).select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_dropped")
     _id, _row = _row_key()
     joined = docs.withColumns({"_own_id": _id, "_own_row": _row}).join(broadcast_if_small(gone, LISTS), (F.col("_own_id") == F.col("_gone_id")) & (F.col("_own_row") == F.col("_gone_row")), "left")
     lines = F.split("text", "\n", -1)
@@ -185,25 +189,27 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, any_length: bool = False) -> DataFrame:
     """The documents with their new texts and, if there, n_chars; those that lost their last word are left out."""
     names = docs.columns
     tag = docs.withColumnsRenamed({c: f"_own_{c}" for c in names if c in ("n_lines", "n_dropped")})
-    done = dedup_lines(tag, least).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = dedup_lines(tag, least, any_length).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return done.drop("n_lines", "n_dropped").withColumnsRenamed({f"_own_{c}": c for c in ("n_lines", "n_dropped") if c in names}).select(*[F.col(f"`{c}`") for c in names])
 
 
-def oracle_sql(least: int = LEAST) -> str:
+def oracle_sql(least: int = LEAST, any_length: bool = False) -> str:
     """The same in SQL: lines that share a half are compared character by character."""
+    or_filled = r" OR regexp_matches(line, '[^\x20\x09-\x0D]')" if any_length else ""
+    long_only = f" WHERE n >= {least}" if any_length else ""
     return f"""
 WITH every AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents
 ), firsts AS (
-  SELECT line, length(line) AS n, min((coalesce(doc_id, 9223372036854775807), k)) AS place FROM every WHERE length(line) >= {least} GROUP BY line
+  SELECT line, length(line) AS n, min((coalesce(doc_id, 9223372036854775807), k)) AS place FROM every WHERE length(line) >= {least}{or_filled} GROUP BY line
 ), halves AS (
-  SELECT *, unnest([n // 2, (n - 1) // 2]) AS m FROM firsts
+  SELECT *, unnest([n // 2, (n - 1) // 2]) AS m FROM firsts{long_only}
 ), candidates AS (
   SELECT DISTINCT a.line AS x, b.line AS y, a.n AS n FROM halves a JOIN halves b
     ON a.m = b.m AND left(a.line, a.m) = left(b.line, b.m) AND abs(a.n - b.n) <= 1 AND b.place < a.place

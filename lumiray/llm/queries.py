@@ -26,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_line_dedup_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), any_length=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -62,5 +66,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours)}
-ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_line_dedup_any_length, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours)}
+ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(), "op2_line_dedup_any_length": line_dedup.oracle_sql(any_length=True), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql()}

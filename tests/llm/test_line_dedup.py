@@ -71,6 +71,14 @@ def test_near_lines_of_rows_without_an_id(table):
     assert kept == sorted([rows[0][1], rows[1][1].split("\n")[0]])
 
 
+def test_short_lines_repeat_but_blank_ones_stay(table):
+    rows = [(1, "Yes.\n\n }\nNo.", "s"), (2, "Yes\n\nYes.\n }\n \t\nNo.\nNo.", "s"), (3, "Yes.\n\n \t", "s"), (4, "No.", "s")]
+    df = table(rows)
+    kept = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(df, any_length=True).collect()}
+    assert kept == {1: (rows[0][1], 0), 2: ("Yes\n\n \t", 4), 3: ("\n \t", 1), 4: ("", 1)}
+    assert sorted(r["doc_id"] for r in line_dedup.without_repeated_lines(df, any_length=True).collect()) == [1, 2]
+
+
 def test_negative_ids_with_several_lines(table):
     lines = ["one line of some length, the first of all", "a second line that is not at all the same", "and the third, with words of its own again"]
     rows = [(-7, "\n".join(lines), "s"), (-3, "\n".join(x + "!" for x in reversed(lines)), "s"), (2, lines[1] + "?\nthis one stays because nobody else has it", "s")]
