@@ -20,7 +20,7 @@ from lumiray.plans import flows
 from lumiray.plans.oracle import (
     SHAPES, TWO_PI, axis_bin, div, fixed_bin, lit, moments, parameters, pmod, r, separation, sql,
 )
-from lumiray.plans.star import PARALLEL, POSITIONS, Star
+from lumiray.plans.star import POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
 from lumiray.session import cut_lineage, ship_package, shared_folder
 from lumiray.sources import capture, sinks, tables
@@ -30,6 +30,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: queries that return or sum up cores; each has a second form in which only exactly parallel lines have none. Rounding decides its
+#: cores of nearly parallel lines, so it has no SQL
+CORES = {
+    "core1_core4_core_fit", "core5_ground_core", "snk3_sim_parameters", "snk3_repeated_telescopes",
+    "res1_resolution", "res1_error_histograms",
+}
+
+
 def query(name: str, oracle: str | None = None):
     """Register `f(star) -> DataFrame` under `name`."""
 
@@ -42,6 +50,14 @@ def query(name: str, oracle: str | None = None):
         QUERIES[name] = run
         if oracle:
             ORACLES[name] = " ".join(oracle.split())
+        if name in CORES:
+
+            def run_all(spark: SparkSession, folder: str) -> DataFrame:
+                ship_package(spark)
+                return f(Star(spark, folder, parallel=0.0))
+
+            run_all.__name__ = f"{name}_all_angles"
+            QUERIES[run_all.__name__] = run_all
         return f
 
     return register
@@ -207,7 +223,7 @@ SELECT "Event", "Telescope", {SHAPES}, {r('"Az"', 4)} AS "Az", {r('"Ze"', 4)} AS
   {r('"stdP"', 1)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
   {r('"TrueYcore"')} AS "TrueYcore", {r('"TrueEnergy"')} AS "TrueEnergy" FROM sim_many""", "sim_many"))
 def _(s: Star):
-    table = flows.sim_parameters(s.many(), s.truth(), POSITIONS, parallel=PARALLEL)
+    table = flows.sim_parameters(s.many(), s.truth(), POSITIONS, parallel=s.parallel)
     return rounded(table, Az=4, Ze=4, Xcore=1, Ycore=1, stdP=1)
 
 
@@ -522,7 +538,7 @@ def _(s: Star):
 
 
 def _reco(s: Star) -> DataFrame:
-    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS, unique_images=True, parallel=PARALLEL)
+    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS, unique_images=True, parallel=s.parallel)
 
 
 @query("core1_core4_core_fit", sql(f"""
