@@ -1179,10 +1179,11 @@ def _(s: Star):
     return train.select(*keys, F.lit(True).alias("is_train")).unionByName(test.select(*keys, F.lit(False).alias("is_train")))
 
 
-def _boosted(s: Star, rounds: int = 5, depth: int = 6):
+def _boosted(s: Star):
+    """The operator at its full size: its defaults, all rows."""
     table = cut_lineage(classify.assemble(classify.feature_table(s.labelled())))
     train, test = classify.train_test_split(table)
-    model = classify.fit_boosted_trees(train, rounds, depth)
+    model = classify.fit_boosted_trees(train)
     return model, model.transform(test)
 
 

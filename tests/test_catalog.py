@@ -70,5 +70,26 @@ def test_cores_of_both_forms(spark):
         assert entry_points.queries()[f"{name}_all_angles"](spark, FOLDER).columns == entry_points.queries()[name](spark, FOLDER).columns
 
 
+def test_boosted_trees_run_at_full_size(spark, monkeypatch):
+    import inspect
+
+    from lumiray import constants as K
+    from lumiray.operators import classify
+    from lumiray.plans import catalog
+
+    fit, seen = classify.fit_boosted_trees, []
+
+    def noted(*args, **named):
+        bound = inspect.signature(fit).bind(*args, **named)
+        bound.apply_defaults()
+        model = fit(*args, **named)
+        seen.append((bound.arguments["rounds"], bound.arguments["depth"], max(t.depth for t in model.trees)))
+        return model
+
+    monkeypatch.setattr(catalog.classify, "fit_boosted_trees", noted)
+    n = entry_points.queries()["ml3_ml4_boosted_trees"](spark, FOLDER).first()["n"]
+    assert n > 0 and seen[0][:2] == (K.CLASSIFIER_TREES, K.CLASSIFIER_DEPTH) == (200, 30) and seen[0][2] > 6
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 2500
