@@ -50,6 +50,18 @@ def text_blocks(texts, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]
         at += len(block)
 
 
+def arrow_blocks(texts, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """The same of an Arrow column of binary values: only the texts of one run become Python objects at a time."""
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)) if len(texts) else []
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        stop = max(int(np.searchsorted(total, before + limit, "right")), at + 1)
+        yield at, [t or b"" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(31))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiray.llm import chat, fingerprints, line_dedup, mixing, near_duplicates, neighbours, packing, quality, sharding, toxicity
+from lumiray.llm import alignment, chat, filter_audit, fingerprints, line_dedup, mixing, near_duplicates, neighbours, packing, quality, secrets, sharding, toxicity
 from lumiray.llm.common import documents, table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Place of the token file that queries use; operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_line_dedup_any_length, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours)}
-ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(), "op2_line_dedup_any_length": line_dedup.oracle_sql(any_length=True), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql()}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_line_dedup_any_length, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours, op11_filter_audit, op12_secrets, op13_align)}
+ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(), "op2_line_dedup_any_length": line_dedup.oracle_sql(any_length=True), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql()}

@@ -20,6 +20,8 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _classes: np.ndarray | None = None
 _open: dict[str, PieceTokenizer] = {}
+_open_models: dict[str, SegmentTokenizer] = {}
+_SPACE = "\u2581"  #: fixed value: how piece models write a space
 
 
 def _code_point_classes() -> np.ndarray:
@@ -63,13 +65,8 @@ def pieces(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-class PieceTokenizer:
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
+class _Cache:
+    """Ids of distinct pieces, found by the pieces' hashes."""
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
@@ -77,10 +74,9 @@ class PieceTokenizer:
         self.size = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list) -> None:
         """Add words that are not there; `hashes` ascend."""
-        merge = self.library.model.tokenize
-        found = [[t.id for t in merge(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET))] for w in words]
+        found = self._ids(words)
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum()))])
@@ -89,18 +85,9 @@ class PieceTokenizer:
         self.at = np.insert(self.at, place, at)
         self.size = np.insert(self.size, place, size)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if not texts:
-            return []
-        joined = "".join(t + "\0" for t in texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-        points[ends - 1] = 0x110000
-        starts = pieces(points)
-        stops = np.append(starts[1:], len(points))
-        hashes = hash_bytes(points, starts, stops)
-        border = points[starts] == 0x110000
+    def _gather(self, hashes: np.ndarray, border: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many there are up to the end of each. `piece` gives
+        the k-th piece; a border has no ids."""
         if len(self.hashes) > _MOST_PIECES:
             self._forget()
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -108,15 +95,42 @@ class PieceTokenizer:
         known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known & ~border[first])
         if len(new):
-            self._learn(distinct[new], [joined[starts[k] : stops[k]] for k in first[new]])
+            self._learn(distinct[new], [piece(k) for k in first[new]])
         if len(self.hashes):
             place = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
             size = np.where(border, 0, self.size[place][which])
             at = self.at[place][which]
         else:
-            size = at = np.zeros(len(starts), dtype=np.int64)
+            size = at = np.zeros(len(hashes), dtype=np.int64)
         total = np.cumsum(size)
-        ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])]
+        return self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])], total
+
+
+class PieceTokenizer(_Cache):
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._forget()
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        merge = self.library.model.tokenize
+        return [[t.id for t in merge(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET))] for w in words]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not texts:
+            return []
+        joined = "".join(t + "\0" for t in texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        points[ends - 1] = 0x110000
+        starts = pieces(points)
+        stops = np.append(starts[1:], len(points))
+        hashes = hash_bytes(points, starts, stops)
+        border = points[starts] == 0x110000
+        ids, total = self._gather(hashes, border, lambda k: joined[starts[k] : stops[k]])
         return np.split(ids, total[np.flatnonzero(border)][:-1])
 
 
@@ -125,3 +139,64 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
     if path not in _open:
         _open[path] = PieceTokenizer(path)
     return _open[path]
+
+
+def byte_entries(path: str) -> np.ndarray:
+    """The bytes of each id of a byte-level file."""
+    written = {c: b for b, c in _ALPHABET.items()}
+    names = piece_tokenizer(path).library.get_vocab(with_added_tokens=True)
+    out = np.full(max(names.values(), default=-1) + 1, b"", dtype=object)
+    for name, k in names.items():
+        out[k] = bytes(written[ord(c)] for c in name) if all(ord(c) in written for c in name) else name.encode()
+    return out
+
+
+class SegmentTokenizer(_Cache):
+    """Ids by a model of the `sentencepiece` library. No entry of such a model holds a space behind another
+    character, so that its merges never cross the place before a run of spaces; each distinct segment between
+    those places is encoded once a worker. A model with such entries gets whole texts."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        names = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
+        self.whole = any(_SPACE in name.lstrip(_SPACE) for name in names)
+        self.space = self.library.piece_to_id(_SPACE)
+        self._forget()
+
+    def entries(self) -> np.ndarray:
+        """The bytes of each id."""
+        out = np.full(self.library.get_piece_size(), b"", dtype=object)
+        for k in range(len(out)):
+            name = self.library.id_to_piece(k)
+            out[k] = bytes([int(name[3:5], 16)]) if self.library.is_byte(k) else name.replace(_SPACE, " ").encode()
+        return out
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        # the library adds the first space by itself, but gives nothing for an empty text
+        found = self.library.encode([w[1:].decode("utf-8", "surrogatepass") for w in words], num_threads=1)
+        return [ids if len(w) > 1 else [self.space] for w, ids in zip(words, found, strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text in UTF-8. Texts begin with the space that the model adds."""
+        if not texts:
+            return []
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        stops = np.cumsum([len(t) for t in texts])
+        begins = np.zeros(len(data), dtype=bool)
+        begins[np.append(0, stops[:-1])] = True
+        if not self.whole:
+            begins[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        raw = data.tobytes()
+        ids, total = self._gather(hash_bytes(data, starts, ends), np.zeros(len(starts), dtype=bool), lambda k: raw[starts[k] : ends[k]])
+        return np.split(ids, total[np.searchsorted(ends, stops)][:-1])
+
+
+def segment_tokenizer(path: str) -> SegmentTokenizer:
+    """One for each file and worker."""
+    if path not in _open_models:
+        _open_models[path] = SegmentTokenizer(path)
+    return _open_models[path]

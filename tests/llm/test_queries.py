@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not th
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for view in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     cursor = con.execute(queries.ORACLES[name])
     at = [[d[0] for d in cursor.description].index(c) for c in df.columns]
