@@ -105,7 +105,7 @@ MAX_DISTANCE_SCAN_DEG = 3.0
 THETA_SCAN_DEG = 1.0
 THROW_AREA_KM2 = math.pi * 0.4 * 0.4
 CLASSIFIER_TREES = 200
-CLASSIFIER_DEPTH = 30  # deepest tree the Spark learner accepts
+CLASSIFIER_DEPTH = 50
 TRAIN_PERCENT = 67
 EARTH_RADIUS_M = 6371000.0
 

@@ -1017,7 +1017,8 @@ def _(s: Star):
     return rounded(sky.on_off_map(sky.counts_map(_events(s), SKY), SKY).select("i", "j", "on", "off", "n_off", "alpha"))
 
 
-_E = {"on": "CAST(user_id % 40 AS DOUBLE)", "off": "CAST(event_id % 1200 AS DOUBLE)", "alpha": "CASE WHEN event_id % 11 = 0 THEN 0e0 ELSE 1e0 / (100 + event_id % 21) END"}
+# every seventh row has no excess, as many counts off as its regions expect
+_E = {"on": "CAST(user_id % 40 AS DOUBLE)", "off": "CAST(CASE WHEN event_id % 7 = 0 THEN user_id % 40 * (100 + event_id % 21) ELSE event_id % 1200 END AS DOUBLE)", "alpha": "CASE WHEN event_id % 11 = 0 THEN 0e0 ELSE 1e0 / (100 + event_id % 21) END"}
 
 
 def _li_ma_sql() -> str:
@@ -1032,7 +1033,8 @@ def _li_ma_sql() -> str:
 def _(s: Star):
     e = F.col("event_id")
     alpha = F.when(e % 11 == 0, F.lit(0.0)).otherwise(1.0 / (100 + e % 21))
-    sig = st.li_ma(F.col("user_id") % 40, e % 1200, alpha)
+    off = F.when(e % 7 == 0, F.col("user_id") % 40 * (100 + e % 21)).otherwise(e % 1200)
+    sig = st.li_ma(F.col("user_id") % 40, off, alpha)
     return rounded(s.table("events").select("event_id", *[sig[k].alias(k) for k in ("eq17", "eq9", "eq5")]))
 
 

@@ -79,12 +79,20 @@ def fixed_bin(x: str, lo: float, hi: float, n: int) -> str:
     return axis_bin(x, lit(lo), lit(hi), lit(n))
 
 
+def surplus(x: str) -> str:
+    series = "0e0"
+    for k in range(10, 1, -1):
+        series = f"({lit((-1 if k % 2 else 1) / (k * (k - 1)))} + x * {series})"
+    term = f"CASE WHEN abs(x) < 0.01e0 THEN x * x * {series} WHEN x > -1 THEN (1 + x) * ln(1 + x) - x ELSE 1e0 END"
+    return f"list_transform([{x}], lambda x: {term})[1]"
+
+
 def li_ma(on: str, off: str, alpha: str) -> dict[str, str]:
     tot, sig = f"({on} + {off})", f"({on} - {alpha} * {off})"
-    lon = f"(CASE WHEN {on} > 0 THEN {on} * ln((1 + {alpha}) / {alpha} * ({on} / {tot})) ELSE 0e0 END)"
-    loff = f"(CASE WHEN {off} > 0 THEN {off} * ln((1 + {alpha}) * ({off} / {tot})) ELSE 0e0 END)"
-    both = f"(2 * ({lon} + {loff}))"
-    size = f"CASE WHEN {tot} = 0 OR abs({both}) < 1e-15 THEN 0e0 ELSE {root(both)} END"
+    e_off = f"({tot} / (1 + {alpha}))"
+    e_on, moved = f"({alpha} * {e_off})", f"({sig} / (1 + {alpha}))"
+    both = f"({e_on} * {surplus(f'{moved} / nullif({e_on}, 0)')} + {e_off} * {surplus(f'(-{moved}) / nullif({e_off}, 0)')})"
+    size = f"CASE WHEN {tot} = 0 THEN 0e0 ELSE sqrt(2 * {both}) END"
     return {
         "eq5": f"CASE WHEN {on} + {alpha} * {alpha} * {off} > 0 THEN {sig} / sqrt({on} + {alpha} * {alpha} * {off}) ELSE 0e0 END",
         "eq9": f"CASE WHEN {alpha} * {tot} > 0 THEN {sig} / sqrt({alpha} * {tot}) ELSE 0e0 END",

@@ -88,7 +88,7 @@ def test_boosted_trees_run_at_full_size(spark, monkeypatch):
 
     monkeypatch.setattr(catalog.classify, "fit_boosted_trees", noted)
     n = entry_points.queries()["ml3_ml4_boosted_trees"](spark, FOLDER).first()["n"]
-    assert n > 0 and seen[0][:2] == (K.CLASSIFIER_TREES, K.CLASSIFIER_DEPTH) == (200, 30) and seen[0][2] > 6
+    assert n > 0 and seen[0][:2] == (K.CLASSIFIER_TREES, K.CLASSIFIER_DEPTH) == (200, 50) and seen[0][2] > 6
 
 
 def test_entry(spark):
