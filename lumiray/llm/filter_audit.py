@@ -155,13 +155,13 @@ WITH texts AS (
   SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
   WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
 ), removal AS (
-  SELECT part, o, fails, n, good, toxic, list_min(list_transform(range(1, 6), lambda k: CASE WHEN contains(fails, o[k]) THEN k ELSE 9 END)) AS at
+  SELECT part, o, fails, n, good, toxic, list_min(list_transform(range(1, 6), lambda k: CASE WHEN contains(fails, o[k]) THEN k ELSE 9 END)) AS stage
   FROM masks, orders
 ), steps AS (
   SELECT part, o AS filter_order, s.k AS step, o[s.k] AS letter,
-         sum(CASE WHEN at > s.k THEN n ELSE 0 END) AS kept, sum(CASE WHEN at = s.k THEN n ELSE 0 END) AS removed,
-         sum(CASE WHEN at < s.k AND contains(fails, o[s.k]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = o[s.k] THEN n ELSE 0 END) AS unique_fails,
-         sum(CASE WHEN at = s.k THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN at = s.k THEN toxic ELSE 0 END) AS toxic_lost
+         sum(CASE WHEN stage > s.k THEN n ELSE 0 END) AS kept, sum(CASE WHEN stage = s.k THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN stage < s.k AND contains(fails, o[s.k]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = o[s.k] THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN stage = s.k THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN stage = s.k THEN toxic ELSE 0 END) AS toxic_lost
   FROM removal, (SELECT unnest(range(1, 6)) AS k) s GROUP BY ALL
 )
 SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
