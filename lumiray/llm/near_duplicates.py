@@ -12,27 +12,32 @@ every pair that can link meets in the band of the smaller text.
 3. Pairs out of groups of up to eight with an equal word are kept if they share enough words and their sketches
    differ in few enough bits. Members
    of large groups are held together by edges to one of them, not by pairs.
-4. Candidates fall into clusters. A cluster's texts meet in tiles of bounded size; inside a tile the
+4. Candidates fall into clusters. The sets of a large cluster are first held against one of them, its hub; only those
+   that do not link with it meet the others. They meet in tiles of bounded size; inside a tile the
    sketches rule pairs out, the sets verify the rest exactly, and pairs already connected are
    passed over. Links between different sets are the only thing that joins classes.
 
-How common shingles are only orders the words; a wrong estimate costs time, never a link.
+How common shingles are only orders the words, so that passages which many texts share are keys of a text only if it
+has little else; a wrong estimate costs time, never a link. It is counted over every eighth class of texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiray.llm import shingles
-from lumiray.llm.common import cut_lineage, mix64, ship_package, text_blocks
+from lumiray.llm.common import arrow_blocks, cut_lineage, mix64, ship_package
 from lumiray.llm.components import connected_components
-from lumiray.session import broadcast_if_small
+from lumiray.session import broadcast_if_small, small_table
 
 SMALL = 8  # groups up to this size are taken apart into pairs
 TILE = 1024  # sets in a tile; two tiles meet in a task
+COUNTED = 8  # shingles are counted over one in so many classes
+MOST_COMMON = 1_000_000  # the most frequent shingles, which go to every task
 
 
 def _set_hashes(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,43 +51,63 @@ def _set_hashes(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return total(mix64(values)).view(np.int64), total(mix64(values ^ np.uint64(0xA5A5A5A55A5A5A5A))).view(np.int64)
 
 
-PROFILE = "doc_id long, text_hash long, n long, band int, c1 long, c2 long, own binary, low binary, shingle long, seen long"
+PROFILE = "doc_id long, text_hash long, n long, band int, c1 long, c2 long, own binary, low binary, shingle long"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row for each text, and rows (shingle, seen) of shingles that are common in a stretch of texts."""
+    """A row for each text, and rows of the shingles of the classes that are counted, once for each block of texts."""
     ship_package(docs.sparkSession)
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "band": pa.int32(), "c1": pa.int64(), "c2": pa.int64(), "own": pa.binary(), "low": pa.binary(), "shingle": pa.int64()}
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()], list(kinds))
 
     def profile(batches):
-        for b in batches:
-            held, texts = [], 0
-            for at, block in text_blocks(b["text"]):
+        for batch in batches:
+            for at, block in arrow_blocks(batch.column(2)):
                 values, counts = shingles.shingle_sets(block)
                 c1, c2 = _set_hashes(values, counts)
                 band = shingles.band_of(np.maximum(counts, 1))
                 own = shingles.parity_sketches(values, counts, band)
                 low = shingles.parity_sketches(values, counts, np.maximum(band - 1, 0))
-                rows = slice(at, at + len(block))
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[rows].to_numpy(), "text_hash": b["text_hash"].iloc[rows].to_numpy(), "n": counts, "band": band, "c1": c1, "c2": c2, "own": own, "low": low, "shingle": None, "seen": None}).astype({"doc_id": "Int64", "text_hash": "Int64"})
-                held.append(values)
-                texts += len(block)
-                if texts >= 2000 or at + len(block) == len(b):
-                    found, seen = np.unique(np.concatenate(held), return_counts=True)
-                    common = seen >= max(4, texts // 500)
-                    yield pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "band": None, "c1": None, "c2": None, "own": None, "low": None, "shingle": found[common].view(np.int64), "seen": seen[common]})
-                    held, texts = [], 0
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(profile, PROFILE)
-
-
-def common_shingles(profile: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles estimated to be in a thousandth of the texts, ascending, with their counts. There can be at
-    most a thousand times as many as a text has on average: a bounded list, which goes to every task."""
-    rows = profile.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("n")).filter(F.col("n") >= max(20, texts // 1000)).collect()
-    values = np.array([r["shingle"] for r in rows], dtype=np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in rows], dtype=np.int64)
+                ids = [batch.column(k).slice(at, len(block)) for k in range(2)]
+                yield rows(len(block), doc_id=ids[0], text_hash=ids[1], n=counts, band=band.astype(np.int32), c1=c1, c2=c2, own=own, low=low)
+                counted = np.zeros(len(block), dtype=bool)
+                counted[np.unique(c1, return_index=True)[1]] = True
+                counted &= c1.view(np.uint64) % np.uint64(COUNTED) == 0
+                found = values[np.repeat(counted, counts)].view(np.int64)
+                yield rows(len(found), shingle=found)
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(profile, PROFILE)
+
+
+def common_shingles(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles that were counted three times or more, ascending, with their counts; a bounded list."""
+    counts = cut_lineage(profile.filter("shingle is not null").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"))
+    # the least count whose shingles still fit
+    steps = sorted(((r["least"], r["shingles"]) for r in counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("shingles")).collect()), reverse=True)
+    room, least = MOST_COMMON, None
+    for first, n in steps:
+        room -= n
+        if room < 0:
+            break
+        least = first
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    found = counts.filter(F.col("n") >= int(least)).select("shingle", F.col("n").cast("int").alias("n")).toArrow()
+    values, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(values)
-    return values[order], counts[order]
+    return values[order], n[order]
+
+
+def weights(values: np.ndarray, names: np.ndarray, seen: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How common each shingle is; 0 for most. `marks` tells by the first 24 bits whether a shingle can be among `names`."""
+    out = np.zeros(len(values), dtype=np.int64)
+    maybe = np.flatnonzero(marks[(values >> np.uint64(40)).astype(np.int64)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(names, values[maybe]), len(names) - 1)
+        out[maybe] = np.where(names[at] == values[maybe], seen[at], 0)
+    return out
 
 
 def join_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -91,26 +116,29 @@ def join_keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def emit(batches):
         names, seen = shared.value
-        for b in batches:
-            for _, block in text_blocks(dict.fromkeys(t for t in b["text"] if t)):
+        marks = np.zeros(1 << 24, dtype=bool)
+        marks[(names >> np.uint64(40)).astype(np.int64)] = True
+        rows = lambda keys, c1: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c1)], ["key", "c1"])
+        for batch in batches:
+            for _, block in arrow_blocks(batch.column(0)):
+                block = [t for t in dict.fromkeys(block) if t]
+                if not block:
+                    continue
                 values, counts = shingles.shingle_sets(block)
                 c1, _ = _set_hashes(values, counts)
-                weight = np.zeros(len(values), dtype=np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, values), len(names) - 1)
-                    weight = np.where(names[at] == values, seen[at], 0)
+                weight = weights(values, names, seen, marks)
                 band = shingles.band_of(np.maximum(counts, 1))
                 keys, n = shingles.part_keys(values, counts, band, (counts + counts * 4 // 3) // 7, weight)
-                yield pd.DataFrame({"key": keys.view(np.int64), "c1": np.repeat(c1, n)})
+                yield rows(keys, np.repeat(c1, n))
                 # as the larger text of the band below
                 most = shingles.largest(np.maximum(band - 1, 0))
                 use = (band > 0) & (counts > 0) & (counts <= most * 4 // 3)
                 if use.any():
                     own = np.repeat(use, counts)
                     keys, n = shingles.part_keys(values[own], counts[use], band[use] - 1, ((counts + most) // 7)[use], weight[own])
-                    yield pd.DataFrame({"key": keys.view(np.int64), "c1": np.repeat(c1[use], n)})
+                    yield rows(keys, np.repeat(c1[use], n))
 
-    return docs.select("text").mapInPandas(emit, "key long, c1 long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "key long, c1 long")
 
 
 def _sketches_near(n_a: pd.Series, sketch_a: pd.Series, n_b: pd.Series, sketch_b: pd.Series) -> pd.Series:
@@ -119,6 +147,17 @@ def _sketches_near(n_a: pd.Series, sketch_a: pd.Series, n_b: pd.Series, sketch_b
     return pd.Series(7 * np.array(apart, dtype=np.int64) <= n_a.to_numpy() + n_b.to_numpy())
 
 
+def _sets_near(members_a: pd.Series, members_b: pd.Series) -> pd.Series:
+    """Whether two sets link."""
+    out = []
+    for x, y in zip(members_a, members_b, strict=True):
+        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        least, most = sorted((len(a), len(b)))
+        shared = len(np.intersect1d(a, b, assume_unique=True)) if 4 * least >= 3 * most else 0
+        out.append(100 * shared >= 75 * (len(a) + len(b) - shared))
+    return pd.Series(out, dtype=bool)
+
+
 def tile_links(names: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple]:
     """Links between members on the left and right side that connect all that are linked; names of a side may repeat
     on the other. Sets are sorted. A pair is compared only while its members are not connected yet."""
@@ -161,7 +200,7 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     # one row of each class, of any of its texts: they have the same set
     columns = ("c1", "n", "band", "own", "low")
     classes = cut_lineage(texts.filter("n > 0").withColumn("node", node).groupBy("node").agg(*[F.any_value(c).alias(c) for c in columns]))
-    keys = join_keys(docs, common_shingles(profile, texts.count()))
+    keys = join_keys(docs, common_shingles(profile))
     # one exchange by key: small groups become lists of their members, members of large ones stay rows beside
     # the group's least. A copy that another task met counts once more, which only may call a group large
     group = Window.partitionBy("key")
@@ -200,36 +239,43 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
     def members(batches):
-        for b in batches:
-            for at, block in text_blocks(b["text"]):
+        for batch in batches:
+            for at, block in arrow_blocks(batch.column(4)):
                 values, counts = shingles.shingle_sets(block)
-                rows = b.iloc[at : at + len(block)].drop(columns="text")
-                yield rows.assign(members=[v.tobytes() for v in np.split(values, np.cumsum(counts)[:-1])])
+                sets = pa.array([v.tobytes() for v in np.split(values, np.cumsum(counts)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(at, len(block)) for k in range(4)], sets], ["node", "root", "_tile", "_tiles", "members"])
 
-    # the sets are shuffled once, to their tasks; a repeated row comes twice, which links it with itself.
-    # a set meets every tile of its cluster; the task of two tiles is named by both
+    # a repeated row comes twice, which links it with itself
     fields = "node string, root long, _tile long, _tiles long, members binary"
-    sets = wanted.select("node", "root", "_tile", "_tiles", "text").mapInPandas(members, fields)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))
-    met = sets.withColumn("_other", other).select("node", "root", "members", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    sets = cut_lineage(wanted.select("node", "root", "_tile", "_tiles", F.col("text").cast("binary").alias("text")).mapInArrow(members, fields))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        tile = rows["_tile"].to_numpy()
-        found = tile_links(rows["node"].tolist(), [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]], tile == i, tile == j)
+        left, right = rows["_left"].to_numpy(dtype=bool), rows["_right"].to_numpy(dtype=bool)
+        found = tile_links(rows["node"].tolist(), [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]], left, right)
         return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
-    return met.groupBy("root", "_i", "_j").applyInPandas(compare, "a string, b string")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, text_hash, n_shingles, component_id (the least doc_id it is linked with, over
-    any number of links).
-
-    Equal shingle sets are linked. Null and empty texts, and texts of blanks, have no shingles and are their own
-    component. One to four words are one shingle. Repeated rows get a row each. A null doc_id links like any other but
-    is nobody's component_id; where a component has no other id, it is null. Other columns are ignored. An empty
-    table gives an empty result."""
+    both = F.lit(True)
+    small = sets.filter("_tiles = 1").select("node", "members", F.col("root").alias("_root"), F.lit(0).cast("long").alias("_i"), F.lit(0).cast("long").alias("_j"), both.alias("_left"), both.alias("_right"))
+    hubs = sets.filter("_tiles > 1").groupBy("root").agg(F.min(F.struct("node", "members")).alias("hub"))
+    hubs = broadcast_if_small(hubs.select(F.col("root").alias("_root"), F.col("hub.node").alias("_hub"), F.col("hub.members").alias("_hub_members")))
+    near_hub = F.pandas_udf(_sets_near, "boolean")("members", "_hub_members")
+    against = cut_lineage(sets.filter("_tiles > 1").join(hubs, F.col("root") == F.col("_root")).select("node", "root", "_tile", "_tiles", "_hub", (near_hub | (F.col("node") == F.col("_hub"))).alias("_near")).distinct())
+    strangers = against.filter("NOT _near").select("root", "node")
+    of_root = small_table(strangers.groupBy(F.col("root").alias("_root")).agg((F.floor(F.count(F.lit(1)) / TILE) + 1).alias("_parts")))
+    # strangers of a part meet all tiles; members of a tile meet all parts of strangers
+    waiting = sets.filter("_tiles > 1").join(of_root, F.col("root") == F.col("_root"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    met_by = waiting.select("node", "members", "_root", every(F.col("_parts")).alias("_i"), F.col("_tile").alias("_j"), F.lit(False).alias("_left"), both.alias("_right"))
+    own = waiting.join(strangers.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_parts"))
+    alone = own.select("node", "members", "_root", part.alias("_i"), every(F.col("_tiles")).alias("_j"), both.alias("_left"), F.lit(False).alias("_right"))
+    met = small.unionByName(met_by).unionByName(alone)
+    found = met.groupBy("_root", "_i", "_j").applyInPandas(compare, "a string, b string")
+    return found.unionByName(against.filter("_near AND node <> _hub").select(F.col("node").alias("a"), F.col("_hub").alias("b")))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n, root (of the component; null without words) and component_id of each document."""
     narrow = docs.select("doc_id", "text")
     profile = cut_lineage(profiles(narrow))
     links = cut_lineage(find_links(narrow, profile))
@@ -239,18 +285,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(links)
     joined = cut_lineage(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = joined.groupBy("root").agg(F.min("_own").alias("component_id"))
-    of_node = joined.join(ids, "root").select(F.col("node").alias("_node"), "component_id")
+    of_node = joined.join(ids, "root").select(F.col("node").alias("_node"), "root", "component_id")
     return texts.join(of_node, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_hash", "n", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each document: doc_id, text_hash, n_shingles, component_id (the least doc_id it is linked with, over
+    any number of links).
+
+    Equal shingle sets are linked. Null and empty texts, and texts of blanks, have no shingles and are their own
+    component. One to four words are one shingle. Repeated rows get a row each. A null doc_id links like any other but
+    is nobody's component_id; where a component has no other id, it is null. Other columns are ignored. An empty
+    table gives an empty result."""
+    return _grouped(docs).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one that names it, with all its columns; repeated rows are kept once.
-    Documents without words stay, as do those whose component has no doc_id."""
+    """One document of each component with all its columns: the one of least doc_id, rows without an id last, then of least
+    text hash. Repeated rows are kept once. Documents without words stay."""
     names = docs.columns
-    found = near_duplicates(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = _grouped(docs)
+    best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))).alias("of"))
+    blank = found.filter("root is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    stays = best.select("of._id", "of._hash").unionByName(blank)
     own = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = own.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in names])

@@ -93,6 +93,22 @@ def test_one_of_each_group_stays(table, words, odd):
     assert sorted(i for i in ids if i is not None) == [-8, 1, 2, 3, 4, 6, 7, 9, 50] and ids.count(None) == 2
 
 
+def test_one_stays_of_groups_without_ids_and_of_shared_ids(table, words):
+    one, other = " ".join(words[:60]), " ".join(words[60:120])
+    near = lambda text: text + " end"
+    kept = near_duplicates.keep_one(table([(None, one, "s"), (None, near(one), "s"), (None, one, "s"), (7, other, "s"), (7, near(other), "s")])).collect()
+    assert sorted((r["doc_id"] is None, r["text"] in (one, near(one))) for r in kept) == [(False, False), (True, True)]
+
+
+def test_strangers_of_a_hub_meet_all_tiles(table, words, monkeypatch):
+    """A chain of texts, each linked with the next, in tiles smaller than the chain."""
+    monkeypatch.setattr(near_duplicates, "TILE", 8)
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100]), "s") for k in range(40)] + [(100 + k, " ".join(words[300 : 400 - k]), "s") for k in range(30)]
+    found = near_duplicates.near_duplicates(table(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == by_hand(rows) and {r["component_id"] for r in found if r["doc_id"] < 40} == {0}
+
+
 def test_empty_table(table):
     assert near_duplicates.near_duplicates(table([])).collect() == []
     assert near_duplicates.keep_one(table([])).collect() == []
