@@ -112,3 +112,10 @@ EARTH_RADIUS_M = 6371000.0
 # sums of doubles closer to zero than this are rounding noise: a width from such a variance is written
 # as 0.000000 in parameter files in any case
 NOISE = 2e-13
+
+# frame of a shower and core on the ground (fixed values): smallest tilt, coordinate and direction cosine that are not
+# zero, and the range of numbers of single precision
+LEAST_TILT = 1e-9
+LEAST_LENGTH = 1e-5
+LEAST_COSINE = 1e-7
+SINGLE_MIN, SINGLE_MAX = 1.1754943508222875e-38, 3.4028234663852886e38

@@ -253,14 +253,14 @@ def core_lines(df: DataFrame, positions=None, telescopes=K.TELESCOPES) -> DataFr
     """
     xcos, ycos = angles.direction_cosines(F.col("TrueAz"), F.col("TrueZe"))
     based = df.withColumns({"xcos": xcos, "ycos": ycos})
-    matrix = angles.shower_rotation(F.col("xcos"), F.col("ycos"))
+    axes = angles.shower_axes(F.col("xcos"), F.col("ycos"))
     placed = {}
     for t in telescopes:
         if positions is not None:
             spot = tuple(F.lit(float(v)) for v in positions[t])
         else:
             spot = tuple(F.col(f"p{a}_{t}") for a in "xyz")
-        turned = angles.rotate(matrix, spot)
+        turned = angles.in_frame(axes, spot)
         placed[f"lx_{t}"] = turned[0] - F.radians("Xoffset") * turned[2]
         placed[f"ly_{t}"] = turned[1] - F.radians("Yoffset") * turned[2]
         usable = (F.col(f"Size_{t}") > 0) & (F.col(f"Length_{t}") > 0)
@@ -292,7 +292,7 @@ def core_of_images(images: DataFrame, directed: DataFrame, positions, parallel:
     def spot(axis: int) -> Column:
         return F.coalesce(*[F.when(F.col("Telescope") == t, F.lit(float(p[axis]))) for t, p in positions.items()])
 
-    turned = angles.rotate(angles.shower_rotation(F.col("xcos"), F.col("ycos")), (spot(0), spot(1), spot(2)))
+    turned = angles.in_frame(angles.shower_axes(F.col("xcos"), F.col("ycos")), (spot(0), spot(1), spot(2)))
     weight = F.col("Size") * (1 - F.try_divide("Width", "Length"))
     rows = rows.filter("Size > 0 AND Length > 0").withColumns(
         {
@@ -332,18 +332,16 @@ def core_to_ground(df: DataFrame) -> DataFrame:
     z = F.when(F.col("Ze") != 0, F.try_divide(y, F.tan(F.radians(90 - F.col("Ze"))))).otherwise(0.0)
 
     def quiet(c: str) -> Column:
-        return F.when(F.abs(F.col(c)) < 1e-7, F.lit(0.0)).otherwise(F.col(c))
+        return F.when(F.abs(F.col(c)) < K.LEAST_COSINE, F.lit(0.0)).otherwise(F.col(c))
 
     based = df.withColumns({"z_": z, "xq_": quiet("xcos"), "yq_": quiet("ycos")})
-    matrix = angles.shower_rotation(F.col("xq_"), F.col("yq_"))
-    ground = angles.rotate(matrix, (x, y, F.col("z_")), inverse=True)
-    tiny, huge = 1.1754943508222875e-38, 3.4028234663852886e38
+    ground = angles.on_ground(angles.shower_axes(F.col("xq_"), F.col("yq_")), (x, y, F.col("z_")))
 
     def normal(c: Column) -> Column:
-        return F.coalesce(F.abs(c).between(tiny, huge), F.lit(False))
+        return F.coalesce(F.abs(c).between(K.SINGLE_MIN, K.SINGLE_MAX), F.lit(False))
 
     def finite(c: Column) -> Column:
-        return F.coalesce(F.abs(c) <= huge, F.lit(False))
+        return F.coalesce(F.abs(c) <= K.SINGLE_MAX, F.lit(False))
 
     placed = based.withColumns({"gx_": ground[0], "gy_": ground[1]})
     valid = normal(x) & normal(y) & finite(F.col("gx_")) & finite(F.col("gy_"))

@@ -23,7 +23,7 @@ from lumiray.plans.oracle import (
 from lumiray.plans.star import POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
 from lumiray.session import cut_lineage, ship_package, shared_folder
-from lumiray.sources import capture, sinks, tables
+from lumiray.sources import capture, pcapng, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,18 @@ def _(s: Star):
     return capture.read_captures(s.spark, paths).select(F.col("seq").alias("number"), "ts_sec", "ts_usec", "caplen", name.alias("file"))
 
 
+@query("src1_ng_capture_files", sql("""
+SELECT CAST(seq % 1000 AS BIGINT) AS number, CAST(floor(t) AS BIGINT) AS ts_sec, CAST(round((t - floor(t)) * 1e6) AS INTEGER) AS ts_usec,
+  CAST(CASE WHEN short THEN 60 ELSE 570 END AS INTEGER) AS caplen, file FROM frames""", frames=FRAMES))
+def _(s: Star):
+    folder = shared_folder(s.spark)
+    written = capture.write_files(s.ng_captures(), folder, ".pcapng")
+    # the list of files is short; reading starts when all are there
+    paths = [r["path"] for r in written.collect()]
+    name = F.regexp_extract("file", r"([^/]+)\.pcapng$", 1)
+    return pcapng.read_ng(s.spark, paths, range_bytes=1 << 17).select(F.col("seq").alias("number"), "ts_sec", "ts_usec", "caplen", name.alias("file"))
+
+
 @query("src1_capture_scan", sql("""
 SELECT file, CAST(seq % 1000 AS BIGINT) AS seq, CAST(floor(t) AS BIGINT) AS ts_sec,
   CAST(round((t - floor(t)) * 1e6) AS INTEGER) AS ts_usec, CAST(CASE WHEN short THEN 60 ELSE 570 END AS INTEGER) AS caplen

@@ -189,6 +189,23 @@ class Star:
             "data",
         )
 
+    def ng_captures(self) -> DataFrame:
+        """The same packets as next-generation capture files with nanoseconds, a name block behind every tenth packet."""
+
+        size = F.col("caplen").cast("bigint")
+        pad = F.pmod(-size, F.lit(4)).cast("int")
+        total = little(size + pad + 32, 4)
+        ticks = F.col("ts_sec") * 1_000_000_000 + F.col("ts_usec").cast("bigint") * 1000
+        head = F.concat(F.lit("06000000"), total, F.lit("00000000"), little(F.shiftright(ticks, 32), 4), little(ticks.bitwiseAND((1 << 32) - 1), 4), little(size, 4), little(size, 4))
+        name = F.when(F.col("seq") % 10 == 0, F.lit("04000000" + "10000000" + "00000000" + "10000000")).otherwise(F.lit(""))
+        record = F.concat(F.unhex(head), F.col("data"), F.unhex(F.concat(F.repeat(F.lit("00"), pad), total, name)))
+        section = "0A0D0D0A" + "1C000000" + "4D3C2B1A" + "01000000" + "FF" * 8 + "1C000000"
+        interface = "01000000" + "20000000" + "01000000" + "FFFF0000" + "09000100" + "09000000" + "00000000" + "20000000"
+        ordered = F.array_sort(F.collect_list(F.struct("seq", record.alias("record"))))
+        bodies = self.frames().groupBy("file").agg(ordered.alias("records"))
+        joined = F.unhex(F.array_join(F.transform("records", lambda r: F.hex(r["record"])), ""))
+        return bodies.select("file", F.concat(F.unhex(F.lit(section + interface)), joined).alias("content"))
+
     def captures(self) -> DataFrame:
         """Whole capture files as bytes: (file, content), a thousand packets each."""
 

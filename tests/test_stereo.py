@@ -113,9 +113,9 @@ def test_core_comes_back_to_the_ground(spark):
     az, ze, core = 140.0, 25.0, (35.0, -60.0)
     based = spark.createDataFrame([(az, ze)], "az double, ze double")
     xc, yc = angles.direction_cosines(F.col("az"), F.col("ze"))
-    matrix = angles.shower_rotation(xc, yc)
-    places = {t: angles.rotate(matrix, tuple(F.lit(v) for v in K.DATA_TELESCOPES[t])) for t in K.TELESCOPES}
-    places["core"] = angles.rotate(matrix, (F.lit(core[0]), F.lit(core[1]), F.lit(0.0)))
+    axes = angles.shower_axes(xc, yc)
+    places = {t: angles.in_frame(axes, tuple(F.lit(v) for v in K.DATA_TELESCOPES[t])) for t in K.TELESCOPES}
+    places["core"] = angles.in_frame(axes, (F.lit(core[0]), F.lit(core[1]), F.lit(0.0)))
     cols = [p[k].alias(f"{n}_{k}") for n, p in places.items() for k in range(2)]
     flat = based.select(*cols).first().asDict()
     row = {"Event": 1, "TrueAz": az, "TrueZe": ze, "Az": az, "Ze": ze, "Xoffset": 0.0, "Yoffset": 0.0}
