@@ -91,6 +91,90 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), bins: int = 8192) -
     return out.select(*by, "prob", "quantile", "n")
 
 
+def weighted_quantile(rows: DataFrame, by, bins: int = 1024) -> DataFrame:
+    """The least value `v` of each group up to which the weights `w` sum to `wanted`, which is one number in a group. Values of
+    a group are cut into cells; of the first cells that can hold the place the rows are kept and cut again, until a
+    cell holds one value. Where weights are negative, several cells stay open; equal values count together."""
+    keys = _by(by)
+    span = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("wanted").alias("wanted"))
+    cells = small_table(span.withColumns({"cell": F.lit(0), "before": F.lit(0.0)}))
+    rows = rows.select(*keys, "v", F.col("w").cast("double").alias("w"), F.lit(0).alias("cell"))
+    found = None
+    while True:
+        part = F.coalesce(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), bins), F.lit(0))
+        parted = rows.join(cells, [*keys, "cell"]).withColumn("part", part)
+        sums = parted.groupBy(*keys, "cell", "part").agg(
+            F.max("before").alias("before"), F.max("wanted").alias("wanted"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.sum("w").alias("w"), F.sum(F.greatest(F.col("w"), F.lit(0.0))).alias("most"),
+        )
+        running = Window.partitionBy(*keys, "cell").orderBy("part")  # at most `bins` rows
+        sums = sums.withColumn("stop", F.col("before") + F.sum("w").over(running)).withColumn("before", F.col("stop") - F.col("w"))
+        reached = F.col("stop") >= F.col("wanted")
+        sums = sums.withColumn("_reached", F.coalesce(F.max(reached.cast("int")).over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        open_cells = small_table(sums.filter((F.col("_reached") == 0) & (F.col("before") + F.col("most") >= F.col("wanted"))))
+        done = open_cells.filter(F.col("lo") == F.col("hi")).filter(reached).select(*keys, F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        order = Window.partitionBy(*keys).orderBy("cell", "part")
+        cells = small_table(open_cells.filter("lo < hi").withColumn("next_", F.row_number().over(order)).select(*keys, "cell", "part", "next_", "before", "wanted", "lo", "hi"))
+        if cells.isEmpty():
+            return found.groupBy(*keys).agg(F.min("v").alias("v"))
+        rows = cut_lineage(parted.select(*keys, "cell", "part", "v", "w").join(cells.select(*keys, "cell", "part", "next_"), [*keys, "cell", "part"]).select(*keys, "v", "w", F.col("next_").alias("cell")))
+        cells = cells.select(*keys, F.col("next_").alias("cell"), "before", "wanted", "lo", "hi")
+
+
+def wide_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = 2000) -> DataFrame:
+    """The same quantiles of several columns at once: (by, column, prob, quantile, n).
+
+    One pass over the wide rows sketches all columns; the sketch's bounds enclose each wanted rank. A second pass counts
+    what lies below each enclosure and keeps the few values inside it, among which the rank is found by
+    cells as in `exact_quantiles`. A sketch whose enclosure misses its rank, which the counts show, is replaced by those cells
+    over the whole column."""
+    by = _by(by)
+    keys = by or ["g_"]
+    source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, *[missing(F.col(c).cast("double")).alias(f"v{k}") for k, c in enumerate(columns)])
+    slack = 4 / accuracy
+    around = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
+    near = small_table(source.groupBy(*keys).agg(*[F.percentile_approx(f"v{k}", around, accuracy).alias(f"a{k}") for k in range(len(columns))], *[F.count(f"v{k}").alias(f"n{k}") for k in range(len(columns))]))
+    met = source.join(near, keys)
+    low = lambda k, i: F.col(f"a{k}")[i]
+    high = lambda k, i: F.col(f"a{k}")[i + len(probs)]
+    spots = [(k, i) for k in range(len(columns)) for i in range(len(probs))]
+    counts = met.groupBy(*keys).agg(*[F.count_if(F.col(f"v{k}") < low(k, i)).alias(f"below{k}_{i}") for k, i in spots], *[F.count_if(F.col(f"v{k}") <= high(k, i)).alias(f"upto{k}_{i}") for k, i in spots])
+    long = small_table(
+        counts.join(near, keys).select(
+            *keys,
+            F.inline(F.array(*[
+                F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"n{k}").alias("n"), low(k, i).alias("low"), high(k, i).alias("high"), F.col(f"below{k}_{i}").alias("below"), F.col(f"upto{k}_{i}").alias("upto"), ((F.col(f"n{k}") - 1) * probs[i]).alias("h"))
+                for k, i in spots
+            ])),
+        )
+    )
+    first, second = F.floor("h"), F.least(F.floor("h") + 1, F.col("n") - 1)
+    long = long.filter("n > 0").withColumn("fits", (F.col("below") <= first) & (second < F.col("upto")) & (F.abs("low") < float("inf")) & (F.abs("high") < float("inf")))
+    inside = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.when((F.col(f"v{k}") >= low(k, i)) & (F.col(f"v{k}") <= high(k, i)), F.col(f"v{k}")).alias("v")) for k, i in spots]),
+        lambda s: s["v"].isNotNull(),
+    )
+    # equal values inside become one with their number, so that a dominant value is one row
+    values = met.select(*keys, F.inline(inside)).groupBy(*keys, "k", "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    values = cut_lineage(values)
+    ranks = small_table(long.filter("fits").select(*keys, "k", "i", "n", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), (first - F.col("below")).alias("rank")), F.struct(F.lit(1).alias("side"), (second - F.col("below")).alias("rank")))).alias("r")).select("*", "r.*").drop("r"))
+    spot = [*keys, "k", "i"]
+    places = weighted_quantile(values.join(ranks, spot).select(*spot, "side", "v", F.col("m").alias("w"), (F.col("rank") + 1).cast("double").alias("wanted")), [*spot, "side"])
+    found = ranks.join(places, [*spot, "side"])
+    low_v, high_v = F.max(F.when(F.col("side") == 0, F.col("v"))), F.max(F.when(F.col("side") == 1, F.col("v")))
+    share = F.max(F.col("h") - F.floor("h"))
+    out = found.groupBy(*keys, "k", "i", "n").agg(F.when(low_v == high_v, low_v).otherwise(low_v + (high_v - low_v) * share).alias("quantile"))
+    name = F.array(*[F.lit(c) for c in columns])[F.col("k")]
+    prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("i")]
+    out = out.select(*by, name.alias("column"), prob.alias("prob"), "quantile", "n")
+    missed = [columns[r["k"]] for r in long.filter("NOT fits").select("k").distinct().collect()]
+    if not missed:
+        return out
+    again = source.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{k}").alias("value")) for k, c in enumerate(columns) if c in missed])))
+    return out.filter(~F.col("column").isin(missed)).unionByName(exact_quantiles(again, "value", probs, [*by, "column"]).select(*by, "column", "prob", "quantile", "n"))
+
+
 def describe(df: DataFrame, columns, by=()) -> DataFrame:
     """count, mean, std, min, exact quartiles and max of several columns, one row each."""
     by = _by(by)
@@ -104,7 +188,7 @@ def describe(df: DataFrame, columns, by=()) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, "value", (0.25, 0.5, 0.75), keys)
+    quartiles = wide_quantiles(df, list(columns), (0.25, 0.5, 0.75), by)
     names = ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
     wide = quartiles.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in names])
     return plain.join(wide, keys, "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")

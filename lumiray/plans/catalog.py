@@ -1009,10 +1009,44 @@ def _(s: Star):
     return rounded(d.select("Event", "ThetaSquare", "MaxDistance"), 5)
 
 
-_AT = f"(SELECT {lit(K.ON_REGION[0])} AS x, {lit(K.ON_REGION[1])} AS y) g"
 _OUT_OF = "(r.x < g.x - 1.4e0 OR r.x > g.x + 1.4e0 OR r.y < g.y - 1.4e0 OR r.y > g.y + 1.4e0)"
 
 
+# positions all over the map and beyond its edges, one for each supplier
+_PLACES = f"""SELECT s_suppkey AS position, {lit(K.POINTING_RA_DEG - 6)} + (s_suppkey * 37 % 120) * 0.1e0 AS x,
+  {lit(K.POINTING_DEC_DEG - 6)} + (s_suppkey * 61 % 120) * 0.1e0 AS y FROM supplier"""
+
+
+def _places(s: Star) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = (F.lit(c - 6.0) + (k * m % 120) * F.lit(0.1) for c, m in ((K.POINTING_RA_DEG, 37), (K.POINTING_DEC_DEG, 61)))
+    return s.table("supplier").select(k.alias("position"), x.alias("x"), y.alias("y"))
+
+
+_ABOUT = """SELECT d."Event", g.{key}, ("RA" - g.x) ** 2 + ("DEC" - g.y) ** 2 AS t2,
+  (SELECT max(sqrt((mx - g.x) ** 2 + (my - g.y) ** 2)) FROM skyimages s WHERE s."Event" = d."Event") AS far FROM skydirs d, {places} g WHERE ("RA" - g.x) ** 2 + ("DEC" - g.y) ** 2 < """ + _ON
+
+
+@query("sky5_events_about_positions", sql(f"""SELECT "Event", position, {r('t2', 5)} AS "ThetaSquare", {r('far', 5)} AS "MaxDistance" FROM about WHERE far < 2""",
+                                          "skydirs", "skyimages", places=_PLACES, about=_ABOUT.format(key="position", places="places")))
+def _(s: Star):
+    return rounded(sky.about_positions(_events(s), _places(s), SKY).select("Event", "position", "ThetaSquare", "MaxDistance"), 5)
+
+
+@query("sky6_sky7_on_off_at_positions", sql(f"""
+SELECT g.position, coalesce(n_on, 0) AS "on", CAST(off AS BIGINT) AS off, n_off, {r('1 / CAST(n_off AS DOUBLE)')} AS alpha
+FROM places g LEFT JOIN (SELECT position, count(*) AS n_on FROM about WHERE far < 2 GROUP BY position) USING (position)
+JOIN (SELECT g.position, sum(coalesce(n, 0)) AS off, count(*) AS n_off FROM places g JOIN regions r ON {_OUT_OF}
+  LEFT JOIN (SELECT region, count(*) AS n FROM around WHERE far < 2 GROUP BY region) c ON c.region = r.i * 1000 + r.j GROUP BY g.position) USING (position)""",
+"skydirs", "skyimages", "regions", places=_PLACES, about=_ABOUT.format(key="position", places="places"),
+around=_ABOUT.format(key="region", places="(SELECT i * 1000 + j AS region, x, y FROM regions)")))
+def _(s: Star):
+    return rounded(sky.on_off_at(_events(s), _places(s), SKY).select("position", "on", "off", "n_off", "alpha"))
+
+
+_AT = f"(SELECT {lit(K.ON_REGION[0])} AS x, {lit(K.ON_REGION[1])} AS y) g"
+
+
 @query("sky6_sky7_off_events", sql(f"""
 SELECT d."Event", r.i, r.j, {r('r.x')} AS "offPosX", {r('r.y')} AS "offPosY" FROM regions r JOIN {_AT} ON {_OUT_OF}
 JOIN skydirs d ON ("RA" - r.x) ** 2 + ("DEC" - r.y) ** 2 < {_ON}
