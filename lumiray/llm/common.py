@@ -8,14 +8,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumiray.session import cut_lineage, ship_package
+from lumiray import session
+from lumiray.session import cut_lineage
 
-__all__ = ["cut_lineage", "ship_package"]
+__all__ = ["cut_lineage"]
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors. A session that leaves the rows of an Arrow batch at the default of 10,000 gets
+    1,000, since rows are whole texts here, and a batch is held by the executor and its worker."""
+    session.ship_package(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -63,6 +63,9 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     return counts
 
 
+ROWS = 128  # texts whose products with all labelled vectors are held at once
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # rarity of each term
@@ -79,8 +82,8 @@ class Model:
         out = np.zeros(len(texts))
         k = min(self.neighbours, len(self.labels))
         for at, block in text_blocks(texts):
-            for low in range(0, len(block), 512):
-                like = self.latent(term_counts(block[low : low + 512])) @ self.vectors.T
+            for low in range(0, len(block), ROWS):
+                like = self.latent(term_counts(block[low : low + ROWS])) @ self.vectors.T
                 near = np.argpartition(-like, k - 1, axis=1)[:, :k]
                 weight = np.maximum(np.take_along_axis(like, near, axis=1), 0) ** 8 + 1e-9
                 out[at + low : at + low + len(like)] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
