@@ -174,3 +174,15 @@ def shower_truth(truth: DataFrame) -> DataFrame:
 def event_lookup(df: DataFrame, event: int, key: str = "Event") -> DataFrame:
     """The rows of one event; the filter reaches the scan."""
     return df.filter(F.col(key) == event)
+
+
+def shift_image(pix: Column, dx: Column, dy: Column, side: int = K.CAMERA_SIDE) -> Column:
+    """The image, row by row, moved by whole pixels to the right and up. What leaves it is lost, and zeros come in."""
+    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
+
+    def content(k: Column) -> Column:
+        x, y = k % side - dx, F.floor(k / side).cast("int") - dy
+        inside = x.between(0, side - 1) & y.between(0, side - 1)
+        return F.when(inside, F.get(pix, (y * side + x).cast("int"))).otherwise(F.lit(0))
+
+    return F.transform(cells, content)

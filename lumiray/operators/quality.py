@@ -7,6 +7,7 @@ over a crowded event would put all of its rows into one task.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,3 +197,26 @@ def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
 
 def preview(df: DataFrame, n: int = 5, order=("Event", "Telescope")) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+def exact_sample(df: DataFrame, share: float, keys=("Event", "Telescope"), digits: int = 4) -> DataFrame:
+    """Exactly round(share * n) rows, the same ones in every run and however the rows are partitioned: those of least hash
+    of their keys. The last hash is found by counting its hexadecimal digits, `digits` at a time; only counts
+    meet. Of rows with equal keys, which have equal hashes, those first by content are taken."""
+    text = F.concat_ws("-", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    hashed = df.withColumn("_hash", F.substring(F.md5(text), 1, 4 * digits))
+    wanted = math.floor(share * df.count() + 0.5)
+    last, before = "", 0  # leading digits of the last hash, and rows below them
+    while len(last) < 4 * digits and wanted:
+        part = F.substring("_hash", len(last) + 1, digits)
+        own = hashed.filter(F.col("_hash").startswith(last)) if last else hashed
+        counts = own.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # at most 16 ** digits rows
+        running = counts.withColumn("_to", F.sum("n").over(Window.orderBy("part")))
+        found = running.filter(F.col("_to") + before >= wanted).orderBy("part").first()
+        last, before = last + found["part"], before + found["_to"] - found["n"]
+    if not wanted:
+        return df.limit(0)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    tied = hashed.filter(F.col("_hash") == last).withColumn("_place", F.row_number().over(Window.partitionBy("_hash").orderBy(content)))
+    kept = tied.filter(F.col("_place") <= wanted - before).drop("_place").unionByName(hashed.filter(F.col("_hash") < last))
+    return kept.drop("_hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -359,19 +361,24 @@ def bucket_means(df: DataFrame, columns=("Width", "Size"), time: str = "Timestam
 
 def sliding_means(
     df: DataFrame, columns=("MeanX", "MeanY"), by=("File", "Telescope"), time: str = "Timestamp", then=("Event",),
-    before: int = 60, after: int = 59, hours: float = 1.0, block: int = 100_000,
+    before: int = 60, after: int = 59, slices: int = 256, block: int = 100_000,
 ) -> DataFrame:
     """Adds the mean over a frame of neighbouring rows of the same file and telescope, in
     the order of `time` and `then`.
 
     A file may hold any share of the rows, so it is never sorted as a whole: rows are
-    ranked within time slices whose starts come from running sums of slice counts, then
-    cut into blocks of `block` ranks that borrow the neighbours their frames reach into.
+    ranked within slices of about equal row counts, cut at quantiles of its times, whose starts come from running
+    sums of slice counts, then cut into blocks of `block` ranks that borrow the neighbours their frames reach into.
     """
     by = _by(by)
     if block < max(before, after):
         raise ValueError("a block must be at least as long as the frame reaches")
-    sliced = df.withColumn("slice_", F.floor(F.col(time) / (hours * 3600)))
+    shares = [k / slices for k in range(1, slices)]
+    cuts = F.array_distinct(F.percentile_approx(F.col(time).cast("double"), shares, 20 * slices))
+    edges = small_table(df.groupBy(*[F.col(c).alias(f"by{k}_") for k, c in enumerate(by)]).agg(cuts.alias("edges_")))
+    matched = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"by{k}_")) for k, c in enumerate(by)])
+    slice_ = F.coalesce(F.array_size(F.filter("edges_", lambda e: e < F.col(time).cast("double"))), F.lit(-1))
+    sliced = df.join(edges, matched).withColumn("slice_", slice_).drop("edges_", *[f"by{k}_" for k in range(len(by))])
     sizes = sliced.groupBy(*by, "slice_").agg(F.count("*").alias("rows_"))
     past = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     starts = small_table(sizes.select(*by, "slice_", F.coalesce(F.sum("rows_").over(past), F.lit(0)).alias("start_")))

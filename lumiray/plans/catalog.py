@@ -435,6 +435,28 @@ def _(s: Star):
     return rounded(s.hub().join(s.truth(), "Event").select(*sinks.SIM_COLUMNS))
 
 
+@query("img12_event_lookup", sql(f"""
+SELECT "Event", "Telescope", {SHAPES} FROM hub WHERE "Event" = (SELECT min(l_orderkey // 3) FROM lineitem WHERE l_quantity > 49)""", "hub"))
+def _(s: Star):
+    wanted = s.table("lineitem").filter("l_quantity > 49").agg(F.min(F.expr("l_orderkey div 3"))).first()[0]
+    return rounded(I.event_lookup(s.hub(), wanted).select("Event", "Telescope", *SHAPE_COLUMNS))
+
+
+@query("img_shift", sql("""
+SELECT vec_id, CAST((y + dy) * 8 + x + dx AS INTEGER) AS cell, adu FROM (SELECT vec_id, cell % 8 AS x, cell // 8 AS y, vec_id % 7 - 3 AS dx, vec_id % 5 - 2 AS dy, adu FROM patches)
+WHERE adu <> 0 AND x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7""", "patches"))
+def _(s: Star):
+    moved = I.shift_image(F.col("pix"), (F.col("vec_id") % 7 - 3).cast("int"), (F.col("vec_id") % 5 - 2).cast("int"), 8)
+    return s.patches().select("vec_id", F.posexplode(moved).alias("cell", "adu")).filter("adu <> 0")
+
+
+@query("sample_of_rows", sql("""
+SELECT "Event", "Telescope" FROM (SELECT "Event", "Telescope", row_number() OVER (ORDER BY substr(md5("Event" || '-' || "Telescope"), 1, 16)) AS k, count(*) OVER () AS n FROM labelled)
+WHERE k <= floor(0.7e0 * n + 0.5e0)""", "labelled"))
+def _(s: Star):
+    return quality.exact_sample(s.labelled(), 0.7).select("Event", "Telescope")
+
+
 # ----------------------------------------------------------------- pointing
 _CORR_ROWS = ", ".join(
     "(" + ", ".join([f"'{c[0]}'", *[str(v) for v in c[1:4]], *[lit(v) for v in c[4:]]]) + ")" for c in K.POINTING_CORRECTIONS
@@ -472,6 +494,19 @@ def _(s: Star):
     return out.select("event", "telescope", "night", "file_time", "t_initial", "x_initial", "y_initial", "rotation_deg")
 
 
+#: capture names end in 22 characters behind the time of day
+_NAME_END = "_scope_1_night.pcapng0"
+
+
+@query("cor2_time_of_file_name", sql(f"""
+SELECT event_id, name, TRY_CAST(substr(name, length(name) - 27, 6) AS INTEGER) AS file_time
+FROM (SELECT event_id, 'run' || event_id || '_' || CASE WHEN event_id % 9 = 0 THEN 'xnoon' ELSE strftime(ts, '%H%M%S') END || '{_NAME_END}' AS name FROM events)"""))
+def _(s: Star):
+    clock = F.when(F.col("event_id") % 9 == 0, F.lit("xnoon")).otherwise(F.date_format("ts", "HHmmss"))
+    named = s.table("events").select("event_id", F.concat(F.lit("run"), F.col("event_id").cast("string"), F.lit("_"), clock, F.lit(_NAME_END)).alias("name"))
+    return named.withColumn("file_time", pointing.file_time(F.col("name")))
+
+
 @query("cor3_drift_offset", sql(f"SELECT event, telescope, dx, dy, {r('rot')} AS rot FROM offsets", "pixels", **_CORR))
 def _(s: Star):
     images = _timed(s.hits().select("event", "telescope").distinct())
@@ -869,6 +904,15 @@ def _(s: Star):
     return stats.histogram_2d(d, "RA", "DEC", (_RA_LO, _RA_LO + 9.8), (_DEC_LO, _DEC_LO + 9.8), 49)
 
 
+@query("his4_weighted_centroid_map", sql("""
+SELECT "Telescope", ix, iy, CAST(sum("Size") AS BIGINT) AS n FROM binned WHERE ix IS NOT NULL AND iy IS NOT NULL GROUP BY "Telescope", ix, iy""", "usable",
+binned=_2D.replace("SELECT", 'SELECT "Size",', 1)))
+def _(s: Star):
+    h = K.CENTROID_HALF_RANGE_DEG
+    cells = stats.histogram_2d(s.usable(), "MeanX", "MeanY", (-h, h), (-h, h), 32, "Telescope", weight=F.col("Size"))
+    return cells.withColumn("n", F.col("n").cast("bigint"))
+
+
 # -------------------------------------------------------------- time series
 _BUCKETS = {
     "b": """SELECT "Telescope", CAST(floor("Timestamp" / 100) * 100 AS BIGINT) AS bucket, count(*) AS n, avg("Width") AS w, avg("Size") AS z
@@ -894,7 +938,7 @@ def _(s: Star):
 SELECT "Event", "Telescope", {r('avg("MeanX") OVER w')} AS "sliding_MeanX", {r('avg("MeanY") OVER w')} AS "sliding_MeanY" FROM usable
 WINDOW w AS (PARTITION BY "File", "Telescope" ORDER BY "Timestamp", "Event" ROWS BETWEEN 60 PRECEDING AND 59 FOLLOWING)""", "usable"))
 def _(s: Star):
-    d = stats.sliding_means(s.usable(), hours=24 * 90.0, block=200)
+    d = stats.sliding_means(s.usable(), slices=16, block=200)
     return rounded(d.select("Event", "Telescope", "sliding_MeanX", "sliding_MeanY"))
 
 
@@ -1358,6 +1402,14 @@ def _(s: Star):
     return d.withColumn("q68", fine)
 
 
+@query("res1_resolution_about_zenith", sql(f"""
+SELECT selection, {r('quantile_cont(off, 0.68)', 4)} AS q68, count(off) AS n FROM (SELECT selection, {separation('"Az"', '(90e0 - "Ze")', '0e0', '90e0')} AS off FROM chosen WHERE "TrueEnergy" > 10000)
+GROUP BY selection""", "sim", **_PERF))
+def _(s: Star):
+    d = performance.resolution(s.sim(), reference="zenith").filter("error = 'angle_error'")
+    return rounded(d.select("selection", "q68", "n"), 4)
+
+
 @query("res1_error_histograms", sql(f"""
 SELECT g.selection, g.error, CAST(k AS INTEGER) AS bin, count(b.bin) AS n FROM (SELECT DISTINCT selection, error FROM binned WHERE bin IS NOT NULL) g CROSS JOIN range(40) t(k)
 LEFT JOIN binned b ON b.selection = g.selection AND b.error = g.error AND b.bin = k GROUP BY g.selection, g.error, k""", "sim", **_PERF,

@@ -101,3 +101,13 @@ def test_text_to_numbers(spark):
 def test_pixel_matrix(spark):
     df = spark.createDataFrame([(2, [0, 1, 2, 3]), (2, [0] * 4), (1, [9] * 4)], "telescope int, image array<int>")
     assert [tuple(r) for r in sinks.pixel_matrix(df, side=2).collect()] == [(0, 1, 2, 3)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0])
+def test_exact_sample(spark, share):
+    rows = [(k, t, float(k % 3)) for k in range(500) for t in (1, 2)] + [(7, 1, 9.0)] * 200 + [(None, 1, 1.0)] * 3
+    df = spark.createDataFrame(rows, "Event long, Telescope int, Size double")
+    one = sorted(map(str, quality.exact_sample(df, share).collect()))
+    assert len(one) == math.floor(share * len(rows) + 0.5)
+    assert sorted(map(str, quality.exact_sample(df.repartition(7, "Size"), share).collect())) == one
+    assert quality.exact_sample(df.limit(0), share).count() == 0
