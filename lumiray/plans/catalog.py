@@ -18,7 +18,7 @@ from lumiray.operators import images as I
 from lumiray.operators import parameters as P
 from lumiray.plans import flows
 from lumiray.plans.oracle import (
-    SHAPES, TWO_PI, axis_bin, div, fixed_bin, lit, moments, parameters, pmod, r, separation, sql,
+    SHAPES, TWO_PI, axis_bin, core, div, fixed_bin, lit, moments, parameters, pmod, r, separation, spread, sql,
 )
 from lumiray.plans.star import POSITIONS, Star
 from lumiray.schemas import SHAPE_COLUMNS
@@ -30,14 +30,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: queries that return or sum up cores; each has a second form in which only exactly parallel lines have none. Rounding decides its
-#: cores of nearly parallel lines, so it has no SQL
-CORES = {
-    "core1_core4_core_fit", "core5_ground_core", "snk3_sim_parameters", "snk3_repeated_telescopes",
-    "res1_resolution", "res1_error_histograms",
-}
-
-
 def query(name: str, oracle: str | None = None):
     """Register `f(star) -> DataFrame` under `name`."""
 
@@ -50,14 +42,6 @@ def query(name: str, oracle: str | None = None):
         QUERIES[name] = run
         if oracle:
             ORACLES[name] = " ".join(oracle.split())
-        if name in CORES:
-
-            def run_all(spark: SparkSession, folder: str) -> DataFrame:
-                ship_package(spark)
-                return f(Star(spark, folder, parallel=0.0))
-
-            run_all.__name__ = f"{name}_all_angles"
-            QUERIES[run_all.__name__] = run_all
         return f
 
     return register
@@ -74,6 +58,22 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     return df.select(*out)
 
 
+def rounded_cores(df: DataFrame, digits: int, x: str = "Xcore", y: str = "Ycore", **special: int) -> DataFrame:
+    """The same for tables with cores. Beyond a hundred kilometres, where nearly parallel lines cross, three leading
+    digits of a coordinate are compared, and the lines' mean square distance in steps of 100."""
+    far = (F.abs(x) > 1e5) | (F.abs(y) > 1e5)
+
+    def leading(c: str) -> Column:
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 2)
+        return F.when(F.abs(c) > 1e5, F.floor(F.col(c) / unit + 0.5) * unit).otherwise(tidy(F.col(c), digits))
+
+    change = {c: leading(c) for c in (x, y)}
+    if "stdP" in df.columns:
+        change["stdP"] = F.when(far, F.floor(F.col("stdP") / 100 + 0.5) * 100.0).otherwise(tidy(F.col("stdP"), digits))
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    return df.select(*[(change[c] if c in change else tidy(F.col(c), special.get(c, 6)) if c in doubles else F.col(c)).alias(c) for c in df.columns])
+
+
 # ---------------------------------------------------------------- captures
 FRAMES = """SELECT 'capture' || CAST(event_id // 1000 AS VARCHAR) AS file, event_id AS seq, epoch_us(ts) / 1e6 AS t,
   event_type = 'error' AS short, user_id, event_id FROM events"""
@@ -216,11 +216,11 @@ def _(s: Star):
 
 
 @query("snk3_sim_parameters", sql(f"""
-SELECT "Event", "Telescope", {SHAPES}, {r('"Az"')} AS "Az", {r('"Ze"')} AS "Ze", {r('"Xcore"', 2)} AS "Xcore", {r('"Ycore"', 2)} AS "Ycore",
-  {r('"stdP"', 2)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
+SELECT "Event", "Telescope", {SHAPES}, {r('"Az"')} AS "Az", {r('"Ze"')} AS "Ze", {core('"Xcore"', 2)} AS "Xcore", {core('"Ycore"', 2)} AS "Ycore",
+  {spread('"stdP"', '"Xcore"', '"Ycore"', 2)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
   {r('"TrueYcore"')} AS "TrueYcore", {r('"TrueEnergy"')} AS "TrueEnergy" FROM sim""", "sim"))
 def _(s: Star):
-    return rounded(s.sim().select(*sinks.SIM_RECO_COLUMNS), Xcore=2, Ycore=2, stdP=2)
+    return rounded_cores(s.sim().select(*sinks.SIM_RECO_COLUMNS), 2)
 
 
 @query("dir1_repeated_telescopes", sql(f"""
@@ -231,12 +231,12 @@ def _(s: Star):
 
 
 @query("snk3_repeated_telescopes", sql(f"""
-SELECT "Event", "Telescope", {SHAPES}, {r('"Az"', 4)} AS "Az", {r('"Ze"', 4)} AS "Ze", {r('"Xcore"', 1)} AS "Xcore", {r('"Ycore"', 1)} AS "Ycore",
-  {r('"stdP"', 1)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
+SELECT "Event", "Telescope", {SHAPES}, {r('"Az"', 4)} AS "Az", {r('"Ze"', 4)} AS "Ze", {core('"Xcore"', 1)} AS "Xcore", {core('"Ycore"', 1)} AS "Ycore",
+  {spread('"stdP"', '"Xcore"', '"Ycore"', 1)} AS "stdP", {r('"TrueAz"')} AS "TrueAz", {r('"TrueZe"')} AS "TrueZe", {r('"TrueXcore"')} AS "TrueXcore",
   {r('"TrueYcore"')} AS "TrueYcore", {r('"TrueEnergy"')} AS "TrueEnergy" FROM sim_many""", "sim_many"))
 def _(s: Star):
-    table = flows.sim_parameters(s.many(), s.truth(), POSITIONS, parallel=s.parallel)
-    return rounded(table, Az=4, Ze=4, Xcore=1, Ycore=1, stdP=1)
+    table = flows.sim_parameters(s.many(), s.truth(), POSITIONS)
+    return rounded_cores(table, 1, Az=4, Ze=4)
 
 
 @query("snk4_pixel_matrix", sql(f"""
@@ -585,19 +585,19 @@ def _(s: Star):
 
 
 def _reco(s: Star) -> DataFrame:
-    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS, unique_images=True, parallel=s.parallel)
+    return flows.reconstruct(s.hub(), s.truth().select("Event", "TrueAz", "TrueZe"), POSITIONS, unique_images=True)
 
 
 @query("core1_core4_core_fit", sql(f"""
-SELECT "Event", CAST(n_lines AS INTEGER) AS n_lines, {r('xfit', 2)} AS xfit, {r('yfit', 2)} AS yfit, {r('"stdP"', 2)} AS "stdP" FROM cores""", "cores"))
+SELECT "Event", CAST(n_lines AS INTEGER) AS n_lines, {core('xfit', 2)} AS xfit, {core('yfit', 2)} AS yfit, {spread('"stdP"', 'xfit', 'yfit', 2)} AS "stdP" FROM cores""", "cores"))
 def _(s: Star):
-    return rounded(_reco(s).select("Event", "n_lines", "xfit", "yfit", "stdP"), 2)
+    return rounded_cores(_reco(s).select("Event", "n_lines", "xfit", "yfit", "stdP"), 2, "xfit", "yfit")
 
 
 @query("core5_ground_core", sql(f"""
-SELECT "Event", {r('"Xcore"', 2)} AS "Xcore", {r('"Ycore"', 2)} AS "Ycore" FROM ground""", "ground"))
+SELECT "Event", {core('"Xcore"', 2)} AS "Xcore", {core('"Ycore"', 2)} AS "Ycore" FROM ground""", "ground"))
 def _(s: Star):
-    return rounded(_reco(s).select("Event", "Xcore", "Ycore"), 2)
+    return rounded_cores(_reco(s).select("Event", "Xcore", "Ycore"), 2)
 
 
 _hav = "2 * 6371000e0 * asin(sqrt(least(sin(radians(la2 - la1) / 2) ** 2 + cos(radians(la1)) * cos(radians(la2)) * sin(radians(lo2 - lo1) / 2) ** 2, 1e0)))"

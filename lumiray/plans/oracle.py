@@ -19,6 +19,17 @@ def r(e: str, digits: int = 6) -> str:
     return f"(floor(({e}) * 1e{digits} + 0.5001e0) / 1e{digits} + 0e0)"
 
 
+def core(e: str, digits: int) -> str:
+    """A core coordinate: beyond a hundred kilometres, where nearly parallel lines cross, three leading digits."""
+    unit = f"(10e0 ** (floor(log10(abs({e}))) - 2))"
+    return f"(CASE WHEN abs({e}) > 1e5 THEN floor({e} / {unit} + 0.5e0) * {unit} ELSE {r(e, digits)} END)"
+
+
+def spread(e: str, x: str, y: str, digits: int) -> str:
+    """The mean square distance of lines; of such a core in steps of 100."""
+    return f"(CASE WHEN abs({x}) > 1e5 OR abs({y}) > 1e5 THEN floor({e} / 100 + 0.5e0) * 100 ELSE {r(e, digits)} END)"
+
+
 def snap(e: str, noise: float = 2e-13) -> str:
     return f"(CASE WHEN abs({e}) < {noise} THEN 0e0 ELSE {e} END)"
 
@@ -245,8 +256,8 @@ _fit = """SELECT "Event", count(*) AS n_lines, sum(w * m * m / (1 + m * m)) / su
   sum(w / (1 + m * m)) / sum(w) AS b2, sum(w * (ly - m * lx) * m / (1 + m * m)) / sum(w) AS c1,
   sum(-w * (ly - m * lx) / (1 + m * m)) / sum(w) AS c2 FROM lines GROUP BY "Event" """
 cte("fits", ("lines",), f"""
-SELECT "Event", n_lines, CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-8 THEN (b1 * c2 - c1 * b2) / nullif(a1 * b2 - b1 * b1, 0) END AS xfit,
-  CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 1e-8 THEN (b1 * c1 - a1 * c2) / nullif(a1 * b2 - b1 * b1, 0) END AS yfit FROM ({_fit})""")
+SELECT "Event", n_lines, CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 0 THEN (b1 * c2 - c1 * b2) / nullif(a1 * b2 - b1 * b1, 0) END AS xfit,
+  CASE WHEN n_lines >= 2 AND a1 * b2 - b1 * b1 > 0 THEN (b1 * c1 - a1 * c2) / nullif(a1 * b2 - b1 * b1, 0) END AS yfit FROM ({_fit})""")
 cte("cores", ("lines", "fits"), f"""
 SELECT "Event", any_value("Az") AS "Az", any_value("Ze") AS "Ze", any_value("TrueAz") AS "TrueAz", any_value("TrueZe") AS "TrueZe",
   any_value(n_lines) AS n_lines, any_value(xfit) AS xfit, any_value(yfit) AS yfit,

@@ -19,8 +19,6 @@ from lumiray.plans import flows
 from lumiray.schemas import SHAPE_COLUMNS
 
 POSITIONS = K.DATA_TELESCOPES
-# the tables compared with SQL leave out cores of lines so nearly parallel that rounding decides; `_all_angles` have them
-PARALLEL = 1e-8
 
 
 def little(value, size: int):
@@ -32,8 +30,8 @@ def little(value, size: int):
 class Star:
     """Views over one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, parallel: float = PARALLEL):
-        self.spark, self.folder, self.parallel = spark, folder, parallel
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -94,7 +92,7 @@ class Star:
 
     def sim(self) -> DataFrame:
         """Simulation parameter table with reconstructed columns."""
-        return flows.sim_parameters(self.hub(), self.truth(), POSITIONS, unique_images=True, parallel=self.parallel)
+        return flows.sim_parameters(self.hub(), self.truth(), POSITIONS, unique_images=True)
 
     def array_events(self) -> DataFrame:
         """Array events of all hits, laid along a track in each image, on a pedestal of ten counts."""

@@ -55,19 +55,10 @@ def test_every_oracle_has_its_query():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="tables not there")
-def test_only_exactly_parallel_lines_have_no_core(spark):
-    run = entry_points.queries()
-    bounded, every = ({r["Event"]: r for r in run[n](spark, "/root/testdata/sf0.01").collect()} for n in ("core1_core4_core_fit", "core1_core4_core_fit_all_angles"))
-    assert bounded.keys() == every.keys() and all(r["xfit"] is not None for r in every.values())
-    lost = {e for e, r in bounded.items() if r["xfit"] is None}
-    assert lost and all(every[e] == r for e, r in bounded.items() if e not in lost)
-
-
-def test_cores_of_both_forms(spark):
-    from lumiray.plans import catalog
-
-    for name in catalog.CORES:
-        assert entry_points.queries()[f"{name}_all_angles"](spark, FOLDER).columns == entry_points.queries()[name](spark, FOLDER).columns
+def test_nearly_parallel_lines_have_a_core(spark):
+    found = {r["Event"]: r for r in entry_points.queries()["core1_core4_core_fit"](spark, "/root/testdata/sf0.01").collect()}
+    assert all(r["xfit"] is not None for r in found.values())
+    assert any(abs(r["xfit"]) > 1e7 for r in found.values())
 
 
 def test_boosted_trees_run_at_full_size(spark, monkeypatch):
