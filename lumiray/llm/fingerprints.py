@@ -195,7 +195,7 @@ def fingerprint_documents(docs: DataFrame, ranks: np.ndarray | None = None, bloc
         .select("*", F.posexplode("_ranges").alias("_after", "_range"))
         .drop("_ranges")
         .withColumn("_tie", F.xxhash64("text"))
-        .repartition("_range")
+        .repartitionById(len(starts), F.col("_range").cast("int"))
         .sortWithinPartitions("_range", "_after", "_id", "_tie")
         .select("_range", "_after", "doc_id", "text")
     )

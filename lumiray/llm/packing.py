@@ -34,7 +34,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int, keep_ids: bool =
     def cut(batches):
         from lumiray.llm.tokens import piece_tokenizer
 
-        known = piece_tokenizer(tokenizer)
+        known = piece_tokenizer(tokenizer, special=True)
         for batch in batches:
             names, texts, at = batch["doc_id"].tolist(), ["" if t is None else t for t in batch["text"]], 0
             while at < len(texts):

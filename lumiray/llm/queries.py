@@ -19,14 +19,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
-
-
-def op2_line_dedup_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), any_length=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
@@ -78,5 +74,5 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op2_line_dedup_any_length, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours, op11_filter_audit, op12_secrets, op13_align)}
-ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(), "op2_line_dedup_any_length": line_dedup.oracle_sql(any_length=True), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_toxicity, op4_pack, op5_chat, op6_quality, op7_near_duplicates, op8_fingerprint, op9_shard, op10_neighbours, op11_filter_audit, op12_secrets, op13_align)}
+ORACLES = {"op2_line_dedup": line_dedup.oracle_sql(any_length=True), "op7_near_duplicates": near_duplicates.oracle_sql(), "op9_shard": sharding.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql()}

@@ -19,7 +19,7 @@ _MOST_PIECES = 600_000
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _classes: np.ndarray | None = None
-_open: dict[str, PieceTokenizer] = {}
+_open: dict[tuple[str, bool], PieceTokenizer] = {}
 _open_models: dict[str, SegmentTokenizer] = {}
 _SPACE = "\u2581"  #: fixed value: how piece models write a space
 
@@ -107,11 +107,16 @@ class _Cache:
 
 
 class PieceTokenizer(_Cache):
-    def __init__(self, path: str):
+    """Strings of added tokens in a text are ordinary text; with `special` they are those tokens, as the library has it
+    by default, which then encodes the few texts that hold one."""
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True
+        self.default = Tokenizer.from_file(path) if special else None
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
         self._forget()
 
     def _ids(self, words: list[str]) -> list[list[int]]:
@@ -120,6 +125,16 @@ class PieceTokenizer(_Cache):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        if not texts:
+            return []
+        marked = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if marked:
+            found = dict(zip(marked, self.default.encode_batch([texts[k] for k in marked], add_special_tokens=False), strict=True))
+            rest = iter(self._encode([t for k, t in enumerate(texts) if k not in found]))
+            return [np.array(found[k].ids, dtype=np.uint32) if k in found else next(rest) for k in range(len(texts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         joined = "".join(t + "\0" for t in texts)
@@ -134,11 +149,11 @@ class PieceTokenizer(_Cache):
         return np.split(ids, total[np.flatnonzero(border)][:-1])
 
 
-def piece_tokenizer(path: str) -> PieceTokenizer:
+def piece_tokenizer(path: str, special: bool = False) -> PieceTokenizer:
     """One for each file and worker."""
-    if path not in _open:
-        _open[path] = PieceTokenizer(path)
-    return _open[path]
+    if (path, special) not in _open:
+        _open[path, special] = PieceTokenizer(path, special)
+    return _open[path, special]
 
 
 def byte_entries(path: str) -> np.ndarray:

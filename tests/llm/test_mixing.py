@@ -65,6 +65,25 @@ def test_tree_divides_blocks_exactly():
     assert max(o.sum() for o, _ in shards) - min(o.sum() for o, _ in shards) <= 4
 
 
+def test_shards_take_the_blocks_the_tree_draws(table, words):
+    """Words by source and shard are those of the tree's blocks, but for the documents at the ends of a run of blocks."""
+    rows = [(k, " ".join(words[: 5 + k % 30]), f"s{k % 5}") for k in range(1500)]
+    found = mixing.mix(table(rows), shards=6, block=256, range_words=2000).collect()
+    own, took = defaultdict(int), defaultdict(int)
+    for r in found:
+        own[r["source"]] += r["size"]
+        for p in r["pieces"]:
+            took[r["source"], p["shard"]] += p["words"]
+    goal = by_hand(dict(own))
+    urn = np.array([-(-round(goal[s]) // 256) for s in sorted(own)])
+    for shard in range(6):
+        blocks, _ = mixing.leaf(urn, 6, shard, seed=7)
+        for s, n in zip(sorted(own), blocks.tolist(), strict=True):
+            assert abs(took[s, shard] - 256 * n) <= 256 + 2 * 35
+    totals = [sum(n for (_, k), n in took.items() if k == shard) for shard in range(6)]
+    assert max(totals) - min(totals) <= 5 * (2 * 256 + 4 * 35)
+
+
 def test_empty_and_wordless(table):
     assert mixing.mix(table([])).collect() == []
     assert [(r["target"], r["pieces"]) for r in mixing.mix(table([(1, None, None), (2, " ", "a")])).collect()] == [(0.0, [])] * 2

@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tokenizers import Tokenizer
+
 from lumiray.llm import packing, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -17,11 +19,20 @@ def test_ids_are_the_librarys(words):
     assert [x.tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_the_librarys_by_default(words):
+    fresh = Tokenizer.from_file(PATH)
+    texts = [*ODD, "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", " ".join(words[:100]), ""]
+    found = [x.tolist() for x in tokens.PieceTokenizer(PATH, special=True).encode(texts)]
+    assert found == [fresh.encode(t, add_special_tokens=False).ids for t in texts] and [50256] in found
+    assert 50256 not in tokens.PieceTokenizer(PATH).encode(["<|endoftext|>"])[0]
+
+
 def test_pieces_cover_documents_and_fill_sequences(table, words, odd):
     rng = np.random.default_rng(2)
+    odd = [*odd, (11, "before<|endoftext|>behind <|endoftext|>", "s")]
     rows = odd + [(1000 + k, " ".join(rng.choice(words, rng.integers(1, 300))), "s") for k in range(300)]
     found = packing.pack(table(rows), PATH, window=256, step=8, group=50, keep_ids=True).collect()
-    library = tokens.PieceTokenizer(PATH).library
+    library = Tokenizer.from_file(PATH)
     want = defaultdict(int)
     for i, t, _ in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
