@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumiray import constants as K
 from lumiray.functions.numeric import uniform_bin
@@ -91,12 +92,30 @@ def sector_width_histogram(df: DataFrame, per_axis: int = 4, bins: int = 80) ->
     return cells.filter("bin IS NOT NULL").groupBy("Telescope", "sx", "sy", "bin").agg(F.count("*").alias("n"))
 
 
+def _fixed_width(df: DataFrame, columns) -> bool:
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return all(isinstance(kinds[c], (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for c in columns)
+
+
+def packed_order(first: Column, second: Column, rest) -> Column:
+    """One number that orders rows by two whole numbers, nulls first, and rows equal in both by a hash of `rest`. A decimal has
+    a fixed width, so that aggregates by it need no sort."""
+    number = lambda c, least: F.coalesce(c.cast("decimal(38,0)"), F.lit(least).cast("decimal(38,0)"))
+    place = number(first, -(1 << 62)) * F.lit(1 << 32).cast("decimal(11,0)") + number(second, -(1 << 31))
+    tie = F.pmod(F.xxhash64(*rest), F.lit(1 << 30)) if rest else F.lit(0)
+    return (place.cast("decimal(29,0)") * F.lit(1 << 30).cast("decimal(10,0)")).cast("decimal(38,0)") + tie
+
+
 def first_of_copies(df: DataFrame, ignore, order) -> DataFrame:
     """One row per distinct content of all columns but `ignore`; the survivor is the
     first by `order`. The minimum combines before the shuffle, so a row copied a
-    billion times crosses the network once per input partition."""
+    billion times crosses the network once per input partition. Numbers are picked by a packed order in hash
+    tables; other types need a sorted aggregate."""
     content = [c for c in df.columns if c not in ignore]
     rest = [c for c in ignore if c in df.columns and c not in order]
+    if len(order) == 2 and _fixed_width(df, [*order, *rest]):
+        place = packed_order(*map(F.col, order), [F.col(c) for c in rest])
+        return df.groupBy(*content).agg(*[F.min_by(c, place).alias(c) for c in (*order, *rest)]).select(*df.columns)
     lead = F.min(F.struct(*order, *rest)).alias("lead")
     kept = df.groupBy(*content).agg(lead).select(*content, "lead.*")
     return kept.select(*df.columns)
@@ -113,8 +132,11 @@ def dedupe_for_histograms(df: DataFrame) -> DataFrame:
 
 
 def first_row_per_event(df: DataFrame, order=("Telescope",), key: str = "Event") -> DataFrame:
-    """The first row of every event by an explicit order."""
+    """The first row of every event by an explicit order; of rows equal in it, the one of least hash."""
     rest = [c for c in df.columns if c != key and c not in order]
+    if len(order) == 1 and _fixed_width(df, [*order, *rest]):
+        place = packed_order(F.col(order[0]), F.lit(0), [F.col(c) for c in rest])
+        return df.groupBy(key).agg(*[F.min_by(c, place).alias(c) for c in (*order, *rest)]).select(*df.columns)
     lead = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("lead")
     return df.groupBy(key).agg(lead).select(key, "lead.*").select(*df.columns)
 

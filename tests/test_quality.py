@@ -111,3 +111,22 @@ def test_exact_sample(spark, share):
     assert len(one) == math.floor(share * len(rows) + 0.5)
     assert sorted(map(str, quality.exact_sample(df.repartition(7, "Size"), share).collect())) == one
     assert quality.exact_sample(df.limit(0), share).count() == 0
+
+
+def test_first_rows_need_no_sort(spark):
+    rows = [(e % 7 - 3 if e % 5 else None, t if e % 3 else None, float(e % 4), e) for e in range(120) for t in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "Event long, Telescope int, Size double, In_file_Index long")
+    order = lambda r: tuple((v is not None, v or 0) for v in r[:2])
+    found = quality.first_of_copies(df, ["Telescope", "Event", "In_file_Index"], ["Event", "Telescope"])
+    best = {size: min(order(r) for r in rows if r[2] == size) for size in {r[2] for r in rows}}
+    assert {r["Size"]: order(r) for r in found.collect()} == best
+    assert all(tuple(r) in rows for r in found.collect())
+    first = quality.first_row_per_event(df)
+    least = {e: min((r[1] is not None, r[1] or 0) for r in rows if r[0] == e) for e in {r[0] for r in rows}}
+    assert {r["Event"]: (r["Telescope"] is not None, r["Telescope"] or 0) for r in first.collect()} == least
+    assert all(tuple(r) in rows for r in first.collect())
+    for df in (found, first):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    far = spark.createDataFrame([((1 << 62), 5, 1.0, 1), ((1 << 62) - 1, 2147483647, 1.0, 2), (-(1 << 61), -7, 2.0, 3)], df.schema)
+    assert {tuple(r) for r in quality.first_of_copies(far, ["Telescope", "Event", "In_file_Index"], ["Event", "Telescope"]).collect()} == {((1 << 62) - 1, 2147483647, 1.0, 2), (-(1 << 61), -7, 2.0, 3)}
