@@ -13,14 +13,17 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumiray import constants as K
 from lumiray.functions import angles
 from lumiray.functions.numeric import hypot
 from lumiray.operators.derive import derive_once
+from lumiray.session import cut_lineage, small_table
 
+#: images of an event that meet in one block
+PAIR_BLOCK = 512
 IMAGE_COLUMNS = ("Size", "MeanX", "MeanY", "Phi", "Length", "Width")
 
 
@@ -119,27 +122,31 @@ def reconstructible(images: DataFrame) -> DataFrame:
     return images.filter("Size > 0 AND Length IS NOT NULL AND Width IS NOT NULL")
 
 
-def images_in_order(images: DataFrame, columns=IMAGE_COLUMNS, key: str = "Event") -> DataFrame:
-    """Adds `slot`, the number of an image in its event from 1, by telescope and then by content,
-    and `n_images`, the event's number of images."""
-    event = Window.partitionBy(key)
-    return images.withColumns(
-        {"slot": F.row_number().over(event.orderBy("Telescope", *columns)), "n_images": F.count(F.lit(1)).over(event)}
-    )
+def paired_images(images: DataFrame, columns, key: str = "Event", block: int = PAIR_BLOCK) -> DataFrame:
+    """Every pair of images of an event once, as structs `a` and `b` of `columns`, `a` before `b` by telescope and content, and
+    `n_images`. Images are dealt into blocks of about `block` by a hash, and pairs to pairs of blocks, so that no task
+    orders or holds a crowded event; an event of up to `block` images is one block."""
+    counts = small_table(images.groupBy(key).agg(F.count(F.lit(1)).alias("n_images")).withColumn("_blocks", F.ceil(F.col("n_images") / block).cast("int")))
+    # copies are told apart by a number of the written row
+    own = cut_lineage(images.withColumn("_row", F.monotonically_increasing_id()))
+    dealt = own.join(counts, key).withColumn("_own", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
+    image = F.struct("Telescope", *[c for c in columns if c != "Telescope"], "_row")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    spread = dealt.select(key, "n_images", "_own", image.alias("image"), other.alias("_other"))
+    spread = spread.select(key, "n_images", "_own", "image", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
+    a, b = (spread.select(key, *(["n_images"] if side == "a" else []), F.col("_own").alias(f"_own_{side}"), "_low", "_high", F.col("image").alias(side)) for side in "ab")
+    pairs = a.join(b, [key, "_low", "_high"]).filter(((F.col("_low") == F.col("_high")) | (F.col("_own_a") != F.col("_own_b"))) & (F.col("a") < F.col("b")))
+    return pairs.select(key, "n_images", "a", "b")
 
 
 def directions_of_pairs(images: DataFrame, least: int = 2, key: str = "Event") -> DataFrame:
     """Direction of each event with at least `least` images, however many and of whatever telescopes:
-    `Xoffset`, `Yoffset`, `MeanAngle`, `n_images`. The same sums as in `axis_intersection`, over the
-    pairs of a join on the event."""
-    ordered = images_in_order(images.select(key, "Telescope", *IMAGE_COLUMNS), key=key).filter(F.col("n_images") >= max(least, 2))
-    turned = ordered.withColumn("f", F.radians(angles.axis_angle(F.col("Phi")))).select(
-        key, "slot", "n_images", "Size", "MeanX", "MeanY", "f", F.cos("f").alias("c"), F.sin("f").alias("s"),
-        (1 - F.when(F.col("Length") > 0, F.try_divide("Width", "Length")).otherwise(1.0)).alias("e"),
+    `Xoffset`, `Yoffset`, `MeanAngle`, `n_images`. The same sums as in `axis_intersection`, over the pairs of images."""
+    turned = images.select(key, "Telescope", *IMAGE_COLUMNS).withColumn("f", F.radians(angles.axis_angle(F.col("Phi")))).withColumns(
+        {"c": F.cos("f"), "s": F.sin("f"), "e": 1 - F.when(F.col("Length") > 0, F.try_divide("Width", "Length")).otherwise(1.0)}
     )
-    a, b = turned.alias("a"), turned.alias("b")
+    pairs = paired_images(turned, [*IMAGE_COLUMNS, "f", "c", "s", "e"], key).filter(F.col("n_images") >= max(least, 2))
     g = lambda side, c: F.col(f"{side}.{c}")
-    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter("a.slot < b.slot")
     turn = g("b", "f") - g("a", "f")
     sine = F.sin(turn)
     strength = F.try_divide(g("a", "Size") * g("b", "Size"), g("a", "Size") + g("b", "Size")) * g("a", "e") * g("b", "e")
@@ -147,7 +154,7 @@ def directions_of_pairs(images: DataFrame, least: int = 2, key: str = "Event") -
     pull = strength * strength * sine
     gap = F.degrees(F.abs(turn))
     terms = pairs.select(
-        F.col(f"a.{key}").alias(key), g("a", "n_images").alias("n_images"), (pull * sine).alias("w"),
+        key, "n_images", (pull * sine).alias("w"),
         (pull * (g("a", "MeanX") * sine + reach * g("a", "c"))).alias("x"),
         (pull * (g("a", "MeanY") * sine + reach * g("a", "s"))).alias("y"), gap.alias("gap"),
     )

@@ -143,3 +143,33 @@ def test_site_distances_and_separation(spark):
     s = angles.separation(*[F.lit(float(v)) for v in (0, 0, 90, 0)])
     r = spark.range(1).select(d.alias("d"), s.alias("s")).first()
     assert r.d == pytest.approx(6371000 * np.pi / 180) and r.s == pytest.approx(90)
+
+
+def test_a_crowded_event_in_blocks(spark):
+    """4,000 images of one event, eight million pairs, beside events of two and three; copies count as images."""
+    rng = np.random.default_rng(12)
+    n = 4000
+    rows = [(1, int(rng.integers(1, 4)), *map(float, (rng.uniform(100, 900), rng.normal(0, 1), rng.normal(0, 1), rng.uniform(-90, 90), rng.uniform(0.4, 0.9), rng.uniform(0.1, 0.3)))) for _ in range(n - 2)]
+    rows += [rows[0]] * 2 + [(2, *r[1:]) for r in rows[:2]] + [(3, *r[1:]) for r in rows[:3]] + [(4, *rows[5][1:])]
+    df = spark.createDataFrame(rows, "Event long, Telescope int, Size double, MeanX double, MeanY double, Phi double, Length double, Width double")
+    found = stereo.directions_of_pairs(df)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.Event: r for r in found.collect()}
+    assert {e: r.n_images for e, r in got.items()} == {1: n, 2: 2, 3: 3}
+    for e, r in got.items():
+        own = np.array([x[2:] for x in rows if x[0] == e])
+        size, x, y, phi, length, width = own.T
+        f = np.radians(spark.createDataFrame([(float(p),) for p in phi], "p double").select(angles.axis_angle(F.col("p"))).toPandas().iloc[:, 0].to_numpy())
+        w = sx = sy = 0.0
+        for k in range(len(own) - 1):
+            j = slice(k + 1, None)
+            sine = np.sin(f[j] - f[k])
+            strength = size[k] * size[j] / (size[k] + size[j]) * (1 - width[k] / length[k]) * (1 - width[j] / length[j])
+            reach = (x[j] - x[k]) * np.sin(f[j]) - (y[j] - y[k]) * np.cos(f[j])
+            pull = strength**2 * sine
+            w += (pull * sine).sum()
+            sx += (pull * (x[k] * sine + reach * np.cos(f[k]))).sum()
+            sy += (pull * (y[k] * sine + reach * np.sin(f[k]))).sum()
+        assert (r.Xoffset, r.Yoffset) == pytest.approx((sx / w, sy / w), rel=1e-6, abs=1e-9)
+    small = stereo.paired_images(df, stereo.IMAGE_COLUMNS, block=3).groupBy("Event").count().collect()
+    assert {r.Event: r["count"] for r in small} == {1: n * (n - 1) // 2, 2: 1, 3: 3}
