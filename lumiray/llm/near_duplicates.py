@@ -225,8 +225,10 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     near = F.pandas_udf(_sketches_near, "boolean")
     close = sized.select("a", "b", "level", "n_a", "n_b").join(sketch_of("a"), ["a", "level"]).join(sketch_of("b"), ["b", "level"])
     close = close.filter(near("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
-    # members of a large group hang together by its hub
-    tied = met.filter("_member is not null").select(F.col("_member").alias("a"), F.col("hub").alias("b")).distinct()
+    # members of a large group hang together by its hub: a member by the least of its hubs, the others by that one too,
+    # so that near copies, which share many hubs, give few edges
+    hubs = met.filter("_member is not null").groupBy("_member").agg(F.collect_set("hub").alias("_hubs")).withColumn("b", F.array_min("_hubs"))
+    tied = hubs.select(F.explode(F.array_append("_hubs", F.col("_member"))).alias("a"), "b").filter("a <> b").distinct()
     clusters = connected_components(close.unionByName(tied)).select(F.col("node").alias("c1"), "root")
 
     # the sets of the clusters' classes, from one text of each
