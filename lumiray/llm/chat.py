@@ -1,7 +1,7 @@
 """Operator 5: chat formatting with loss masks aligned by offsets.
 
-A conversation is rendered whole, encoded once, and the encoder's character offsets are laid against
-the spans of the assistant's texts: binary search finds the spans that a token meets, and the token's
+A conversation is rendered whole, encoded once, and the tokens' character offsets, which follow from the bytes
+that each id stands for, are laid against the spans of the assistant's texts: binary search finds the spans that a token meets, and the token's
 share of the loss is that intersection. Tokens may straddle a border or, in byte-level files, share a
 character; the text under the mask is the union of the intersections, so that neither matters.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lumiray.llm.common import ship_package
 
 OPEN, CLOSE = "### ", "</turn>"
-_READ = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_READ = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -86,9 +86,31 @@ def covered(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def character_offsets(text: str, sizes: np.ndarray) -> np.ndarray:
+    """First character and character behind the last of each token, from the tokens' sizes in bytes. Tokens that share
+    a character both have all of it."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    character = np.cumsum((data & 0xC0) != 0x80)  # from 1, of each byte
+    stop = np.cumsum(sizes)
+    if int(sizes.sum()) != len(data):
+        raise ValueError("the tokens do not spell the text")
+    return np.column_stack([character[stop - sizes] - 1, character[stop - 1]]).astype(np.int64) if len(sizes) else np.zeros((0, 2), dtype=np.int64)
+
+
 FORMATTED = "conv_id long, formatted string, ids array<int>, loss_token array<int>, loss_start array<int>, loss_end array<int>"
 
 
+def _runs(sizes: list[int], limit: int = 1 << 18) -> list[slice]:
+    """Slices of about `limit` characters; a longer text is alone. They bound the memory of numpy."""
+    out, at, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > at and held + n > limit:
+            out.append(slice(at, k))
+            at, held = k, 0
+        held += n
+    return [*out, slice(at, len(sizes))] if sizes else out
+
+
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each conversation: its formatted text, token ids, and for each token under the
     loss mask its place and the characters that count.
@@ -113,17 +135,19 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     )
 
     def encode(batches):
-        from lumiray.llm.tokens import piece_tokenizer
+        from lumiray.llm.tokens import byte_entries, piece_tokenizer
 
-        library = piece_tokenizer(tokenizer).library
+        pieces = piece_tokenizer(tokenizer)
+        size_of = np.array([len(e) for e in byte_entries(tokenizer)], dtype=np.int64)
         for b in batches:
-            rows = []
-            for conv, roles, texts in zip(b["conv_id"].tolist(), b["roles"], b["texts"], strict=True):
-                text, spans = render(list(zip(roles, texts, strict=True)))
-                e = library.encode(text, add_special_tokens=False)
-                token, start, end = loss_tokens(np.array(e.offsets, dtype=np.int64).reshape(-1, 2), np.array(spans, dtype=np.int64).reshape(-1, 2))
-                rows.append((conv, text, e.ids, token, start, end))
-            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "ids", "loss_token", "loss_start", "loss_end"]).astype({"conv_id": "Int64"})
+            convs = b["conv_id"].tolist()
+            rendered = [render(list(zip(roles, texts, strict=True))) for roles, texts in zip(b["roles"], b["texts"], strict=True)]
+            for run in _runs([len(text) for text, _ in rendered]):
+                rows = []
+                for conv, (text, spans), ids in zip(convs[run], rendered[run], pieces.encode([text for text, _ in rendered[run]]), strict=True):
+                    offsets = character_offsets(text, size_of[ids])
+                    rows.append((conv, text, ids.astype(np.int32), *loss_tokens(offsets, np.array(spans, dtype=np.int64).reshape(-1, 2))))
+                yield pd.DataFrame(rows, columns=["conv_id", "formatted", "ids", "loss_token", "loss_start", "loss_end"]).astype({"conv_id": "Int64"})
 
     return gathered.mapInPandas(encode, FORMATTED)
 

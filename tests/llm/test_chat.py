@@ -31,6 +31,23 @@ def test_mask_is_the_assistants_text(turns):
     assert "".join(chat.unescape(text[a:b]) for a, b in chat.covered(start, end)) == "".join(t for r, t in turns if r == "assistant")
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(control, min_size=1, max_size=6))
+def test_offsets_are_the_librarys(parts):
+    from lumiray.llm.tokens import byte_entries, piece_tokenizer
+
+    pieces, entries = piece_tokenizer(PATH), byte_entries(PATH)
+    text = "<|endoftext|>".join(parts)
+    [ids] = pieces.encode([text])
+    library = pieces.library.encode(text, add_special_tokens=False)
+    assert ids.tolist() == library.ids
+    assert chat.character_offsets(text, np.array([len(entries[k]) for k in ids], dtype=np.int64)).tolist() == [list(o) for o in library.offsets]
+
+
+def test_runs_cover_all_texts():
+    assert chat._runs([]) == [] and chat._runs([5, 5, 20, 1, 1], limit=10) == [slice(0, 2), slice(2, 3), slice(3, 5)]
+
+
 def test_conversations(spark):
     rows = [
         (1, 1, "assistant", "second"), (1, 0, "user", "first"), (1, 2, "assistant", None), (1, None, "user", "late"), (2, 0, None, SAID), (2, 1, "assistant", SAID), (2, 1, "assistant", SAID),
