@@ -142,9 +142,11 @@ def bin_photons(projected: DataFrame, weight=None, keys=("event", "telescope"))
 
 
 def triggered_pixels(pixels: DataFrame, least: float = K.TRIGGER_ADU, keys=("event", "telescope")) -> DataFrame:
-    """Pixels of the images whose brightest pixel reaches the trigger level."""
-    fired = pixels.groupBy(*keys).agg(F.max("adu").alias("peak")).filter(F.col("peak") >= least)
-    return pixels.join(fired.select(*keys), list(keys), "left_semi")
+    """Pixels of the images whose brightest pixel reaches the trigger level. The pixel table is shuffled once; an image's list
+    of lit cells is bounded by its camera. Rows without a key drop out."""
+    keys, content = list(keys), [c for c in pixels.columns if c not in keys]
+    images = pixels.dropna(subset=keys).groupBy(*keys).agg(F.max("adu").alias("peak_"), F.collect_list(F.struct(*content)).alias("cells_"))
+    return images.filter(F.col("peak_") >= least).select(*keys, F.inline("cells_")).select(*pixels.columns)
 
 
 def trigger_images(df: DataFrame, least: float = K.TRIGGER_ADU, column: str = "image") -> DataFrame:

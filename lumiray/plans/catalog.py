@@ -21,7 +21,7 @@ from lumiray.plans.oracle import (
     SHAPES, TWO_PI, axis_bin, core, div, fixed_bin, lit, moments, parameters, pmod, r, separation, spread, sql,
 )
 from lumiray.plans.star import POSITIONS, Star
-from lumiray.schemas import SHAPE_COLUMNS
+from lumiray.schemas import DATA_COLUMNS, SHAPE_COLUMNS
 from lumiray.session import cut_lineage, ship_package, shared_folder
 from lumiray.sources import capture, pcapng, sinks, tables
 
@@ -175,6 +175,22 @@ def _(s: Star):
     return rounded(quality.global_event_ids(one_file, "path", F.substring_index("path", "_", 1)))
 
 
+@query("src10_headers_by_file", sql(f"""
+SELECT "Event", "Telescope", {r('"Timestamp"')} AS "Timestamp", {SHAPES}, CAST("File" IN ('run1', 'run3') AS INTEGER) AS reordered FROM hub""", "hub"))
+def _(s: Star):
+    # two ways to order the columns, and one more column, in the files of one folder
+    folder = shared_folder(s.spark)
+    hub = cut_lineage(s.hub())
+    other = F.col("File").isin("run1", "run3")
+    sinks.write_data_parameters(hub.filter(~other), folder)
+    changed = hub.filter(other).withColumn("note", F.concat(F.lit("Telescope "), "Telescope"))
+    changed.select("note", *reversed(DATA_COLUMNS)).write.mode("append").option("header", True).option("nullValue", "nan").csv(folder)
+    rows = tables.read_parameter_csv(s.spark, folder, columns=DATA_COLUMNS)
+    first = s.spark.read.text(folder).filter(F.col("value").startswith("note,")).select(F.col("_metadata.file_path").alias("path")).distinct()
+    marked = rows.join(first.withColumn("reordered", F.lit(1)), "path", "left")
+    return rounded(marked.select(*DATA_COLUMNS, F.coalesce("reordered", F.lit(0)).alias("reordered")))
+
+
 @query("src7_src8_img1_pedestals", sql("""
 SELECT vec_id, CAST(sum(abs(v)) AS BIGINT) AS total, CAST(count(*) FILTER (v <> 0) AS BIGINT) AS lit, CAST(min(v) AS INTEGER) AS low,
   CAST(max(v) AS INTEGER) AS high FROM (

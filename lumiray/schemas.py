@@ -15,6 +15,7 @@ SIM_PHOTON_DDL = "event bigint, telescope int, cx double, cy double"
 SIM_TRUTH_DDL = "event bigint, energy double, az double, ze double, xcore double, ycore double"
 SIM_TELESCOPE_DDL = "event bigint, telescope int, x double, y double, z double"
 
+# fixed values: names and order of the columns of parameter files
 SHAPE_COLUMNS = [
     "MeanX", "StdX", "MeanY", "StdY", "Phi", "Size", "Length", "Width",
     "Miss", "Distance", "Azwidth", "Alpha",
@@ -22,7 +23,6 @@ SHAPE_COLUMNS = [
 RECO_COLUMNS = ["Az", "Ze", "Xcore", "Ycore", "stdP"]
 TRUTH_COLUMNS = ["TrueAz", "TrueZe", "TrueXcore", "TrueYcore", "TrueEnergy"]
 
-# column order of the parameter files
 DATA_COLUMNS = ["Event", "Telescope", "Timestamp", *SHAPE_COLUMNS]
 SIM_COLUMNS = ["Event", "Telescope", *SHAPE_COLUMNS, *TRUTH_COLUMNS]
 SIM_RECO_COLUMNS = ["Event", "Telescope", *SHAPE_COLUMNS, *RECO_COLUMNS, *TRUTH_COLUMNS]

@@ -15,7 +15,7 @@ SOME = [
     "cor4_corrected_parameters", "core5_ground_core", "red1_dedupe_for_sky", "agg4_describe", "qf1_qf2_max_distance_scan", "tim1_event_rate",
     "dir1_repeated_telescopes", "snk3_repeated_telescopes", "snk4_pixel_matrix", "snk5_centroid_triples", "flow_data_parameters",
     "src1_capture_files", "src1_ng_capture_files", "ml3_ml4_boosted_stumps", "sky9_li_ma", "sky6_sky7_on_off_at_positions", "core5_ground_core", "sample_of_rows", "img_shift",
-    "cor2_time_of_file_name", "his4_weighted_centroid_map", "psf1_containment_radius",
+    "cor2_time_of_file_name", "src10_headers_by_file", "his4_weighted_centroid_map", "psf1_containment_radius",
 ]
 ORACLES = entry_points.oracle_sql()
 

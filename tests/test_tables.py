@@ -19,11 +19,32 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert [[r[c] for c in DATA_COLUMNS] for r in nights] == [[row[c] for c in DATA_COLUMNS]] * 2
 
 
-def test_another_header_in_one_folder_is_an_error(spark, tmp_path):
+def test_files_of_one_folder_may_order_their_columns_otherwise(spark, tmp_path):
+    n = len(DATA_COLUMNS)
+    orders = {"a b.csv": list(DATA_COLUMNS), "b[1].csv": [*DATA_COLUMNS[1:], DATA_COLUMNS[0]], "c.csv": ["note", *reversed(DATA_COLUMNS)], "d.csv": list(DATA_COLUMNS)}
+    for k, (name, names) in enumerate(orders.items()):
+        row = {c: 100 * k + i for i, c in enumerate(DATA_COLUMNS)} | {"note": f"seen by {DATA_COLUMNS[3]}"}
+        write(tmp_path / name, names, [[row[c] for c in names]] * 2)
+    (tmp_path / "empty.csv").write_text("")
+    got = tables.read_parameter_csv(spark, str(tmp_path)).collect()
+    assert sorted([r[c] for c in DATA_COLUMNS] for r in got) == sorted([100 * k + i for i in range(n)] for k in range(4) for _ in range(2))
+    assert len({r["path"] for r in got}) == 4
+    few = tables.read_parameter_csv(spark, str(tmp_path), contains=("c.csv",)).collect()
+    assert [r[DATA_COLUMNS[0]] for r in few] == [200, 200]
+
+
+def test_a_file_without_header_is_an_error(spark, tmp_path):
+    write(tmp_path / "a.csv", DATA_COLUMNS, [range(len(DATA_COLUMNS))])
+    (tmp_path / "b.csv").write_text(",".join(map(str, range(len(DATA_COLUMNS)))) + "\n")
+    with pytest.raises(ValueError, match="b.csv"):
+        tables.read_parameter_csv(spark, str(tmp_path))
+
+
+def test_another_header_is_an_error_where_one_is_promised(spark, tmp_path):
     write(tmp_path / "a.csv", DATA_COLUMNS, [range(len(DATA_COLUMNS))])
     write(tmp_path / "b.csv", [*DATA_COLUMNS[1:], DATA_COLUMNS[0]], [range(len(DATA_COLUMNS))])
     with pytest.raises(Exception, match="(?i)header"):
-        tables.read_parameter_csv(spark, str(tmp_path)).collect()
+        tables.read_parameter_csv(spark, str(tmp_path), one_header=True).collect()
 
 
 def test_missing_column_is_an_error(spark, tmp_path):
