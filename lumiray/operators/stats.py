@@ -128,40 +128,46 @@ def wide_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = 2000) -
     """The same quantiles of several columns at once: (by, column, prob, quantile, n).
 
     One pass over the wide rows sketches all columns; the sketch's bounds enclose each wanted rank. A second pass counts
-    what lies below each enclosure and keeps the few values inside it, among which the rank is found by
+    what lies between the enclosures and keeps the few values inside them, among which the rank is found by
     cells as in `exact_quantiles`. A sketch whose enclosure misses its rank, which the counts show, is replaced by those cells
     over the whole column."""
-    by = _by(by)
+    by, probs = _by(by), sorted(probs)
     keys = by or ["g_"]
     source = (df if by else df.withColumn("g_", F.lit(1))).select(*keys, *[missing(F.col(c).cast("double")).alias(f"v{k}") for k, c in enumerate(columns)])
     slack = 4 / accuracy
     around = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
     near = small_table(source.groupBy(*keys).agg(*[F.percentile_approx(f"v{k}", around, accuracy).alias(f"a{k}") for k in range(len(columns))], *[F.count(f"v{k}").alias(f"n{k}") for k in range(len(columns))]))
-    met = source.join(near, keys)
     low = lambda k, i: F.col(f"a{k}")[i]
     high = lambda k, i: F.col(f"a{k}")[i + len(probs)]
-    spots = [(k, i) for k in range(len(columns)) for i in range(len(probs))]
-    counts = met.groupBy(*keys).agg(*[F.count_if(F.col(f"v{k}") < low(k, i)).alias(f"below{k}_{i}") for k, i in spots], *[F.count_if(F.col(f"v{k}") <= high(k, i)).alias(f"upto{k}_{i}") for k, i in spots])
-    long = small_table(
-        counts.join(near, keys).select(
-            *keys,
-            F.inline(F.array(*[
-                F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"n{k}").alias("n"), low(k, i).alias("low"), high(k, i).alias("high"), F.col(f"below{k}_{i}").alias("below"), F.col(f"upto{k}_{i}").alias("upto"), ((F.col(f"n{k}") - 1) * probs[i]).alias("h"))
-                for k, i in spots
-            ])),
-        )
+
+    def counted(k: int) -> Column:
+        """A value inside an enclosure stays itself, any other becomes the number of enclosures that lie below it."""
+        v = F.col(f"v{k}")
+        inside = reduce(lambda a, b: a | b, [v.between(low(k, i), high(k, i)) for i in range(len(probs))])
+        passed = reduce(lambda a, b: a + b, [(v > low(k, i)).cast("int") for i in range(len(probs))])
+        return F.struct(F.lit(k).alias("k"), F.when(inside, v).alias("v"), F.when(~inside, passed).alias("cell"))
+
+    present = F.filter(F.array(*[counted(k) for k in range(len(columns))]), lambda s: s["v"].isNotNull() | s["cell"].isNotNull())
+    # equal values inside become one with their number, so that a dominant value is one row
+    counts = cut_lineage(source.join(near, keys).select(*keys, F.inline(present)).groupBy(*keys, "k", "cell", "v").agg(F.count(F.lit(1)).alias("m")))
+    spots = near.select(
+        *keys,
+        F.inline(F.array(*[
+            F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"n{k}").alias("n"), low(k, i).alias("low"), high(k, i).alias("high"), ((F.col(f"n{k}") - 1) * probs[i]).alias("h"))
+            for k in range(len(columns)) for i in range(len(probs))
+        ])),
     )
-    first, second = F.floor("h"), F.least(F.floor("h") + 1, F.col("n") - 1)
-    long = long.filter("n > 0").withColumn("fits", (F.col("below") <= first) & (second < F.col("upto")) & (F.abs("low") < float("inf")) & (F.abs("high") < float("inf")))
-    inside = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.when((F.col(f"v{k}") >= low(k, i)) & (F.col(f"v{k}") <= high(k, i)), F.col(f"v{k}")).alias("v")) for k, i in spots]),
-        lambda s: s["v"].isNotNull(),
+    spot = [*keys, "k", "i"]
+    outside = F.sum(F.when(F.col("cell") <= F.col("i"), F.col("m")).otherwise(0))
+    sums = spots.join(counts, [*keys, "k"]).groupBy(*spot, "n", "low", "high", "h").agg(
+        (outside + F.sum(F.when(F.col("v") < F.col("low"), F.col("m")).otherwise(0))).alias("below"),
+        (outside + F.sum(F.when(F.col("v") <= F.col("high"), F.col("m")).otherwise(0))).alias("upto"),
     )
-    # equal values inside become one with their number, so that a dominant value is one row
-    values = met.select(*keys, F.inline(inside)).groupBy(*keys, "k", "i", "v").agg(F.count(F.lit(1)).alias("m"))
-    values = cut_lineage(values)
+    first, second = F.floor("h"), F.least(F.floor("h") + 1, F.col("n") - 1)
+    fits = (F.col("below") <= first) & (second < F.col("upto")) & (F.abs("low") < float("inf")) & (F.abs("high") < float("inf"))
+    long = small_table(sums.withColumn("fits", fits))
+    values = counts.filter("v is not null").join(long.filter("fits").select(*spot, "low", "high"), [*keys, "k"]).filter(F.col("v").between(F.col("low"), F.col("high"))).drop("low", "high")
     ranks = small_table(long.filter("fits").select(*keys, "k", "i", "n", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), (first - F.col("below")).alias("rank")), F.struct(F.lit(1).alias("side"), (second - F.col("below")).alias("rank")))).alias("r")).select("*", "r.*").drop("r"))
-    spot = [*keys, "k", "i"]
     places = weighted_quantile(values.join(ranks, spot).select(*spot, "side", "v", F.col("m").alias("w"), (F.col("rank") + 1).cast("double").alias("wanted")), [*spot, "side"])
     found = ranks.join(places, [*spot, "side"])
     low_v, high_v = F.max(F.when(F.col("side") == 0, F.col("v"))), F.max(F.when(F.col("side") == 1, F.col("v")))
