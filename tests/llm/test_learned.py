@@ -73,6 +73,28 @@ def test_rejected_documents_go(spark, table, corpus):
     assert len(ids & good) >= 0.98 * len(good) and len(ids - good) <= 0.05 * len(ids)
 
 
+def test_votes_are_those_of_a_plain_loop(spark, table, corpus, odd):
+    import numpy as np
+
+    rows, labels = corpus
+    rows = rows[:200] + [(2000 + k, t, s) for k, (_, t, s) in enumerate(odd)]
+    df = table(rows)
+    model = quality.fit(df, spark.createDataFrame(labels, LABEL))
+    compared = 0
+    found = {r["doc_id"]: r["score"] for r in df.select("doc_id", quality.scorer(df, model).alias("score")).collect()}
+    for i, text, _ in rows:
+        z = np.log1p(quality.term_counts([(text or "").encode()])[0].astype(float)) * model.weights @ model.axes
+        z /= max(np.linalg.norm(z), 1e-12)
+        likeness = [float(np.dot(z, v)) for v in model.vectors]
+        nearest = sorted(range(len(likeness)), key=lambda k: -likeness[k])[: model.neighbours]
+        votes = [(max(likeness[k], 0) ** 8 + 1e-9, model.labels[k]) for k in nearest]
+        # neighbours of equal likeness may be others
+        if len(set(np.round(sorted(likeness)[-model.neighbours - 1 :], 6))) > model.neighbours:
+            assert abs(found[i] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
+            compared += 1
+    assert compared > 50
+
+
 def test_sample_is_bounded(spark):
     from lumiray.llm import labelled
 

@@ -1,9 +1,12 @@
 import math
+import os
 
 import numpy as np
+import pytest
 
 from lumiray.llm import neighbours
 
+FOLDER = "/root/testdata/sf0.01"
 VECTOR = "vec_id long, embedding array<float>, label int, score string"
 
 
@@ -36,6 +39,21 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 600
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not there")
+def test_recall_on_the_given_vectors(spark):
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    found = neighbours.search(vectors, vectors.filter("vec_id % 100 = 0")).collect()
+    have = neighbours.usable(vectors).collect()
+    ids, x = np.array([r["vec_id"] for r in have]), np.array([r["vec"] for r in have])
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        distance = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        nearest = [j for j in ids[np.lexsort((ids, distance))] if j != q][:10]
+        hits += len(set(nearest) & {r["vec_id"] for r in found if r["query_id"] == q})
+        total += len(nearest)
+    assert total and hits >= 0.9 * total
+
+
 def test_few_odd_and_tied_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(100, [1.0, 0.0]), (200, [0.0, 1.0]), (7, [0.0, 0.5]), (3, [0.0, 1.5]), (3, [0.0, 1.5]), (300, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (400, [1.0, 2.0, 3.0])]
