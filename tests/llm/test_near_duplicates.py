@@ -53,6 +53,19 @@ def test_components_equal_all_pairs(table, words, odd):
     assert sorted(map(tuple, found), key=str) == by_hand(rows)
 
 
+@pytest.mark.parametrize("share", [0, 2])
+def test_counts_of_shingles_only_order_the_keys(table, words, monkeypatch, share):
+    rng = random.Random(8)
+    texts = [t for size, changes in ((8, 1), (40, 3), (200, 10)) for t in copies(rng, words, 15, [rng.choice(words) for _ in range(size)], changes)]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    values, _ = shingles.shingle_sets([t.encode() for t in texts])
+    some = np.unique(values)[::share] if share else values[:0]
+    seen = np.random.default_rng(8).integers(3, 90, len(some)).astype(np.int32)
+    monkeypatch.setattr(near_duplicates, "common_shingles", lambda profile: (some, seen))
+    found = near_duplicates.near_duplicates(table(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == by_hand(rows)
+
+
 def test_large_group_in_tiles(table, words, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SMALL", 4)
     monkeypatch.setattr(near_duplicates, "TILE", 16)
