@@ -135,3 +135,18 @@ def test_aperture_weights_total():
     weights = stencil.aperture_weights()
     full = sum(K.APERTURE_OVERLAP[abs(a), abs(b)] for a in range(-2, 3) for b in range(-2, 3)) / 25
     assert np.allclose(weights.sum(axis=1), full)
+
+
+def test_pedestals_by_whole_images(spark):
+    """No function is called for each pixel; missing lists and values, lists of two lengths, telescopes without a map."""
+    rows = [("a", 1, [15, 9, -3]), ("a", 0, [15, 9, -3]), ("a", None, [1]), ("b", 2, [4, 4, 4]), ("b", -1, None), ("c", 3, [7, None, 9]), ("c", 4, [5, 6]), ("c", 5, None), ("c", 3, [])]
+    events = spark.createDataFrame(rows, "file string, scope_id int, pix array<smallint>")
+    peds = spark.createDataFrame([("a", 1, [10.5, 10.5, -1.5]), ("c", 3, [1.5, 2.0, 9.9]), ("c", 4, [0.5]), ("c", 5, [1.0])], "file string, scope_id int, peds array<double>")
+    want = [[4, -1, -1], [0, 0, 0], [0], None, None, [5, None, 0], [4, None], None, [None, None, None]]
+    for parts in (1, len(rows)):
+        images = I.subtract_pedestals(events.repartition(parts, "pix"), peds)
+        key = lambda r: str((r[0], r[1], r[2]))
+        got = {key(r): r.image for r in images.select("file", "scope_id", "pix", "image").collect()}
+        assert got == {key(r): w for r, w in zip(rows, want, strict=True)}
+    plan = images._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "ArrowEvalPython" in plan
