@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumiray import constants as K
 from lumiray.functions import stencil
 from lumiray.operators import images as I
+from lumiray.plans import flows
 
 
 def frame(spark, images):
@@ -150,3 +152,38 @@ def test_pedestals_by_whole_images(spark):
         assert got == {key(r): w for r, w in zip(rows, want, strict=True)}
     plan = images._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "ArrowEvalPython" in plan
+
+
+def test_trigger_and_lit_cells_by_batches(spark):
+    """Missing images and pixels, images of several lengths, the level itself, negative pixels."""
+    rows = [(1, [103, 5, 0, -7]), (2, [104, None, 0, -7]), (3, None), (4, []), (5, [None, None]), (6, [0, 200]), (7, [None, 3]), (8, [0, 0, 0])]
+    df = spark.createDataFrame(rows, "event int, image array<int>")
+    for parts in (1, len(rows)):
+        got = {r.event: r.image for r in I.trigger_images(df.repartition(parts, "event"), 104).collect()}
+        assert got == {1: [0] * 4, 2: [104, None, 0, -7], 3: None, 4: [], 5: [0, 0], 6: [0, 200], 7: [0, 0], 8: [0] * 3}
+        cells = I.pixels_from_images(df.repartition(parts, "event"), ("event",), side=2)
+        assert cells.dtypes == [("event", "int"), ("px", "int"), ("py", "int"), ("adu", "int")]
+        want = [(k, c // 2, c % 2, v) for k, image in rows for c, v in enumerate(image or []) if v]
+        assert sorted(map(tuple, cells.collect())) == sorted(want)
+    halves = spark.createDataFrame([(1, [0.0, 0.5, None])], "event int, image array<double>")
+    assert [tuple(r) for r in I.pixels_from_images(halves, ("event",), side=2).collect()] == [(1, 0, 1, 0.5)]
+    assert I.trigger_images(halves, 0.5).first().image == [0.0, 0.5, None]
+
+
+def test_cleaning_skips_only_images_that_end_empty():
+    rng = np.random.default_rng(5)
+    images = np.where(rng.random((200, 8, 8)) < rng.random((200, 1, 1)) / 4, rng.integers(-40, 300, (200, 8, 8)), 0).astype(np.int32)
+    column = pa.ListArray.from_arrays(pa.array(np.arange(201, dtype=np.int32) * 64), pa.array(images.reshape(-1)))
+    for options in ({"mode": "aperture"}, {"mode": "two_level", "image_level": 100, "border_level": 30}, {"mode": "flat", "image_level": 60, "isolated": False}, {"mode": "none"}):
+        plain = stencil.cleaner(1.0, min_pixels=0, **options).func(column).to_pylist()
+        want = [p if np.count_nonzero(p) >= 3 else [0] * 64 for p in plain]
+        assert any(map(any, want)) and stencil.cleaner(1.0, min_pixels=3, **options).func(column).to_pylist() == want
+
+
+def test_simulated_images_are_made_once_in_one_step(spark):
+    """Spark must neither make them a second time to ask their size nor hand whole images from step to step."""
+    photons = spark.createDataFrame([(1, 1, 0.0, 0.0, 9)], "event bigint, telescope int, cx double, cy double, photons bigint")
+    truth = spark.createDataFrame([(1, 40.0, 20.0)], "event bigint, az double, ze double")
+    cells = I.pixels_from_images(flows.sim_images(photons, truth, F.col("photons") * K.ADU_PER_PHOTON))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "posexplode" not in plan
