@@ -192,8 +192,24 @@ def tile_links(names: list, sets: list[np.ndarray], left: np.ndarray, right: np.
     return links
 
 
+def to_least(links: list[tuple]) -> list[tuple]:
+    """The members that links connect, each tied to the least it is connected with."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(x, find(x)) for x in root if find(x) != x]
+
+
 def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """(a, b): nodes of classes whose links connect all linked classes."""
+    """(a, b): pairs of nodes of classes that connect all linked classes and no others. What a tile finds is tied to the least node,
+    so that labels need not run along chains of links, each step of which is a round of joins."""
     spark = docs.sparkSession
     texts = profile.filter("shingle is null")
     node = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))
@@ -254,7 +270,7 @@ def find_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows["_left"].to_numpy(dtype=bool), rows["_right"].to_numpy(dtype=bool)
         found = tile_links(rows["node"].tolist(), [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]], left, right)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+        return pd.DataFrame(to_least(found), columns=["a", "b"], dtype=object)
 
     both = F.lit(True)
     small = sets.filter("_tiles = 1").select("node", "members", F.col("root").alias("_root"), F.lit(0).cast("long").alias("_i"), F.lit(0).cast("long").alias("_j"), both.alias("_left"), both.alias("_right"))

@@ -90,6 +90,21 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
+def learn(counts: np.ndarray, labels: np.ndarray, dimensions: int = 48, neighbours: int = 25) -> Model:
+    """The model of labelled rows of term counts, whose memory it uses up: the driver holds few tables of this size at once."""
+    weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    np.log1p(counts, out=counts)
+    x = np.empty_like(counts)
+    for at in range(0, len(x), ROWS):
+        part = counts[at : at + ROWS] * weights
+        x[at : at + ROWS] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    _, vectors = np.linalg.eigh(x.T @ x)
+    del x
+    model = Model(weights, vectors[:, ::-1][:, :dimensions].astype(np.float32).copy(), np.zeros((0, 0)), labels, neighbours)
+    model.vectors = model.latent(np.expm1(counts, out=counts)).astype(np.float32)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, dimensions: int = 48, neighbours: int = 25) -> Model:
     """Learn from at most `bound` labelled rows outside the held-out fold (documents and labels are joined by doc_id)."""
     ship_package(docs.sparkSession)
@@ -99,21 +114,20 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, dimensions: int =
         for b in batches:
             for at, block in text_blocks(b["text"]):
                 rows = term_counts(block)
-                yield pd.DataFrame({"label": b["label"].iloc[at : at + len(block)].to_numpy(), "counts": [r.tobytes() for r in rows]})
+                found = [np.flatnonzero(r) for r in rows]  # few of the terms
+                yield pd.DataFrame({
+                    "label": b["label"].iloc[at : at + len(block)].to_numpy(),
+                    "terms": [f.astype(np.uint16).tobytes() for f in found], "counts": [r[f].tobytes() for r, f in zip(rows, found, strict=True)],
+                })
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `bound` ids
-    rows = texts.select("label", "text").mapInPandas(count, "label int, counts binary").collect()
+    rows = texts.select("label", "text").mapInPandas(count, "label int, terms binary, counts binary").collect()
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.full(1, 0.5), 1)
-    counts = np.log1p(np.array([np.frombuffer(r["counts"], dtype=np.float32) for r in rows]))
-    y = np.array([r["label"] for r in rows], dtype=np.float64)
-    weights = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = counts * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    model = Model(weights, vectors[:, ::-1][:, :dimensions].astype(np.float32).copy(), np.zeros((0, 0)), y, neighbours)
-    model.vectors = model.latent(np.expm1(counts)).astype(np.float32)
-    return model
+    counts = np.zeros((len(rows), TERMS), dtype=np.float32)
+    for own, r in zip(counts, rows, strict=True):
+        own[np.frombuffer(r["terms"], dtype=np.uint16)] = np.frombuffer(r["counts"], dtype=np.float32)
+    return learn(counts, np.array([r["label"] for r in rows], dtype=np.float64), dimensions, neighbours)
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:

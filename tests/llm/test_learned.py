@@ -101,3 +101,35 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(500)] * 2, LABEL)
     found = labelled.sample(labels, "quality", 4, [0, 1, 3], 50)
     assert found.count() == 50 and found.filter("fold = 2").count() == 0
+
+
+def test_quality_is_learned_in_little_memory(spark, table, corpus):
+    """The driver gets the terms that a text has, not all, and holds few tables of their counts at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    counts = (rng.poisson(0.2, (3000, quality.TERMS)) * rng.integers(1, 9, quality.TERMS)).astype(np.float32)
+    x = np.log1p(counts)
+    weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    x = x * weights
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :48]
+    labels, size = rng.integers(0, 2, len(counts)).astype(float), counts.nbytes
+    tracemalloc.start()
+    model = quality.learn(counts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(model.weights, weights) and np.allclose(model.axes, axes, atol=1e-5) and peak < 3.2 * size
+
+    rows, given = corpus
+    sent, frame = [], type(spark.range(0))
+    collect = frame.collect
+    try:
+        frame.collect = lambda self: sent.append(collect(self)) or sent[-1]
+        quality.fit(table(rows), spark.createDataFrame(given, LABEL))
+    finally:
+        frame.collect = collect
+    assert len(sent[0]) > 400
+    assert sum(len(v) for r in sent[0] for v in r if isinstance(v, (bytes, bytearray))) < len(sent[0]) * quality.TERMS

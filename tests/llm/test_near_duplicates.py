@@ -140,3 +140,15 @@ def test_long_path(spark):
 
     found = connected_components(spark.range(1, 60).selectExpr("id AS a", "id + 1 AS b"))
     assert {r["root"] for r in found.collect()} == {1}
+
+
+def test_chains_of_links_are_tied_to_their_least(spark, table, words):
+    """A chain of texts, each like the next one only: its classes come as a star, not as a chain along which labels run."""
+    names = [f"{k:02d}" for k in range(20)]
+    chain = [(names[k], names[k + 1]) for k in range(9)] + [("15", "12"), ("12", "18")]
+    found = near_duplicates.to_least(random.Random(1).sample(chain, len(chain)))
+    assert sorted(found) == [(n, "00") for n in names[1:10]] + [("15", "12"), ("18", "12")] and near_duplicates.to_least([]) == []
+    w = [random.Random(2).choice(words) + str(k) for k in range(400)]
+    docs = table([(k, " ".join(w[20 * k : 20 * k + 200]), None) for k in range(10)]).select("doc_id", "text")
+    links = near_duplicates.find_links(docs, near_duplicates.profiles(docs)).distinct().collect()
+    assert len(links) == len({r["a"] for r in links}) == 9 and len({r["b"] for r in links}) == 1
