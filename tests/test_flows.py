@@ -79,6 +79,21 @@ def test_boosted_trees_learn(spark):
     assert right.count() + wrong.count() == test.count()
 
 
+def test_a_model_in_parts_scores_as_a_whole_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(float, rng.normal(3, 1, 5)), int(rng.integers(1, 3))) for k in range(300)]
+    df = spark.createDataFrame(rows, ["Event", *classify.FEATURES, "Classification"])
+    table = classify.assemble(df)
+    whole = classify.fit_boosted_trees(table, rounds=5, depth=6)
+    monkeypatch.setattr(classify, "PART_NODES", 20)
+    monkeypatch.setattr(classify, "PIECE_BYTES", 100)
+    parts = classify.fit_boosted_trees(table, rounds=5, depth=6)
+    # the driver holds the nodes of the last trees alone
+    assert len(parts.written) > 1 and sum(t.nodes is not None for t in parts.trees) <= 1
+    scores = [{r.Event: (r.score, r.prediction) for r in m.transform(table).collect()} for m in (whole, parts)]
+    assert scores[0] == scores[1] and parts.feature_importance() == whole.feature_importance()
+
+
 def test_rate_stream(spark, tmp_path):
     ddl = "Telescope int, Timestamp double"
     src = str(tmp_path / "in")
