@@ -66,6 +66,21 @@ def test_counts_of_shingles_only_order_the_keys(table, words, monkeypatch, share
     assert sorted(map(tuple, found), key=str) == by_hand(rows)
 
 
+@pytest.mark.parametrize("of", [1, 8, 1 << 40])
+def test_counting_all_classes_or_none_gives_the_same_components(table, words, monkeypatch, of):
+    rng = random.Random(9)
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    texts = [t for size, changes in ((40, 3), (200, 10)) for t in copies(rng, words, 15, [rng.choice(words) for _ in range(size)], changes)]
+    texts += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 20))) for _ in range(40)]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    monkeypatch.setattr(near_duplicates, "COUNTED", of)
+    classes = len({frozenset(shingle_set(t)) for t in texts})
+    counted = near_duplicates.profiles(table(rows).select("doc_id", "text")).filter("shingle is not null").count()
+    assert (counted > 0) == (of < 1 << 40) and (of > 1 or counted >= classes)
+    found = near_duplicates.near_duplicates(table(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == by_hand(rows)
+
+
 def test_large_group_in_tiles(table, words, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SMALL", 4)
     monkeypatch.setattr(near_duplicates, "TILE", 16)
